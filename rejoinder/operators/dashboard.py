@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.functions.text import first_line, to_number
-from rejoinder.plans.skew import previous_rows
+from rejoinder.plans.skew import block_start, previous_rows
 
 # Fixed value: the flat price per token on the dashboard.
 FLAT_PRICE = "0.0001"
@@ -122,6 +122,7 @@ def session_details(log: DataFrame, n: int = 10) -> DataFrame:
             "first_token",
         )
         .orderBy("id")
+        .limit(n)
     )
 
 
@@ -144,7 +145,7 @@ def session_gaps(log: DataFrame, block_hours: int = 24) -> DataFrame:
         ["timestamp", "id"],
         F.col("timestamp"),
         1,
-        F.floor(micros / F.lit(block_hours * 3_600_000_000)),
+        block_start(micros, block_hours * 3_600_000_000),
         "_before",
     )
     return with_before.select(

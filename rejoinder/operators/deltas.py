@@ -17,20 +17,33 @@ STOP = "message_stop"
 BLOCK = 4_096
 
 
+def read_events(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """Type and delta text of every event; works on a stream as well.
+
+    ``json_tuple`` reads the payload once per row; a parsed struct would be built again for
+    each filter and column that uses it.
+    """
+    read = events.select("message_id", "seq", F.json_tuple(payload, "type", "delta").alias("kind", "_delta"))
+    return read.select(
+        "message_id",
+        "seq",
+        "kind",
+        F.when(F.col("kind") == PIECE, F.coalesce(F.get_json_object("_delta", "$.text"), F.lit("")))
+        .when(F.col("kind") == STOP, F.lit("\n"))
+        .alias("piece"),
+    )
+
+
 def decode(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Text pieces from delta events; works on a stream as well.
 
     A delta gives its text (nothing for null), the stop event a line break; other types and
     events without payload are left out.
     """
-    event = F.from_json(payload, "type string, delta struct<text:string>")
-    kept = events.withColumn("_e", event).filter(F.col("_e.type").isin(PIECE, STOP))
-    stop = F.col("_e.type") == STOP
-    return kept.select(
-        "message_id",
-        "seq",
-        F.when(stop, F.lit("\n")).otherwise(F.coalesce("_e.delta.text", F.lit(""))).alias("piece"),
-        stop.alias("is_stop"),
+    return (
+        read_events(events, payload)
+        .filter(F.col("kind").isin(PIECE, STOP))
+        .select("message_id", "seq", "piece", (F.col("kind") == STOP).alias("is_stop"))
     )
 
 

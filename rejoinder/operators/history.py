@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.plans.skew import previous_rows
+from rejoinder.plans.skew import block_start, previous_rows
 
 # Messages per block of a session; longer sessions are spread over several tasks.
 BLOCK = 10_000
@@ -19,7 +19,7 @@ def history_before(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) ->
         ["ord"],
         F.struct("role", "text"),
         n,
-        F.floor(F.col("ord") / block_rows),
+        block_start(F.col("ord"), block_rows),
         "history",
     )
 
@@ -36,7 +36,7 @@ def history_after(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) -> D
             ["ord"],
             F.struct("role", "text"),
             n + 1,
-            F.floor(F.col("ord") / block_rows),
+            block_start(F.col("ord"), block_rows),
             "_before",
         )
         .filter(F.col("role") == "assistant")

@@ -37,6 +37,37 @@ def call_model(
     return prompts.select("prompt_hash", "prompt").mapInPandas(run, f"prompt_hash string, {_ANSWER}")
 
 
+def _row_by_row(
+    df: DataFrame,
+    make_client: MakeClient,
+    prompt: str,
+    retry: Retry | None,
+    batch_size: int,
+    max_concurrency: int | None,
+    keep_prompt: bool,
+) -> DataFrame:
+    retry = retry or Retry()
+    kept = [f for f in df.schema.fields if keep_prompt or f.name != prompt]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *T._parse_datatype_string(_ANSWER).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for batch in batches:
+            asked = batch[prompt].notna().to_numpy().nonzero()[0]
+            out: list = [(None, None, 0, None)] * len(batch)
+            for at in range(0, len(asked), batch_size):
+                some = asked[at : at + batch_size]
+                texts = batch[prompt].iloc[some].tolist()
+                for i, answer in zip(some, ask(client, texts, retry), strict=True):
+                    out[i] = answer
+            answers = pd.DataFrame(out, columns=["raw", "error", "attempts", "latency_s"], index=batch.index)
+            yield pd.concat([batch[names], answers], axis=1)
+
+    rows = df.repartition(max_concurrency) if max_concurrency else df
+    return rows.mapInPandas(run, schema)
+
+
 def batch_inference(
     df: DataFrame,
     make_client: MakeClient,
@@ -45,13 +76,16 @@ def batch_inference(
     batch_size: int = 32,
     max_concurrency: int | None = None,
     keep_prompt: bool = False,
+    dedupe: bool = True,
 ) -> DataFrame:
     """Add ``raw``, ``error``, ``attempts`` and ``latency_s`` to every row of ``df``.
 
-    Equal prompts are sent once. A prompt that keeps failing gives an error row, not a failed
-    job. ``max_concurrency`` caps the number of tasks that talk to the model. The result is not
+    Equal prompts are sent once; ``dedupe=False`` sends every row's own prompt in one pass,
+    without a join. A prompt that keeps failing gives an error row, not a failed job. ``max_concurrency`` caps the number of tasks that talk to the model. The result is not
     repeatable with a real model, so save it before it is used twice.
     """
+    if not dedupe:
+        return _row_by_row(df, make_client, prompt, retry, batch_size, max_concurrency, keep_prompt)
     # rows without a prompt get no answer; their own hash keeps them from meeting in one task
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     own = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))

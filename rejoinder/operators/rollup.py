@@ -145,16 +145,22 @@ def consolidated_summary(
         lists = _buckets(level, budget, shrink=not first)
         # a text that is a summary already and stands alone is passed on as it is
         alone = F.lit(False) if first else F.size("items") == 1
-        asked = prompt_summary(lists.withColumn("_alone", alone))
-        answered = batch_inference(
-            asked.withColumn("prompt", F.when(~F.col("_alone"), F.col("prompt"))), make_client, **calls
+        asked = prompt_summary(lists).select(
+            "session_id",
+            "block",
+            "place",
+            "reviews",
+            "failed",
+            F.when(alone, F.col("items")[0]).alias("_passed_on"),
+            F.when(~alone, F.col("prompt")).alias("prompt"),
         )
+        answered = batch_inference(asked, make_client, dedupe=False, **calls)
         level = saved(
             answered.select(
                 "session_id",
                 "block",
                 "place",
-                F.when(F.col("_alone"), F.col("items")[0]).otherwise(F.coalesce("raw", F.lit(""))).alias("text"),
+                F.coalesce("_passed_on", "raw", F.lit("")).alias("text"),
                 "reviews",
                 (F.col("failed") | F.col("error").isNotNull()).alias("failed"),
             ),

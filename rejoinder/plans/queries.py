@@ -674,14 +674,29 @@ def chat_log_build(spark, t, folder):
 # ---- deltas and streams ------------------------------------------------------------------
 
 
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """A small test file is one split; unrolling it into events needs more than one core."""
+    return documents.select("doc_id", "text").repartition(cores(documents))
+
+
+def delta_events_of(t: fx.Tables) -> DataFrame:
+    documents = t("documents")
+    few = documents.rdd.getNumPartitions() < cores(documents)
+    return fx.delta_events(spread(documents) if few else documents)
+
+
 @query
 def delta_assemble(spark, t, folder):
-    return deltas.assemble(deltas.decode(fx.delta_events(t("documents")))).select("message_id", "text")
+    return deltas.assemble(deltas.decode(delta_events_of(t))).select("message_id", "text")
 
 
 @query
 def delta_tokens(spark, t, folder):
-    return deltas.tokens_per_message(deltas.decode(fx.delta_events(t("documents"))))
+    return deltas.tokens_per_message(deltas.decode(delta_events_of(t)))
 
 
 def live_log_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -690,7 +705,7 @@ def live_log_of(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_delta_assemble(spark, t, folder):
-    stream = fx.delta_events(runner.stream_table(spark, folder, "documents.parquet"))
+    stream = fx.delta_events(spread(runner.stream_table(spark, folder, "documents.parquet")))
     done = runner.run_append(live_deltas.live_assemble(stream), "replies")
     return done.select("message_id", "text", "complete")
 

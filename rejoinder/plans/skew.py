@@ -23,7 +23,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the smallest ``order`` for every key; null keys are one key.
 
-    An aggregate, not a window, so every task first cuts a hot key down to one row.
+    An aggregate, not a window, so every task first cuts a hot key down to one row. The keys
+    come back out of the picked row: a join on them shuffles the result once more, and only a
+    join with a shuffle on both sides gets its hot keys split at run time.
     """
     picked = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
     return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(picked).select("_row.*")
@@ -33,6 +35,11 @@ def last_n(array: Column, n: int) -> Column:
     return F.when(F.size(array) <= n, array).otherwise(F.slice(array, -n, n))
 
 
+def block_start(value: Column, size: int) -> Column:
+    """Start of the block of ``size`` whole numbers that ``value`` lies in."""
+    return value - F.pmod(value, F.lit(size))
+
+
 def previous_rows(
     df: DataFrame,
     keys: list[str],
@@ -47,7 +54,7 @@ def previous_rows(
     Same result as one window per key, but a key is cut into blocks so that a hot key is
     spread over many tasks. ``block`` must not decrease with ``order``. Each block passes on
     its last ``n`` payloads; a small window over blocks turns these into what a block
-    inherits from the ones before it.
+    inherits from the ones before it. Keys must not be null.
     """
     rows = df.withColumn("_block", block).withColumn("_payload", payload)
     by_block = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -62,9 +69,10 @@ def previous_rows(
         .filter(F.size("_inherited") > 0)
         .select(*[F.col(k).alias(f"_i_{k}") for k in keys], F.col("_block").alias("_i_block"), "_inherited")
     )
+    # plain equality, so that the join finds the rows where the window left them
     same = F.col("_block") == F.col("_i_block")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_i_{k}"))
+        same = same & (F.col(k) == F.col(f"_i_{k}"))
     both = F.when(F.col("_inherited").isNull(), F.col("_own")).otherwise(
         last_n(F.concat("_inherited", "_own"), n)
     )

@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rejoinder.operators.deltas import PIECE, STOP
+from rejoinder.operators.deltas import STOP, read_events
 
 _STATE = "firsts array<bigint>, lasts array<bigint>, texts array<string>, stop bigint"
 
 
 def _runs(events: DataFrame, payload: str) -> DataFrame:
     """Every event as a run of length one; events without text stay, so that gaps can be seen."""
-    kind = F.col("_e.type")
-    text = F.when(kind == PIECE, F.coalesce("_e.delta.text", F.lit(""))).when(kind == STOP, "\n").otherwise("")
-    return events.withColumn("_e", F.from_json(payload, "type string, delta struct<text:string>")).select(
+    return read_events(events, payload).select(
         "message_id",
         F.col("seq").alias("first"),
         F.col("seq").alias("last"),
-        text.alias("text"),
-        F.coalesce(kind == STOP, F.lit(False)).alias("stop"),
+        F.coalesce("piece", F.lit("")).alias("text"),
+        F.coalesce(F.col("kind") == STOP, F.lit(False)).alias("stop"),
     )
 
 

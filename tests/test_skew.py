@@ -1,0 +1,131 @@
+"""Blocked windows, parts and joins against plain ones, with a key that owns most rows."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rejoinder.operators.dashboard import session_gaps
+from rejoinder.operators.history import history_after, history_before
+from rejoinder.plans.skew import broadcast_if_small, collect_parts, first_per_key
+
+
+def messages(spark, seed, n=400):
+    rng = random.Random(seed)
+    seen, out = {}, []
+    for _ in range(n):
+        session = "hot" if rng.random() < 0.6 else f"s{rng.randrange(30)}"
+        # gaps in the order, some wider than a block
+        seen[session] = seen.get(session, -1) + rng.choice([1, 1, 1, 2, 25])
+        out.append((session, seen[session], rng.choice(["user", "assistant"]), f"t{rng.randrange(1000)}"))
+    rng.shuffle(out)
+    return spark.createDataFrame(out, "session_id string, ord bigint, role string, text string"), out
+
+
+@pytest.mark.parametrize("seed, block", [(1, 4), (2, 7), (3, 1), (4, 10_000)])
+def test_history_is_the_same_for_any_block_size(spark, seed, block):
+    df, data = messages(spark, seed)
+    by_session = {}
+    for s, o, r, t in sorted(data):
+        by_session.setdefault(s, []).append((o, r, t))
+    before, after = {}, {}
+    for s, turns in by_session.items():
+        for i, (o, r, _) in enumerate(turns):
+            before[s, o] = [(a, b) for _, a, b in turns[max(0, i - 3) : i]]
+            if r == "assistant":
+                after[s, o] = [(a, b) for _, a, b in turns[max(0, i - 4) : i + 1]]
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_before(df, 3, block).collect()}
+    assert got == before
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_after(df, 3, block).collect()}
+    assert got == after
+
+
+@pytest.mark.parametrize("hours", [1, 24])
+def test_gaps_equal_a_plain_lag(spark, rows, hours):
+    rng = random.Random(5)
+    data = [(i, "hot" if rng.random() < 0.5 else f"s{i % 7}", 1_700_000_000 + rng.randrange(400_000)) for i in range(300)]
+    log = spark.createDataFrame(data, "id bigint, session_id string, s bigint").select(
+        "id", "session_id", F.timestamp_seconds("s").alias("timestamp")
+    )
+    plain = log.withColumn(
+        "gap_s",
+        F.unix_seconds("timestamp")
+        - F.lag(F.unix_seconds("timestamp")).over(Window.partitionBy("session_id").orderBy("timestamp", "id")),
+    )
+    want = rows(plain.select("id", F.col("gap_s").cast("double")))
+    assert rows(session_gaps(log, hours), "id", "gap_s") == want
+
+
+def test_hot_window_key_is_spread(spark):
+    """No shuffle of the message rows is by session alone."""
+    df, _ = messages(spark, 9)
+    plan = history_before(df, 3, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(session_id" in plan
+    per_session = [line for line in plan.splitlines() if "Window" in line and "_block" not in line]
+    assert per_session == []
+
+
+def test_first_per_key_keeps_one_row_for_null_keys(spark, rows):
+    df = spark.createDataFrame(
+        [(None, 3, "c"), (None, 1, "a"), ("x", 2, "b"), ("x", 5, "z")], "k string, pos int, v string"
+    )
+    assert rows(first_per_key(df, ["k"], ["pos"])) == [("x", 2, "b"), (None, 1, "a")]
+
+
+def test_parts_hold_every_value_once(spark):
+    data = [("hot", f"v{i:04d}") for i in range(1000)] + [("small", "b"), ("small", "a")]
+    df = spark.createDataFrame(data, "k string, v string")
+    parts = collect_parts(df, ["k"], "v", 100).collect()
+    small = [r for r in parts if r.k == "small"]
+    assert [(r.part, r["items"]) for r in small] == [(0, ["a", "b"])]
+    hot = [r for r in parts if r.k == "hot"]
+    assert len(hot) > 5 and max(len(r["items"]) for r in hot) < 200
+    assert sorted(v for r in hot for v in r["items"]) == [v for k, v in data if k == "hot"]
+
+
+def test_broadcast_only_below_the_bound(spark):
+    big, small = spark.range(5000), spark.range(10).withColumnRenamed("id", "k")
+
+    def plan(side):
+        return big.join(side, big.id == side.k)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(broadcast_if_small(small))
+    assert "strategy=broadcast" not in plan(broadcast_if_small(small, max_rows=5))
+
+
+def test_hot_join_key_is_split_at_run_time(spark):
+    """A survey that a third of all requests name: the lookup join splits it."""
+    from rejoinder.operators.lookups import survey_lookup
+
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "60KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        requests = spark.range(0, 30_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("survey_id"),
+            F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("comment"),
+        )
+        master = spark.range(20_000).select(
+            F.col("id").alias("survey_id"),
+            F.lit("c").alias("contact"),
+            F.lit("r").alias("review_text"),
+            F.lit(1).alias("review_rating"),
+            F.col("id").alias("pos"),
+        )
+        found = survey_lookup(requests, master)
+        assert found.filter("contact is not null").count() == 30_000 - len([i for i in range(20_000, 30_000) if i % 3])
+        done = survey_lookup(requests, master)
+        done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
