@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,6 +27,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def _clients_of_this_module_reach_the_workers(request):
+    cloudpickle.register_pickle_by_value(request.module)
+
+
 @pytest.fixture
 def retry():
     return Retry(max_attempts=3, first_wait_s=0)
