@@ -32,8 +32,9 @@ def live_assemble(
 
     A message is given out when its stop event and everything before it, from ``first_seq`` on,
     have arrived, in whatever order; its state is then dropped. One that gets no further events
-    for ``give_up_after_ms`` is given out as it stands with ``complete`` false. Each event must
-    come once. Before the shuffle neighbouring pieces in an Arrow batch are joined.
+    for ``give_up_after_ms`` is given out as it stands with ``complete`` false; a query with that
+    timer always has a next batch, so run it on a processing-time trigger. Each event must come
+    once. Before the shuffle neighbouring pieces in an Arrow batch are joined.
     """
 
     def join_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,8 @@ def live_history(messages: DataFrame, n: int = 3, forget_after_ms: int | None =
 
     Messages may come in any order. Before the shuffle each Arrow batch keeps the last ``n``
     of every session in it, which is all that can matter, so a hot session stays small.
-    A session silent for ``forget_after_ms`` is forgotten.
+    A session silent for ``forget_after_ms`` is forgotten; a query with that timer always has a
+    next batch, so run it on a processing-time trigger, not until all input is read.
     """
 
     def last_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

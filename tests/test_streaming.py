@@ -67,6 +67,7 @@ def test_message_without_stop_is_given_up(spark, tmp_path):
     path = write_files(tmp_path / "in", first, 1)
     stream = live_assemble(stream_deltas(spark, path), give_up_after_ms=1)
     out = str(tmp_path / "out")
+    spark.createDataFrame([], stream.schema).write.parquet(out)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -75,11 +76,11 @@ def test_message_without_stop_is_given_up(spark, tmp_path):
         .start()
     )
     try:
-        end = time.time() + 60
+        # a query with a timer always has a next batch, so there is no "all done" to wait for
+        end = time.time() + 40
         got = {}
         while time.time() < end and 3 not in got:
-            time.sleep(0.5)
-            query.processAllAvailable()
+            time.sleep(1)
             got = {r.message_id: (r.text, r.complete) for r in spark.read.schema(stream.schema).parquet(out).collect()}
     finally:
         query.stop()
@@ -150,5 +151,5 @@ def test_memory_of_shuffled_messages(spark, tmp_path, files):
     df = spark.createDataFrame(data, "session_id string, ord bigint, role string, text string")
     df.repartition(files).write.parquet(path)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    kept = runner.run_update(memory.live_history(stream, forget_after_ms=3_600_000), ["session_id"], "m").collect()
+    kept = runner.run_update(memory.live_history(stream), ["session_id"], "m").collect()
     assert {r.session_id: [tuple(m) for m in r.history] for r in kept} == {s: m[-3:] for s, m in want.items()}
