@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.functions.text import first_line, to_number
-from rejoinder.plans.skew import block_start, previous_rows
+from rejoinder.plans.skew import HOT_ROWS, block_start, previous_rows
 
 # Fixed value: the flat price per token on the dashboard.
 FLAT_PRICE = "0.0001"
@@ -135,7 +135,7 @@ def latest_by_session(log: DataFrame, session_id: str | None = None) -> DataFram
     return rows.groupBy("session_id").agg(newest).select("_row.*")
 
 
-def session_gaps(log: DataFrame, block_hours: int = 24) -> DataFrame:
+def session_gaps(log: DataFrame, block_hours: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Seconds since the previous row of the same session, null on its first row."""
     slim = log.filter(F.col("session_id").isNotNull()).select("session_id", "timestamp", "id")
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
@@ -147,6 +147,7 @@ def session_gaps(log: DataFrame, block_hours: int = 24) -> DataFrame:
         1,
         block_start(micros, block_hours * 3_600_000_000),
         "_before",
+        hot_rows,
     )
     return with_before.select(
         "session_id",

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.plans.skew import block_start, previous_rows
+from rejoinder.plans.skew import HOT_ROWS, block_start, previous_rows
 
-# Messages per block of a session; longer sessions are spread over several tasks.
+# Messages per block of a session that is spread over several tasks.
 BLOCK = 10_000
 
 
-def history_before(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) -> DataFrame:
+def history_before(
+    messages: DataFrame, n: int = 3, block_rows: int = BLOCK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``history``: the last ``n`` messages of the session before each message."""
     return previous_rows(
         messages,
@@ -21,10 +23,13 @@ def history_before(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) ->
         n,
         block_start(F.col("ord"), block_rows),
         "history",
+        hot_rows,
     )
 
 
-def history_after(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) -> DataFrame:
+def history_after(
+    messages: DataFrame, n: int = 3, block_rows: int = BLOCK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Replies only, with the history as it stands once the reply is in.
 
     Up to ``n`` messages before the prompt, then the prompt and the reply.
@@ -38,6 +43,7 @@ def history_after(messages: DataFrame, n: int = 3, block_rows: int = BLOCK) -> D
             n + 1,
             block_start(F.col("ord"), block_rows),
             "_before",
+            hot_rows,
         )
         .filter(F.col("role") == "assistant")
         .withColumn("history", F.concat("_before", F.array(F.struct("role", "text"))))

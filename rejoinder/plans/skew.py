@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rejoinder.plans.session import saved
+
 # A side is broadcast only after a count shows it has at most this many rows.
 BROADCAST_ROWS = 100_000
+# A key with more rows than this is spread over several tasks.
+HOT_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,35 +52,51 @@ def previous_rows(
     n: int,
     block: Column,
     name: str = "previous",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``name``: the payloads of the ``n`` rows before each row of its key, oldest first.
 
-    Same result as one window per key, but a key is cut into blocks so that a hot key is
-    spread over many tasks. ``block`` must not decrease with ``order``. Each block passes on
-    its last ``n`` payloads; a small window over blocks turns these into what a block
-    inherits from the ones before it. Keys must not be null.
+    Keys must not be null. A first pass over the key columns alone looks for keys with more than
+    ``hot_rows`` rows. Without any, this is one window per key. With some, their rows are cut into
+    blocks and so spread over many tasks: each block passes on its last ``n`` payloads, and a
+    small window over blocks turns these into what a block inherits from the ones before it.
+    ``block`` must not decrease with ``order``.
     """
-    rows = df.withColumn("_block", block).withColumn("_payload", payload)
-    by_block = Window.partitionBy(*keys, "_block").orderBy(*order)
-    rows = rows.withColumn("_own", F.collect_list("_payload").over(by_block.rowsBetween(-n, -1)))
+    rows = df.withColumn("_payload", payload)
+    hot = saved(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys),
+        "hot-keys",
+    )
+    if hot.isEmpty():
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        return rows.withColumn(name, F.collect_list("_payload").over(before)).drop("_payload")
+
+    # at most one hot key per hot_rows rows
+    flagged = broadcast_if_small(hot.withColumn("_hot", F.lit(True)))
+    rows = rows.join(flagged, keys, "left").withColumn("_block", F.when(F.col("_hot"), block))
+    by_block = Window.partitionBy(*keys, "_block")
+    rows = rows.withColumn(
+        "_own", F.collect_list("_payload").over(by_block.orderBy(*order).rowsBetween(-n, -1))
+    )
 
-    tails = rows.groupBy(*keys, "_block").agg(
-        F.max_by(F.struct("_own", "_payload"), F.struct(*order)).alias("_t")
-    ).select(*keys, "_block", last_n(F.concat("_t._own", F.array("_t._payload")), n).alias("_tail"))
+    newest_first = by_block.orderBy(*[F.desc(c) for c in order])
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "_payload")))
+    tails = (
+        rows.filter("_hot")
+        .drop("_own")
+        .withColumn("_rank", F.row_number().over(newest_first))
+        .filter(F.col("_rank") <= n)
+        .groupBy(*keys, "_block")
+        .agg(F.transform(ordered, lambda x: x["_payload"]).alias("_tail"))
+    )
     over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(-n, -1)
-    inherited = (
-        tails.withColumn("_inherited", last_n(F.flatten(F.collect_list("_tail").over(over_blocks)), n))
-        .filter(F.size("_inherited") > 0)
-        .select(*[F.col(k).alias(f"_i_{k}") for k in keys], F.col("_block").alias("_i_block"), "_inherited")
+    inherited = tails.select(
+        *keys, "_block", last_n(F.flatten(F.collect_list("_tail").over(over_blocks)), n).alias("_inherited")
     )
-    # plain equality, so that the join finds the rows where the window left them
-    same = F.col("_block") == F.col("_i_block")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_i_{k}"))
     both = F.when(F.col("_inherited").isNull(), F.col("_own")).otherwise(
         last_n(F.concat("_inherited", "_own"), n)
     )
-    return rows.join(inherited, same, "left").select(*df.columns, both.alias(name))
+    return rows.join(inherited, [*keys, "_block"], "left").select(*df.columns, both.alias(name))
 
 
 def collect_parts(

@@ -23,8 +23,8 @@ def messages(spark, seed, n=400):
     return spark.createDataFrame(out, "session_id string, ord bigint, role string, text string"), out
 
 
-@pytest.mark.parametrize("seed, block", [(1, 4), (2, 7), (3, 1), (4, 10_000)])
-def test_history_is_the_same_for_any_block_size(spark, seed, block):
+@pytest.mark.parametrize("seed, block, hot", [(1, 4, 50), (2, 7, 3), (3, 1, 0), (4, 10_000, 50), (5, 5, 10_000)])
+def test_history_is_the_same_for_any_block_size(spark, seed, block, hot):
     df, data = messages(spark, seed)
     by_session = {}
     for s, o, r, t in sorted(data):
@@ -35,14 +35,14 @@ def test_history_is_the_same_for_any_block_size(spark, seed, block):
             before[s, o] = [(a, b) for _, a, b in turns[max(0, i - 3) : i]]
             if r == "assistant":
                 after[s, o] = [(a, b) for _, a, b in turns[max(0, i - 4) : i + 1]]
-    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_before(df, 3, block).collect()}
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_before(df, 3, block, hot).collect()}
     assert got == before
-    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_after(df, 3, block).collect()}
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_after(df, 3, block, hot).collect()}
     assert got == after
 
 
-@pytest.mark.parametrize("hours", [1, 24])
-def test_gaps_equal_a_plain_lag(spark, rows, hours):
+@pytest.mark.parametrize("hours, hot", [(1, 60), (24, 0), (1, 10_000)])
+def test_gaps_equal_a_plain_lag(spark, rows, hours, hot):
     rng = random.Random(5)
     data = [(i, "hot" if rng.random() < 0.5 else f"s{i % 7}", 1_700_000_000 + rng.randrange(400_000)) for i in range(300)]
     log = spark.createDataFrame(data, "id bigint, session_id string, s bigint").select(
@@ -54,16 +54,20 @@ def test_gaps_equal_a_plain_lag(spark, rows, hours):
         - F.lag(F.unix_seconds("timestamp")).over(Window.partitionBy("session_id").orderBy("timestamp", "id")),
     )
     want = rows(plain.select("id", F.col("gap_s").cast("double")))
-    assert rows(session_gaps(log, hours), "id", "gap_s") == want
+    assert rows(session_gaps(log, hours, hot), "id", "gap_s") == want
 
 
 def test_hot_window_key_is_spread(spark):
     """No shuffle of the message rows is by session alone."""
     df, _ = messages(spark, 9)
-    plan = history_before(df, 3, 8)._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(session_id" in plan
-    per_session = [line for line in plan.splitlines() if "Window" in line and "_block" not in line]
-    assert per_session == []
+    def windows(hot):
+        plan = history_before(df, 3, 8, hot)._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in plan.splitlines() if "Window [" in line]
+
+    # by session and block for the rows; by session only for the block ends
+    assert len([w for w in windows(50) if "_payload" in w and "_block" in w]) == 1
+    assert len([w for w in windows(50) if "_block" not in w]) == 0
+    assert len(windows(10_000)) == 1
 
 
 def test_first_per_key_keeps_one_row_for_null_keys(spark, rows):
