@@ -244,10 +244,15 @@ def delta_events(documents: DataFrame) -> DataFrame:
     )
 
 
+def _constants(spark: SparkSession, names: list[str], rows: Sequence[tuple]) -> DataFrame:
+    """A small table of literals that never leaves the JVM."""
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*entries)))
+
+
 def prices(spark: SparkSession) -> DataFrame:
     """Two known models; a third one that requests name is left out on purpose."""
-    frame = spark.createDataFrame(MODEL_PRICES, "model string, p string, c string")
-    return frame.select(
+    return _constants(spark, ["model", "p", "c"], MODEL_PRICES).select(
         "model",
         F.col("p").cast("decimal(18,8)").alias("prompt_price"),
         F.col("c").cast("decimal(18,8)").alias("completion_price"),
@@ -261,11 +266,11 @@ def model_of(key: Column) -> Column:
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in THEMES], "theme string")
+    return _constants(spark, ["theme"], [(x,) for x in THEMES])
 
 
 def keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KEYWORDS, "theme string, keyword string")
+    return _constants(spark, ["theme", "keyword"], KEYWORDS)
 
 
 def catalog_json(t: Tables) -> DataFrame:
