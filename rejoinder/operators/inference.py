@@ -82,7 +82,8 @@ def batch_inference(
 
     Equal prompts are sent once; ``dedupe=False`` sends every row's own prompt in one pass,
     without a join. A prompt that keeps failing gives an error row, not a failed job. ``max_concurrency`` caps the number of tasks that talk to the model. The result is not
-    repeatable with a real model, so save it before it is used twice.
+    repeatable with a real model, so save it before it is used twice. Looking for equal prompts
+    reads ``df`` twice: where making it is costly, save it first.
     """
     if not dedupe:
         return _row_by_row(df, make_client, prompt, retry, batch_size, max_concurrency, keep_prompt)

@@ -39,14 +39,15 @@ def parse_replies(
         ]
     )
     reply = F.from_json(json_object(F.col(raw)), wide)
-    out = df.withColumn("_reply", reply)
+    # a generator is evaluated once; as a plain column the JSON would be read again by every
+    # filter on one of its fields
+    places = {name: f"_reply_{i}" for i, name in enumerate(wide.fieldNames())}
+    out = df.select("*", F.inline_outer(F.array(reply)).alias(*places.values()))
     fields = {
-        field.name: F.coalesce(
-            *[F.col("_reply").getField(name) for name in [field.name, *aliases.get(field.name, [])]]
-        )
+        field.name: F.coalesce(*[places[name] for name in [field.name, *aliases.get(field.name, [])]])
         for field in schema.fields
     }
-    out = out.withColumns(fields).drop("_reply")
+    out = out.withColumns(fields).drop(*places.values())
     missing = F.filter(
         F.array(*[F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in schema.fields]),
         lambda name: name.isNotNull(),

@@ -165,3 +165,9 @@ def test_stand_in_knows_its_tasks():
     with pytest.raises(ValueError, match="no rule"):
         StandIn().reply("Task: something else")
     assert StandIn().reply("Task: answer feedback.\n<feedback>\na b\n</feedback>") == "Thank you for 2 words"
+
+
+def test_json_is_read_once_per_reply(spark):
+    df = spark.createDataFrame([("{}",)], "raw string")
+    plan = parse.accepted(parse.parse_replies(df, ANALYSIS_REPLY))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from rejoinder.operators.dashboard import session_gaps
 from rejoinder.operators.history import history_after, history_before
+from rejoinder.operators.inference import batch_inference
+from rejoinder.operators.lookups import survey_lookup
 from rejoinder.plans.skew import broadcast_if_small, collect_parts, first_per_key
 
 
@@ -98,10 +100,9 @@ def test_broadcast_only_below_the_bound(spark):
     assert "strategy=broadcast" not in plan(broadcast_if_small(small, max_rows=5))
 
 
-def test_hot_join_key_is_split_at_run_time(spark):
-    """A survey that a third of all requests name: the lookup join splits it."""
-    from rejoinder.operators.lookups import survey_lookup
-
+@pytest.fixture
+def small_skew_limits(spark):
+    """No broadcast joins, and partitions count as skewed from 60 KB on."""
     changed = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -111,25 +112,45 @@ def test_hot_join_key_is_split_at_run_time(spark):
         "spark.sql.shuffle.partitions": "16",
     }
     before = {k: spark.conf.get(k, None) for k in changed}
-    try:
-        for k, v in changed.items():
-            spark.conf.set(k, v)
-        requests = spark.range(0, 30_000, 1, 8).select(
-            F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("survey_id"),
-            F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("comment"),
-        )
-        master = spark.range(20_000).select(
-            F.col("id").alias("survey_id"),
-            F.lit("c").alias("contact"),
-            F.lit("r").alias("review_text"),
-            F.lit(1).alias("review_rating"),
-            F.col("id").alias("pos"),
-        )
-        found = survey_lookup(requests, master)
-        assert found.filter("contact is not null").count() == 30_000 - len([i for i in range(20_000, 30_000) if i % 3])
-        done = survey_lookup(requests, master)
-        done.collect()
-        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_join_key_is_split_at_run_time(spark, small_skew_limits):
+    """A survey that a third of all requests name: the lookup join splits it."""
+    requests = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("survey_id"),
+        F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("comment"),
+    )
+    master = spark.range(20_000).select(
+        F.col("id").alias("survey_id"),
+        F.lit("c").alias("contact"),
+        F.lit("r").alias("review_text"),
+        F.lit(1).alias("review_rating"),
+        F.col("id").alias("pos"),
+    )
+    found = survey_lookup(requests, master)
+    assert found.filter("contact is not null").count() == 30_000 - len([i for i in range(20_000, 30_000) if i % 3])
+    done = survey_lookup(requests, master)
+    done.collect()
+    assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+
+
+class Echo:
+    def generate(self, prompts):
+        return list(prompts)
+
+
+def test_hot_prompt_is_sent_once_and_its_rows_are_spread(spark, small_skew_limits):
+    asked = spark.range(0, 30_000, 1, 8).select(
+        "id",
+        F.sha2(F.col("id").cast("string"), 256).alias("other"),
+        F.when(F.col("id") % 3 == 0, "same text").otherwise(F.col("id").cast("string")).alias("prompt"),
+    )
+    answered = batch_inference(asked, Echo, batch_size=1000)
+    rows = answered.collect()
+    assert len(rows) == 30_000 and sum(r.raw == "same text" for r in rows) == 10_000
+    assert "skew=true" in answered._jdf.queryExecution().executedPlan().toString()
