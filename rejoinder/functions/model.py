@@ -78,6 +78,8 @@ class StandIn:
         task = prompt.split("\n", 1)[0]
         if task == "Task: analyse one review." or task == "Task: answer in four tones.":
             return self._analysis(prompt, tones_only=task == "Task: answer in four tones.")
+        if task == "Task: analyse one review with one answer.":
+            return self._one_answer(prompt)
         if task == "Task: sum up a list of texts.":
             return self._summary(prompt)
         if task == "Task: choose classes.":
@@ -121,6 +123,21 @@ class StandIn:
         text = json.dumps(reply)
         return f"```json\n{text}\n```" if words % 7 == 0 else text
 
+    def _one_answer(self, prompt: str) -> str:
+        words = len(_between(prompt, "review").split())
+        survey = _between(prompt, "survey")
+        reply: dict = {
+            "Response": f"Dear {_between(prompt, 'customer')}, thank you for {words} words",
+            "Summary": f"A review of {words} words",
+            "Positive_Themes": ["long text" if words > 100 else "short text"],
+            "Negative_Themes": [],
+        }
+        if survey != "None":
+            scores = {q["q"]: q["score"] for q in json.loads(survey)}
+            good = scores.get("quality") == 1 and scores.get("toxic") == 0
+            reply["Sentiment"] = "promotor" if good else "non-promoter"
+        return json.dumps(reply)
+
     def _summary(self, prompt: str) -> str:
         texts = words = 0
         for item in json.loads(_between(prompt, "texts")):

@@ -71,6 +71,11 @@ def to_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def to_time(value: Column) -> Column:
+    """Timestamp from text; text that is no timestamp is an error."""
+    return F.to_timestamp(value)
+
+
 def round_half_even(value: Column, digits: int = 2) -> Column:
     return F.bround(value, digits)
 

@@ -187,6 +187,7 @@ SQL = {
                round(coalesce(sum(tokens), 0.0) * 0.0001 / count(*), 8) as cost_per_request
         from fx_chat_log""",
     "coerce_tokens": "select id, coalesce(tokens, -1.0) as tokens_used from fx_chat_log",
+    "parse_times": "select event_id, epoch_us(ts) as ts from events",
     "tokens_by_session": """
         select session_id, coalesce(sum(tokens), 0.0) as tokens_used from fx_chat_log
         where session_id is not null group by session_id""",
@@ -328,6 +329,11 @@ SQL = {
         select session_id, pos, feedback_id, default_reply as "Default", friendly as "More_friendly",
                professional as "More_Professional", concise as "More_Concise"
         from fx_analysis where ok""",
+    "one_reply_analysis": """
+        select feedback_id, default_reply as "Response", summary as "Summary", coalesce(sentiment, '') as "Sentiment",
+               case when words > 100 then 'long text' else 'short text' end as "Positive_Themes",
+               case when n_surveys = 0 then 'Sentiment' else '' end as missing_keys
+        from fx_analysis""",
     "direct_replies": f"""
         select doc_id, 'Thank you for ' || {words('text')} || ' words' as raw from documents
         where doc_id % 9 <> 0 and not regexp_full_match(text, '\\s*')""",

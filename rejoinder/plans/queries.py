@@ -89,6 +89,13 @@ def coerce_tokens(spark, t, folder):
     return log_of(t).select("id", F.coalesce("tokens_used", F.lit(-1.0)).alias("tokens_used"))
 
 
+@query
+def parse_times(spark, t, folder):
+    """Log times as text, read strictly."""
+    logged = t("events").select("event_id", F.col("ts").cast("string").alias("ts"))
+    return logged.select("event_id", F.unix_micros(text.to_time(F.col("ts"))).alias("ts"))
+
+
 @query
 def tokens_by_session(spark, t, folder):
     return dashboard.tokens_by_session(log_of(t))
@@ -445,6 +452,21 @@ def tone_replies(spark, t, folder):
     return parse.accepted(parsed).select("session_id", "pos", "feedback_id", *TONE_KEYS)
 
 
+@query
+def one_reply_analysis(spark, t, folder):
+    """One answer per review, judged from its first survey."""
+    first = flatten.first_survey(F.col("surveys"))
+    parsed = analysis.one_reply_analysis(fx.feedback_rows(t), first, stand_in, retry=TASK)
+    return parsed.select(
+        "feedback_id",
+        "Response",
+        "Summary",
+        F.coalesce("Sentiment", F.lit("")).alias("Sentiment"),
+        listed("Positive_Themes"),
+        listed("missing_keys"),
+    )
+
+
 @query
 def direct_replies(spark, t, folder):
     feedback = t("documents").select(
