@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rejoinder.functions.text import shown
 from rejoinder.plans.skew import HOT_ROWS, block_start, previous_rows
 
 # Messages per block of a session that is spread over several tasks.
@@ -54,5 +55,5 @@ def history_after(
 def history_text(history: Column) -> Column:
     """One ``role: text`` line per message."""
     return F.array_join(
-        F.transform(history, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n"
+        F.transform(history, lambda m: F.concat(m["role"], F.lit(": "), shown(m["text"]))), "\n"
     )

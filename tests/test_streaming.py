@@ -153,3 +153,36 @@ def test_memory_of_shuffled_messages(spark, tmp_path, files):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     kept = runner.run_update(memory.live_history(stream), ["session_id"], "m").collect()
     assert {r.session_id: [tuple(m) for m in r.history] for r in kept} == {s: m[-3:] for s, m in want.items()}
+
+
+def test_silent_session_is_forgotten(spark, tmp_path):
+    schema = "session_id string, ord bigint, role string, text string"
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def say(ord, text):
+        spark.createDataFrame([("s", ord, "user", text)], schema).coalesce(1).write.mode("append").parquet(path)
+
+    def newest():
+        seen = spark.read.schema(memory_of.schema).parquet(f"{out}/batch=*").collect()
+        return max(((r.last_ord, [m.text for m in r.history]) for r in seen), default=None)
+
+    say(1, "old")
+    memory_of = memory.live_history(spark.readStream.schema(schema).parquet(path), forget_after_ms=500)
+    query = runner.run_live(memory_of, "update", out, str(tmp_path / "checkpoint"), every="200 milliseconds")
+    try:
+        for ord, text in ((1, None), (2, "new")):
+            if text:
+                time.sleep(4)  # long enough for the timer to run out
+                say(ord, text)
+            end = time.time() + 40
+            while time.time() < end:
+                time.sleep(1)
+                try:
+                    got = newest()
+                except Exception:  # a folder that is being replaced right now
+                    continue
+                if got and got[0] == ord:
+                    break
+    finally:
+        query.stop()
+    assert got == (2, ["new"])
