@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 import random
 import time
 
@@ -94,7 +96,10 @@ def log_files(spark, tmp_path, n):
         "id", "session_id", F.timestamp_seconds("s").alias("timestamp"), "tokens_used"
     )
     path = str(tmp_path / "log")
-    log.orderBy("id").repartitionByRange(n, "id").write.parquet(path)
+    log.repartitionByRange(n, "id").write.parquet(path)
+    # a stream takes files by age: make the ages follow the ids, or early rows come too late
+    for age, name in enumerate(sorted(glob.glob(f"{path}/part-*"))):
+        os.utime(name, (1_700_000_000 + age * 60,) * 2)
     return log, spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
