@@ -6,13 +6,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from rejoinder.plans import oracles
+from rejoinder.plans.queries import QUERIES as CORE
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = dict(CORE)
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
