@@ -78,3 +78,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 start, size = i, 0
             size += n or 0
         yield batch.slice(start)
+
+
+class Pieces(dict):
+    """Numbers of pieces of text in order of their first appearance; ``new`` lists those not worked on yet."""
+
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self.next, self.new = first, []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.next
+        self.next += 1
+        self.new.append(piece)
+        return number
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new

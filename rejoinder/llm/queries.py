@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import decontaminate, simhash, tokenbin
+from rejoinder.llm import decontaminate, simhash, tokenbin, toxicity
 from rejoinder.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenbin.write(table(spark, sf_dir, "documents"), tokenizer_json())
     return tokenbin.read_documents(stored)
@@ -44,6 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op7_token_planes": op7_token_planes,
     "op9_simhash": op9_simhash,
 }
