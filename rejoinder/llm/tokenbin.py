@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rejoinder.llm.common import partitions, slices, texts_of
+from rejoinder.llm.common import Pieces, partitions, slices, texts_of
 from rejoinder.plans.session import saved
 
 END_ID = 0
@@ -39,16 +40,20 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
 MAGIC = b"PLN1"
 HEADER = "<4sBIQI"  # magic, bits per plane, ids per block, ids, blocks
+# marks between pieces and behind documents; a text that has one is encoded whole
+CUT, END = "\x1e", "\x1f"
+# words encoded in one go
+RUN = 2_000
 # pieces of text remembered with their ids; beyond it a task starts anew
 REMEMBERED = 300_000
 
 
 class Encoder:
-    """Encodes texts with a tokenizer, each distinct space-separated piece once.
+    """Encodes texts with a tokenizer of byte-level pieces, each distinct piece of text once.
 
-    A byte-level tokenizer never joins characters across the place before a single space that is followed by a
-    visible character, so pieces cut there have the ids they have within the text. A text with other
-    white space beside a space, or with a special token's string, is encoded whole.
+    The tokenizer's own pattern always parts two tokens before a single space, at a single line end and
+    before a full stop or comma that ends a word. So the pieces cut there have the ids they have within the text. A
+    text with neighbouring white space, a special token's string or one of our marks is encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int = END_ID):
@@ -57,56 +62,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" (?=\s|\Z)", *special]))
+        self.odd = re.compile("|".join([r"\s\s", f"[{CUT}{END}]", *special]))
+        # Latin letters and digits, of which every Unicode version says the same
+        self.word_end = re.compile(r"([.,!?])(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ].)(?=\s|\Z)")
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.begins = np.array([names.get(i, "").startswith("\u0120") for i in range(max(names) + 1)])
         self.end_id = end_id
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Pieces(1)
+        self.known[END] = 0
         self.flat = np.array([self.end_id], dtype=np.uint32)
         self.sizes = np.array([1], dtype=np.int64)
 
-    def learn(self, pieces: list[str]) -> int:
-        """Encode the pieces; the number of the first, the others follow."""
-        first = len(self.sizes)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
-        self.flat = np.concatenate([self.flat, *[np.array(g, dtype=np.uint32) for g in got]])
-        return first
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.array(list(chain.from_iterable(got)), dtype=np.uint32), sizes
+
+    def learn(self) -> None:
+        """Encode the new pieces, words behind a space many at a time: the one token with the space starts each."""
+        new = self.known.take_new()
+        joined = np.array([p[:1] == " " and len(p) > 1 and not p[-1].isspace() for p in new], dtype=bool)
+        words = [p for p, j in zip(new, joined.tolist()) if j]
+        runs = ["".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+        run_ids, _ = self.each(runs)
+        starts = np.flatnonzero(self.begins[run_ids])
+        other_ids, other_sizes = self.each([p for p, j in zip(new, joined.tolist()) if not j])
+        sizes = np.zeros(len(new), dtype=np.int64)
+        sizes[joined] = np.diff(np.append(starts, len(run_ids)))
+        sizes[~joined] = other_sizes
+        from_run = np.repeat(joined, sizes)
+        flat = np.empty(len(from_run), dtype=np.uint32)
+        flat[from_run], flat[~from_run] = run_ids, other_ids
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has, its end id included."""
         if len(self.known) > REMEMBERED:
             self.forget()
         plain = [not self.odd.search(t) for t in texts]
-        cut: list[list[str]] = []
+        marked = []
         for text, p in zip(texts, plain):
-            words = text.split(" ") if p else []
-            if words:
-                words[0] = " " + words[0]  # no other piece has a space, so this marks the first one
-            cut.append(words)
-        new = list({w for words in cut for w in words if w not in self.known})
-        if new:
-            first = self.learn([w[1:] if w[:1] == " " else " " + w for w in new])
-            self.known.update(zip(new, range(first, first + len(new))))
-        whole = self.learn([t for t, p in zip(texts, plain) if not p]) if not all(plain) else 0
-        order: list[int] = []
-        ends: list[int] = []
-        number = self.known.__getitem__
-        for words, p in zip(cut, plain):
             if p:
-                order.extend(map(number, words))
-            else:
-                order.append(whole)
-                whole += 1
-            order.append(0)  # the end id
-            ends.append(len(order))
-        at = np.array(order, dtype=np.int64)
+                marked.append(self.word_end.sub(rf"{CUT}\1", text).replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} "))
+                marked.append(END)
+        pieces = CUT.join(marked).split(CUT) if marked else []
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self.learn()
         sizes = self.sizes[at]
         reached = np.cumsum(sizes)
         places = np.cumsum(self.sizes) - self.sizes
-        ids = self.flat[np.repeat(places[at] - (reached - sizes), sizes) + np.arange(reached[-1])]
-        return ids, np.diff(reached[np.array(ends) - 1], prepend=0)
+        ids = self.flat[np.repeat(places[at] - (reached - sizes), sizes) + np.arange(sizes.sum())]
+        counts = np.diff(reached[at == 0], prepend=0)
+        if all(plain):
+            return ids, counts
+        whole, whole_sizes = self.each([t for t, p in zip(texts, plain) if not p])
+        own = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        others = iter(np.split(whole, np.cumsum(whole_sizes)[:-1]))
+        end = np.array([self.end_id], dtype=np.uint32)
+        docs = [next(own) if p else np.concatenate([next(others), end]) for p in plain]
+        return np.concatenate(docs), np.array(list(map(len, docs)), dtype=np.int64)
 
 
 def pack(ids: np.ndarray, plane_bits: int = 1, block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
