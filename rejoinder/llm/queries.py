@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import decontaminate, mixing, simhash, tokenbin, toxicity
+from rejoinder.llm import decontaminate, fingerprint, mixing, simhash, tokenbin, toxicity
 from rejoinder.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,20 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
         return file.read()
 
 
+def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    as_text = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text("fp").alias("fingerprint"),
+        as_text("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +87,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_token_planes": op7_token_planes,
