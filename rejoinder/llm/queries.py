@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import decontaminate, fingerprint, mixing, simhash, tokenbin, toxicity
+from rejoinder.llm import decontaminate, fingerprint, mixing, sharding, simhash, tokenbin, toxicity
 from rejoinder.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards_of(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "tokens",
+    )
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenbin.write(table(spark, sf_dir, "documents"), tokenizer_json())
     return tokenbin.read_documents(stored)
@@ -90,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_vector_shards": op6_vector_shards,
     "op7_token_planes": op7_token_planes,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
