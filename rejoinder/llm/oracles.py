@@ -31,6 +31,33 @@ select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(h.n_hit, 0) a
 from doc_words d left join hits h using (doc_id) left join items i using (doc_id)
 """
 
+# the template's control strings around each turn, and what escaping adds: a backslash for each one in a text, and one
+# for each control string
+CONTROLS = (
+    "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|eot_id|>",
+    "<|start_header_id|>", "<|end_header_id|>", "<|begin_of_text|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
+)
+
+
+def escaped_length(column: str) -> str:
+    of = lambda s: f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}"
+    return " + ".join([f"length({column})", *map(of, (chr(92), *CONTROLS))])
+
+
+REPLY_TREES = f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum({escaped_length('role')} + {escaped_length('text')} + {len("<|im_start|>" + "<|im_end|>") + 2}) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": DECONTAMINATE,
+    "op10_reply_trees": REPLY_TREES,
 }

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import decontaminate, fingerprint, mixing, sharding, simhash, tokenbin, toxicity
+from rejoinder.llm import chat, decontaminate, fingerprint, mixing, sharding, simhash, tokenbin, toxicity
 from rejoinder.llm.common import table
+from rejoinder.plans.session import saved
 
 TOKENIZER = "byte_bpe_50k.json"
 MIX_ENTROPY = 0.98
@@ -100,6 +101,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn int, role string, text string")
+    stored = saved(chat.formatted(chat.linear(given.unionByName(extra))), "chat")
+    return chat.digests(stored).drop("leaf")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op3_decontaminate": op3_decontaminate,
@@ -108,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_planes": op7_token_planes,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
+    "op10_reply_trees": op10_reply_trees,
 }
