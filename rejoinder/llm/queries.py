@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import chat, decontaminate, fingerprint, mixing, sharding, simhash, tokenbin, toxicity
+from rejoinder.llm import chat, decontaminate, fingerprint, html, mixing, sharding, simhash, tokenbin, tokencount, toxicity
 from rejoinder.llm.common import table
 from rejoinder.plans.session import saved
 
 TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 MIX_ENTROPY = 0.98
 MIX_REPETITION = 4.0
 
@@ -37,6 +38,11 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages"), "text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,6 +55,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        scores = tokencount.ranked_scores(file.readlines())
+    counted = tokencount.counted(docs, scores, public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_pretokens", "n_tokens", F.round("token_score", 3).alias("token_score"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -111,7 +125,9 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
+    "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
+    "op4_trie_token_counts": op4_trie_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_vector_shards": op6_vector_shards,
     "op7_token_planes": op7_token_planes,
