@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.functions.text import to_survey_id, with_review, word_count
-from rejoinder.plans.skew import broadcast_if_small, first_per_key
+from rejoinder.plans.skew import first_per_key
 
 
 def survey_lookup(requests: DataFrame, master: DataFrame) -> DataFrame:
@@ -32,9 +32,7 @@ def request_cost(
 
     ``per=1`` takes prices per word; ``per=1000`` takes them per thousand words.
     """
-    known = broadcast_if_small(
-        prices.select(F.col("model").alias("_model"), "prompt_price", "completion_price")
-    )
+    known = prices.select(F.col("model").alias("_model"), "prompt_price", "completion_price")
     def cost(text, price):
         value = word_count(F.col(text)).cast("decimal(10,0)") * F.col(price)
         return value if per == 1 else value / F.lit(per)
@@ -51,9 +49,16 @@ def request_cost(
 def match_revisions(requests: DataFrame, responses: DataFrame, fields: list[str]) -> DataFrame:
     """Each revision request with the stored text it names.
 
-    ``status`` is 200, or 404 with the ``reason`` when there is no such feedback or field.
+    ``status`` is 200, or 404 with the ``reason`` when there is no such feedback or field. Stored replies
+    with their JSON text in ``reply_json`` can be revised in any of their fields, others in the given ``fields``.
+    Only replies that are asked for are compared.
     """
-    by_name = F.create_map(*[part for f in fields for part in (F.lit(f), F.col(f))])
+    if "reply_json" in responses.columns:
+        by_name = F.map_filter(F.from_json("reply_json", "map<string,string>"), lambda key, _: key != "feedback_id")
+    else:
+        by_name = F.create_map(*[part for f in fields for part in (F.lit(f), F.col(f))])
+    asked = requests.select("session_id", "feedback_id").distinct()
+    responses = responses.join(asked, ["session_id", "feedback_id"], "left_semi")
     stored = first_per_key(
         responses.select("session_id", "feedback_id", "pos", by_name.alias("_texts")),
         ["session_id", "feedback_id"],

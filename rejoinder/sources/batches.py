@@ -24,3 +24,8 @@ def parse_batches(df: DataFrame, column: str) -> DataFrame:
     parsed = df.withColumn("_b", F.from_json(column, FEEDBACK_BATCH))
     keep = [c for c in df.columns if c != column]
     return parsed.select(*keep, "_b.*")
+
+
+def batch_rejects(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is no feedback batch (broken JSON, or no list of feedback), as they came."""
+    return df.filter(F.from_json(column, FEEDBACK_BATCH)["Feedback Data"].isNull())

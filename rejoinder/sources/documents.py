@@ -1,26 +1,37 @@
-"""Result documents: one JSON document per batch, kept in a Parquet table of buckets."""
+"""Result documents: one JSON document per batch, kept in a Parquet table of buckets.
+
+The table carries how it was laid out (``buckets``, ``part_rows``) in two columns, so a reader needs no
+settings of its own and can not use wrong ones.
+"""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rejoinder.plans.session import saved
-from rejoinder.schemas import ANALYSIS_REPLY, RESULT_DOCUMENT
+from rejoinder.schemas import RESPONSE, RESULT_DOCUMENT
 
 PART_ROWS = 1_000
 BUCKETS = 256
+# columns of replies that are no part of the reply itself
+BOOKKEEPING = {"session_id", "pos", "part", "reply_json", "raw", "error", "attempts", "latency_s", "parse_ok", "missing_keys"}
+STORED_RESPONSE = T.StructType([*RESPONSE.fields, T.StructField("Response", T.StringType())])
 
 
 def build_documents(
     responses: DataFrame, overview: DataFrame | None = None, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """``document`` per batch: overview, responses in batch order, session id.
+    """``document`` per batch: overview, responses in batch order with every field they have, session id.
 
     A batch of more than ``part_rows`` responses becomes several documents, numbered by
     ``part``; the overview's summary and sentiment are in part 0.
     """
-    fields = [f for f in [*ANALYSIS_REPLY.fieldNames(), "feedback_id"] if f in responses.columns]
+    fields = [c for c in responses.columns if c not in BOOKKEEPING]
     parts = (
         responses.withColumn("part", F.floor(F.col("pos") / part_rows).cast("int"))
         .groupBy("session_id", "part")
@@ -37,19 +48,51 @@ def build_documents(
         )
         parts = parts.join(own, ["session_id", "part"], "full")
     return parts.select(
-        "session_id", "part", F.to_json(F.struct("Overview", "Responses", "session_id")).alias("document")
+        "session_id",
+        "part",
+        F.to_json(F.struct("Overview", "Responses", "session_id")).alias("document"),
+        F.lit(part_rows).alias("part_rows"),
     )
 
 
-def expand_responses(documents: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Response rows of stored documents, with their place in the batch."""
-    parsed = documents.select("session_id", "part", F.from_json("document", RESULT_DOCUMENT).alias("_d"))
-    rows = parsed.select("session_id", "part", F.posexplode("_d.Responses").alias("_i", "_r"))
+def expand_responses(documents: DataFrame) -> DataFrame:
+    """Response rows of stored documents, with their place in the batch; ``reply_json`` is the whole reply in JSON."""
+    parsed = documents.select("session_id", "part", "part_rows", F.from_json("document", "Responses array<string>")["Responses"].alias("_r"))
+    rows = parsed.select("session_id", "part", "part_rows", F.posexplode("_r").alias("_i", "reply_json"))
     return rows.select(
         "session_id",
-        (F.col("part").cast("bigint") * part_rows + F.col("_i")).alias("pos"),
-        "_r.*",
+        (F.col("part").cast("bigint") * F.col("part_rows") + F.col("_i")).alias("pos"),
+        "reply_json",
+        F.from_json("reply_json", STORED_RESPONSE).alias("_f"),
+    ).select("session_id", "pos", "reply_json", "_f.*")
+
+
+def _changed(documents: pd.Series, changes: pd.Series) -> pd.Series:
+    def one(text, asked):
+        body = json.loads(text)
+        for change in asked:
+            body["Responses"][change["place"]][change["key"]] = change["text"]
+        return json.dumps(body, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([one(t, c) for t, c in zip(documents, changes, strict=True)])
+
+
+def revise_documents(documents: DataFrame, revised: DataFrame) -> DataFrame:
+    """The documents that a revision touches, with the revised texts in place; all else in them stays as it is.
+
+    Of several revisions of one text the one with the largest ``request_id`` counts.
+    """
+    done = (
+        revised.filter("status = 200")
+        .groupBy("session_id", "pos", F.col("modification_key").alias("key"))
+        .agg(F.max_by("revised_text", "request_id").alias("text"))
     )
+    layout = documents.select("session_id", "part", "part_rows")
+    placed = done.join(layout, (done["session_id"] == layout["session_id"]) & (F.floor(F.col("pos") / F.col("part_rows")) == F.col("part")))
+    change = F.struct((F.col("pos") % F.col("part_rows")).cast("int").alias("place"), "key", "text")
+    changes = placed.groupBy(done["session_id"], "part").agg(F.collect_list(change).alias("_changes"))
+    changed = F.pandas_udf(_changed, "string")
+    return documents.join(changes, ["session_id", "part"]).withColumn("document", changed("document", "_changes")).drop("_changes")
 
 
 def stored_overviews(documents: DataFrame) -> DataFrame:
@@ -57,56 +100,63 @@ def stored_overviews(documents: DataFrame) -> DataFrame:
     return parsed.filter("_d.Overview is not null").select("session_id", "part", "_d.Overview.*")
 
 
-def _bucketed(documents: DataFrame, buckets: int) -> DataFrame:
-    return documents.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+COLUMNS = ["session_id", "part", "document", "part_rows", "buckets", "bucket"]
 
 
-def write_documents(documents: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
-    """Write the table. Sessions share ``buckets`` folders, sorted inside a file for skipping.
+def _bucketed(documents: DataFrame, buckets: int) -> DataFrame:
+    return documents.withColumn("buckets", F.lit(buckets)).withColumn(
+        "bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    )
 
-    Parts of a large session go to several files of its bucket, not through one task.
-    """
-    placed = _bucketed(documents, buckets)
+
+def _write(placed: DataFrame, path: str, mode: str) -> None:
+    """One folder for each bucket; a large bucket is written by as many tasks as its size asks for."""
     (
-        placed.repartition("bucket", F.floor(F.col("part") / 16))
+        placed.select(*COLUMNS)
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "session_id", "part")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)
     )
 
 
-def read_documents(
-    spark: SparkSession, path: str, session_id: str | None = None, buckets: int = BUCKETS
-) -> DataFrame:
+def write_documents(documents: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
+    """Write the table. Sessions share ``buckets`` folders, sorted inside a file for skipping."""
+    _write(_bucketed(documents, buckets), path, mode)
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    """The number of buckets a table was written with."""
+    row = spark.read.parquet(path).select("buckets").first()
+    if row is None:
+        raise ValueError(f"no documents in {path}")
+    return row["buckets"]
+
+
+def read_documents(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
     """All documents, or those of one session: then only its bucket is opened."""
     documents = spark.read.parquet(path)
     if session_id is not None:
-        wanted = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(buckets)).cast("int")
+        wanted = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(buckets_of(spark, path))).cast("int")
         documents = documents.filter((F.col("bucket") == wanted) & (F.col("session_id") == session_id))
     return documents
 
 
-def replace_documents(spark: SparkSession, path: str, changed: DataFrame, buckets: int = BUCKETS) -> None:
+def replace_documents(spark: SparkSession, path: str, changed: DataFrame) -> None:
     """Put changed documents in place of the stored ones with the same session and part.
 
-    Only the buckets that hold a changed document are written again, and they are staged in the
+    Only the buckets that hold a changed document are read and written again, and they are staged in the
     shared folder first, as a table must not be overwritten while it is being read.
     """
-    new = saved(_bucketed(changed.select("session_id", "part", "document"), buckets), "changed")
-    touched = F.broadcast(new.select("bucket").distinct())  # at most `buckets` rows
-    kept = (
-        spark.read.parquet(path)
-        .join(touched, "bucket", "left_semi")
-        .join(new.select("session_id", "part"), ["session_id", "part"], "left_anti")
-    )
-    columns = ["session_id", "part", "document", "bucket"]
-    staged = saved(kept.select(*columns).unionByName(new.select(*columns)), "staged")
-    (
-        staged.repartition("bucket", F.floor(F.col("part") / 16))
-        .sortWithinPartitions("bucket", "session_id", "part")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    buckets = buckets_of(spark, path)
+    new = saved(_bucketed(changed.select("session_id", "part", "document", "part_rows"), buckets), "changed")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    sizes = new.select("session_id", F.col("part_rows").alias("_own")).distinct()
+    if stored.join(sizes, "session_id").filter("part_rows <> _own").head(1):
+        raise ValueError("documents of a session are cut into parts of another size")
+    kept = stored.join(new.select("session_id", "part"), ["session_id", "part"], "left_anti")
+    staged = saved(kept.select(*COLUMNS).unionByName(new.select(*COLUMNS)), "staged")
+    _write(staged, path, "overwrite")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.functions.model import stand_in
+from rejoinder.plans.stand_in import stand_in
 from rejoinder.operators import revise, rollup
 from rejoinder.operators.lookups import match_revisions, survey_lookup
 from rejoinder.schemas import RESPONSE, TONE_KEYS
@@ -36,7 +36,7 @@ def test_round_trip(spark, tmp_path, rows, responses, part_rows):
     built = documents.build_documents(responses, overview_of(responses), part_rows)
     documents.write_documents(built, path, buckets=4)
     stored = documents.read_documents(spark, path)
-    assert rows(documents.expand_responses(stored, part_rows), *responses.columns) == rows(responses)
+    assert rows(documents.expand_responses(stored), *responses.columns) == rows(responses)
     assert stored.count() == sum(-(-(s + 1) // part_rows) for s in range(5))
     assert {r.Summary for r in documents.stored_overviews(stored).collect()} == {"all fine"}
 
@@ -52,7 +52,7 @@ def test_document_text(responses):
 def test_one_session_opens_one_bucket(spark, tmp_path, responses):
     path = str(tmp_path / "docs")
     documents.write_documents(documents.build_documents(responses), path, buckets=4)
-    one = documents.read_documents(spark, path, "s3", buckets=4)
+    one = documents.read_documents(spark, path, "s3")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
     assert "EqualTo(session_id,s3)" in plan
@@ -102,9 +102,7 @@ def test_revisions_follow_each_other_and_reach_the_store(spark, tmp_path, rows,
         4: (200, "short [new]"),
         5: (404, None),
     }
-    touched = revised.filter("status = 200").select("session_id").distinct()
-    changed = revise.apply_revisions(stored.join(touched, "session_id", "left_semi"), revised)
-    documents.replace_documents(spark, path, documents.build_documents(changed), buckets=4)
+    documents.replace_documents(spark, path, documents.revise_documents(documents.read_documents(spark, path), revised))
     after = documents.read_documents(spark, path)
     texts = {(r.session_id, r.pos): (r.Default, r.More_friendly, r.More_Concise) for r in documents.expand_responses(after).collect()}
     assert texts["s2", 1] == ("reply 2.1 [first] [third]", "hi [other]", "short")
@@ -114,6 +112,47 @@ def test_revisions_follow_each_other_and_reach_the_store(spark, tmp_path, rows,
     assert {s for s in now if now[s] != before[s]} == {"s2", "s4"}
 
 
+def test_revision_keeps_overview_and_unknown_keys(spark, tmp_path, responses, retry):
+    path = str(tmp_path / "docs")
+    more = responses.withColumn("Signature", F.lit("é, the team")).withColumn("Stars", F.lit(4))
+    built = documents.build_documents(more, overview_of(responses), part_rows=2)
+    documents.write_documents(built, path, buckets=4)
+    whole = documents.read_documents(spark, path)
+    requests = spark.createDataFrame([(1, "s4", 3, "warm", "Signature"), (2, "s4", 3, "x", "feedback_id")], REQUEST)
+    revised = revise.revise(requests, documents.expand_responses(whole), stand_in, retry=retry)
+    before = {(r.session_id, r.part): json.loads(r.document) for r in whole.collect()}
+    documents.replace_documents(spark, path, documents.revise_documents(whole, revised))
+    after = {(r.session_id, r.part): json.loads(r.document) for r in documents.read_documents(spark, path).collect()}
+    before["s4", 1]["Responses"][1]["Signature"] = "é, the team [warm]"
+    assert after == before
+    assert before["s4", 0]["Overview"]["Summary"] == "all fine" and before["s4", 1]["Responses"][1]["Stars"] == 4
+
+
+def test_one_answer_documents_keep_the_reply(spark):
+    rows = spark.createDataFrame([("s", 0, 7, "the reply", "sum", [], "raw", None)], "session_id string, pos bigint, feedback_id bigint, Response string, Summary string, Positive_Themes array<string>, raw string, error string")
+    body = json.loads(documents.build_documents(rows).first().document)
+    assert body["Responses"] == [{"feedback_id": 7, "Response": "the reply", "Summary": "sum", "Positive_Themes": []}]
+
+
+def test_parts_of_another_size_are_refused(spark, tmp_path, responses):
+    path = str(tmp_path / "docs")
+    documents.write_documents(documents.build_documents(responses, part_rows=2), path, buckets=4)
+    with pytest.raises(ValueError, match="another size"):
+        documents.replace_documents(spark, path, documents.build_documents(responses, part_rows=3))
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path, responses):
+    path = str(tmp_path / "docs")
+    documents.write_documents(documents.build_documents(responses), path, buckets=16)
+    assert documents.buckets_of(spark, path) == 16
+    one = documents.build_documents(responses.filter("session_id = 's2'"))
+    times = {f: f.stat().st_mtime_ns for f in (tmp_path / "docs").rglob("*.parquet")}
+    documents.replace_documents(spark, path, one)
+    kept = [f for f, t in times.items() if f.exists() and f.stat().st_mtime_ns == t]
+    assert len({f.parent for f in times}) - len({f.parent for f in kept}) == 1
+    assert documents.read_documents(spark, path).count() == 5
+
+
 def test_failing_model_gives_500(spark, responses, retry):
     class Down:
         def generate(self, prompts):
