@@ -45,7 +45,7 @@ def second_field(text: Column, separator: str = ": ") -> Column:
 
 def joined_lines(text: Column) -> Column:
     """The non-empty lines put together with nothing between them."""
-    return F.array_join(F.filter(F.split(text, r"\r?\n"), lambda line: line != ""), "")
+    return F.array_join(F.filter(F.split(text, r"\r\n|\r|\n"), lambda line: line != ""), "")
 
 
 def before_and_after(text: Column, marker: str) -> tuple[Column, Column]:

@@ -41,16 +41,20 @@ def customer_name(name: Column, missing_label: str | None = None) -> Column:
 
 
 def first_survey(surveys: Column) -> Column:
-    """Questions of the first survey; null when the feedback has none."""
+    """Questions of the first survey as JSON text; null when the feedback has none."""
     return F.try_element_at(surveys, F.lit(1))["Questions"]
 
 
 def own_surveys(surveys: Column) -> Column:
-    """Questions of all surveys of one feedback, in order; empty when it has none."""
-    return F.coalesce(
-        F.flatten(F.transform(surveys, lambda s: s["Questions"])),
-        F.array().cast("array<struct<q:string,score:int>>"),
-    )
+    """Questions of all surveys of one feedback, in order, as one JSON array; ``[]`` when it has none."""
+    entries = F.array_join(F.filter(F.transform(surveys, lambda s: _entries(s["Questions"])), lambda q: q != ""), ",")
+    return F.concat(F.lit("["), F.coalesce(entries, F.lit("")), F.lit("]"))
+
+
+def _entries(questions: Column) -> Column:
+    """What is inside a JSON array; any other JSON value is an entry itself."""
+    inside = F.trim(F.substring(questions, F.lit(2), F.length(questions) - 2))
+    return F.when(questions.startswith("["), inside).otherwise(questions)
 
 
 def flatten_surveys(batches: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def pair_by_position(batches: DataFrame) -> DataFrame:
             feedback,
             lambda f: F.coalesce(
                 F.transform(f["Surveys"], lambda s: s["Questions"]),
-                F.array().cast("array<array<struct<q:string,score:int>>>"),
+                F.array().cast("array<string>"),
             ),
         )
     )
@@ -102,5 +106,5 @@ def nonempty(df: DataFrame, column: str, strict: bool = True) -> DataFrame:
     """Drop rows without text; ``strict`` also drops those that hold only blanks."""
     text = F.col(column)
     if strict:
-        text = F.regexp_replace(text, r"^\s+", "")
+        text = F.regexp_replace(text, r"(?U)^\s+", "")
     return df.filter(F.col(column).isNotNull() & (text != ""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rejoinder.functions.model import ModelClient, Retry, ask
+from rejoinder.plans.session import saved
 
 MakeClient = Callable[[], ModelClient]
 
@@ -76,17 +77,18 @@ def batch_inference(
     batch_size: int = 32,
     max_concurrency: int | None = None,
     keep_prompt: bool = False,
-    dedupe: bool = True,
+    dedupe: bool = False,
 ) -> DataFrame:
     """Add ``raw``, ``error``, ``attempts`` and ``latency_s`` to every row of ``df``.
 
-    Equal prompts are sent once; ``dedupe=False`` sends every row's own prompt in one pass,
-    without a join. A prompt that keeps failing gives an error row, not a failed job. ``max_concurrency`` caps the number of tasks that talk to the model. The result is not
-    repeatable with a real model, so save it before it is used twice. Looking for equal prompts
-    reads ``df`` twice: where making it is costly, save it first.
+    Every row's prompt is sent in one pass, without a join; ``dedupe=True`` saves the rows first and
+    sends equal prompts once. A prompt that keeps failing gives an error row, not a failed job.
+    ``max_concurrency`` caps the number of tasks that talk to the model. The result is not
+    repeatable with a real model, so save it before it is used twice.
     """
     if not dedupe:
         return _row_by_row(df, make_client, prompt, retry, batch_size, max_concurrency, keep_prompt)
+    df = saved(df, "prompts")
     # rows without a prompt get no answer; their own hash keeps them from meeting in one task
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     own = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rejoinder.operators.inference import MakeClient, batch_inference
 from rejoinder.operators.parse import parse_replies
 from rejoinder.operators.prompts import prompt_themes
-from rejoinder.plans.skew import broadcast_if_small
 from rejoinder.schemas import THEME_REPLY
 
 
@@ -18,34 +17,32 @@ def label_rows(df: DataFrame, keys: list[str], labels: str) -> DataFrame:
 
 
 def allowed_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    known = broadcast_if_small(taxonomy.select("theme").distinct())
+    known = taxonomy.select("theme").distinct()
     return labels.join(known, "theme", "left_semi").select(*labels.columns)
 
 
 def rejected_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    known = broadcast_if_small(taxonomy.select("theme").distinct())
+    known = taxonomy.select("theme").distinct()
     return labels.join(known, "theme", "left_anti").select(*labels.columns)
 
 
-def check_labels(df: DataFrame, key: str, labels: str, taxonomy: DataFrame) -> DataFrame:
-    """Split a label list in those of the taxonomy and ``rejected`` ones, both sorted."""
-    known = broadcast_if_small(
-        taxonomy.select(F.col("theme").alias("_known")).filter("_known is not null").distinct()
-    )
-    rows = df.select(key, F.explode(F.array_distinct(labels)).alias("_label")).join(
+def check_labels(df: DataFrame, labels: str, taxonomy: DataFrame) -> DataFrame:
+    """Split a label list in those of the taxonomy and ``rejected`` ones, both sorted.
+
+    Reads ``df`` once: its other columns go through the aggregate beside the labels, so what made them
+    (a model, say) never runs a second time. Rows need no key of their own.
+    """
+    known = taxonomy.select(F.col("theme").alias("_known")).filter("_known is not null").distinct()
+    whole = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_whole"))
+    rows = whole.select("_row", "_whole", F.explode_outer(F.array_distinct(F.col(f"_whole.{labels}"))).alias("_label")).join(
         known, F.col("_label") == F.col("_known"), "left"
     )
-    lists = rows.groupBy(key).agg(
+    lists = rows.groupBy("_row").agg(
+        F.first("_whole").alias("_whole"),
         F.sort_array(F.collect_set("_known")).alias("_kept"),
-        F.sort_array(F.collect_set(F.when(F.col("_known").isNull(), F.col("_label")))).alias("_rejected"),
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        df.join(lists, key, "left")
-        .withColumn(labels, F.coalesce("_kept", empty))
-        .withColumn("rejected", F.coalesce("_rejected", empty))
-        .drop("_kept", "_rejected")
+        F.sort_array(F.collect_set(F.when(F.col("_known").isNull(), F.col("_label")))).alias("rejected"),
     )
+    return lists.select(*[F.col("_kept").alias(c) if c == labels else F.col(f"_whole.{c}").alias(c) for c in df.columns], "rejected")
 
 
 def classify(
@@ -56,7 +53,6 @@ def classify(
     parsed = parse_replies(batch_inference(asked, make_client, **calls), THEME_REPLY)
     return check_labels(
         parsed.select(key, "themes_category", "sentiment", "parse_ok", "error"),
-        key,
         "themes_category",
         taxonomy,
     )
@@ -71,7 +67,7 @@ def tag_by_keyword(comments: DataFrame, key: str, comment: str, keywords: DataFr
     words = comments.select(
         key, F.explode(F.array_distinct(F.split(comment, r"\s+"))).alias("keyword")
     )
-    known = broadcast_if_small(keywords.select("keyword", "theme").distinct())
+    known = keywords.select("keyword", "theme").distinct()
     tags = words.join(known, "keyword").groupBy(key).agg(F.sort_array(F.collect_set("theme")).alias("themes"))
     return comments.select(key).join(tags, key, "left").select(
         key, F.coalesce("themes", F.array().cast("array<string>")).alias("themes")

@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 from rejoinder.plans.session import saved
 
-# A side is broadcast only after a count shows it has at most this many rows.
-BROADCAST_ROWS = 100_000
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else leave the join to Spark.
-
-    The count reads at most ``max_rows + 1`` rows. Beyond the bound the join is a shuffle
-    join whose hot keys are split at run time.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the smallest ``order`` for every key; null keys are one key.
 
@@ -71,8 +58,8 @@ def previous_rows(
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
         return rows.withColumn(name, F.collect_list("_payload").over(before)).drop("_payload")
 
-    # at most one hot key per hot_rows rows
-    flagged = broadcast_if_small(hot.withColumn("_hot", F.lit(True)))
+    # how to join the few hot keys is decided at run time, by their size
+    flagged = hot.withColumn("_hot", F.lit(True))
     rows = rows.join(flagged, keys, "left").withColumn("_block", F.when(F.col("_hot"), block))
     by_block = Window.partitionBy(*keys, "_block")
     rows = rows.withColumn(

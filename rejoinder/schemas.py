@@ -2,9 +2,8 @@
 
 from pyspark.sql import types as T
 
-QUESTIONS = T.ArrayType(
-    T.StructType([T.StructField("q", T.StringType()), T.StructField("score", T.IntegerType())])
-)
+# Survey questions of any shape: the JSON text as it stands in the batch.
+QUESTIONS = T.StringType()
 
 FEEDBACK_BATCH = T.StructType(
     [

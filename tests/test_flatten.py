@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rejoinder.operators import flatten, themes
-from rejoinder.sources.batches import parse_batches, read_batches
+from rejoinder.sources.batches import batch_rejects, parse_batches, read_batches
 from rejoinder.sources.taxonomy import read_taxonomy
 
 
@@ -52,9 +52,9 @@ def test_empty_batch_can_be_kept(batches):
 
 def test_surveys(batches, rows):
     flat = flatten.flatten_feedback(batches)
-    first = flat.select("feedback_id", F.to_json(flatten.first_survey(F.col("surveys"))).alias("q"))
+    first = flat.select("feedback_id", flatten.first_survey(F.col("surveys")).alias("q"))
     assert dict(rows(first)) == {1: '[{"q":"q0","score":1}]', 2: None, 3: None, 4: '[{"q":"q0","score":4}]'}
-    own = flat.select("feedback_id", F.to_json(flatten.own_surveys(F.col("surveys"))).alias("q"))
+    own = flat.select("feedback_id", flatten.own_surveys(F.col("surveys")).alias("q"))
     assert dict(rows(own))[1] == '[{"q":"q0","score":1},{"q":"q0","score":2},{"q":"q1","score":3}]'
     assert dict(rows(own))[2] == "[]"
     places = rows(flatten.flatten_surveys(batches), "feedback_id", "pos", "survey_pos")
@@ -62,7 +62,7 @@ def test_surveys(batches, rows):
 
 
 def test_pairs_by_position_cut_to_the_shorter_list(batches):
-    got = {r.pos: (r.feedback_id, [q.score for q in r.questions]) for r in flatten.pair_by_position(batches).collect()}
+    got = {r.pos: (r.feedback_id, [q["score"] for q in json.loads(r.questions)]) for r in flatten.pair_by_position(batches).collect()}
     # three surveys in the batch, so the fourth review is lost and the second gets a survey of the first
     assert got == {0: (1, [1]), 1: (2, [2, 3]), 2: (3, [4])}
 
@@ -110,5 +110,29 @@ def test_taxonomy_files(spark, tmp_path, rows):
 def test_check_labels(spark, rows):
     df = spark.createDataFrame([(1, ["b", "a", "x", "a"]), (2, []), (3, None)], "k int, labels array<string>")
     taxonomy = spark.createDataFrame([("a",), ("b",), ("b",)], "theme string")
-    got = rows(themes.check_labels(df, "k", "labels", taxonomy), "k", "labels", "rejected")
+    got = rows(themes.check_labels(df, "labels", taxonomy), "k", "labels", "rejected")
     assert got == [(1, ["a", "b"], ["x"]), (2, [], []), (3, [], [])]
+
+
+def test_questions_of_any_shape_are_kept(spark):
+    batch = {"Feedback Data": [feedback(1, surveys=[{"Questions": [{"Question": "How?", "Answer": "Bad, [really]", "Rating": 4.5}]}, {"Questions": {"a": [1, 2]}}, {"Questions": []}])]}
+    rows = flatten.flatten_feedback(parse_batches(spark.createDataFrame([("s", json.dumps({"Core Prompt": "c", "Context Prompt": "x", **batch}))], "session_id string, j string"), "j"))
+    own, first = rows.select(flatten.own_surveys(F.col("surveys")), flatten.first_survey(F.col("surveys"))).first()
+    assert json.loads(own) == [{"Question": "How?", "Answer": "Bad, [really]", "Rating": 4.5}, {"a": [1, 2]}]
+    assert json.loads(first) == [{"Question": "How?", "Answer": "Bad, [really]", "Rating": 4.5}]
+
+
+def test_broken_batches_are_found(spark):
+    data = [("ok", '{"Feedback Data": []}'), ("cut", '{"Feedback Data": [{"ID"'), ("other", '{"x": 1}'), ("none", None)]
+    assert sorted(r.k for r in batch_rejects(spark.createDataFrame(data, "k string, j string"), "j").collect()) == ["cut", "none", "other"]
+
+
+def test_feedback_of_no_break_spaces_is_empty(spark):
+    df = spark.createDataFrame([("\u00a0 \u2003",), ("a",), ("",), (None,)], "t string")
+    assert [r.t for r in flatten.nonempty(df, "t").collect()] == ["a"]
+
+
+def test_labels_of_equal_keys_stay_apart(spark, rows):
+    df = spark.createDataFrame([(1, ["a"]), (1, ["z"])], "k int, labels array<string>")
+    taxonomy = spark.createDataFrame([("a",)], "theme string")
+    assert rows(themes.check_labels(df, "labels", taxonomy)) == [(1, ["a"], []), (1, [], ["z"])]

@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.functions.model import Retry, StandIn, ask, stand_in
+from rejoinder.functions.model import Retry, ask
+from rejoinder.operators.themes import classify
+from rejoinder.plans.stand_in import StandIn, stand_in
 from rejoinder.operators import parse
 from rejoinder.operators.inference import batch_inference, run_chain
 from rejoinder.schemas import ANALYSIS_REPLY, THEME_REPLY
@@ -79,7 +81,7 @@ def test_equal_prompts_are_sent_once(spark, retry):
             return list(prompts)
 
     df = spark.range(300, numPartitions=5).select("id", (F.col("id") % 7).cast("string").alias("prompt"))
-    got = batch_inference(df, Counting, retry=retry, max_concurrency=2)
+    got = batch_inference(df, Counting, retry=retry, max_concurrency=2, dedupe=True)
     assert got.count() == 300
     assert got.filter("raw = cast(id % 7 as string)").count() == 300
     assert sent.value % 7 == 0
@@ -171,3 +173,18 @@ def test_json_is_read_once_per_reply(spark):
     df = spark.createDataFrame([("{}",)], "raw string")
     plan = parse.accepted(parse.parse_replies(df, ANALYSIS_REPLY))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_classify_asks_once_for_each_comment(spark, retry):
+    sent = spark.sparkContext.accumulator(0)
+
+    class Counting(StandIn):
+        def generate(self, prompts):
+            sent.add(len(prompts))
+            return super().generate(prompts)
+
+    comments = spark.createDataFrame([(i, f"the text {i}") for i in range(20)], "k int, text string")
+    taxonomy = spark.createDataFrame([("the",)], "theme string")
+    got = classify(comments, "k", "text", taxonomy, F.lit("the"), Counting, retry=retry).collect()
+    assert len(got) == 20 and sent.value == 20
+    assert all(r.themes_category == ["the"] and r.rejected == ["Something else"] for r in got)
