@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,29 +34,33 @@ def live_assemble(
     A message is given out when its stop event and everything before it, from ``first_seq`` on,
     have arrived, in whatever order; its state is then dropped. One that gets no further events
     for ``give_up_after_ms`` is given out as it stands with ``complete`` false; a query with that
-    timer always has a next batch, so run it on a processing-time trigger. Each event must come
-    once. Before the shuffle neighbouring pieces in an Arrow batch are joined.
+    timer always has a next batch, so run it on a processing-time trigger. An event that comes again
+    is ignored. Before the shuffle neighbouring pieces in an Arrow batch are put in one row.
     """
 
     def join_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values(["message_id", "first"])
+            batch = batch.sort_values(["message_id", "first"]).drop_duplicates(["message_id", "first"])
             new = (batch["message_id"] != batch["message_id"].shift()) | (
                 batch["first"] != batch["last"].shift() + 1
             )
             yield batch.groupby(new.cumsum(), sort=False).agg(
-                {"message_id": "first", "first": "first", "last": "last", "text": "".join, "stop": "any"}
+                {"message_id": "first", "first": "first", "last": "last", "text": lambda t: json.dumps(list(t)), "stop": "any"}
             )
 
     def merged(runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Runs put together; of overlapping ones, what the first of them has already is skipped."""
         out: list[tuple[int, int, list[str]]] = []
         for first, last, text in sorted(runs):
-            if out and out[-1][1] + 1 == first:
-                out[-1] = (out[-1][0], last, out[-1][2])
-                out[-1][2].append(text)
+            pieces = json.loads(text)
+            if out and out[-1][1] + 1 >= first:
+                before = out[-1]
+                if last > before[1]:
+                    before[2].extend(pieces[before[1] + 1 - first :])
+                    out[-1] = (before[0], last, before[2])
             else:
-                out.append((first, last, [text]))
-        return [(first, last, "".join(texts)) for first, last, texts in out]
+                out.append((first, last, pieces))
+        return [(first, last, json.dumps(pieces)) for first, last, pieces in out]
 
     def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         runs, stop = [], -1  # -1: no stop event yet
@@ -82,7 +87,7 @@ def live_assemble(
         if state.exists:
             state.remove()
         yield pd.DataFrame(
-            {"message_id": [key[0]], "text": ["".join(r[2] for r in runs)], "complete": [complete]}
+            {"message_id": [key[0]], "text": ["".join("".join(json.loads(r[2])) for r in runs)], "complete": [complete]}
         )
 
     runs = _runs(events, payload)

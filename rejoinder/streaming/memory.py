@@ -23,17 +23,20 @@ def live_history(messages: DataFrame, n: int = 3, forget_after_ms: int | None =
 
     def last_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.sort_values("ord").groupby("session_id", sort=False).tail(n)
+            # a message delivered again takes no second place
+            once = batch.drop_duplicates(["session_id", "ord"])
+            yield once.sort_values("ord").groupby("session_id", sort=False).tail(n)
 
     def remember(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
+        kept = {int(o): (o, r, t) for o, r, t in zip(*state.get, strict=True)} if state.exists else {}
         for batch in batches:
-            kept += batch[["ord", "role", "text"]].itertuples(index=False, name=None)
-            kept = sorted(kept)[-n:]
-        ords, roles, texts = (list(column) for column in zip(*kept, strict=True))
+            for o, r, t in batch[["ord", "role", "text"]].itertuples(index=False, name=None):
+                kept.setdefault(int(o), (o, r, t))
+            kept = {o: kept[o] for o in sorted(kept)[-n:]}
+        ords, roles, texts = (list(column) for column in zip(*kept.values(), strict=True))
         ords = [int(o) for o in ords]
         state.update((ords, roles, texts))
         if forget_after_ms:

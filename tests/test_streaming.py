@@ -191,3 +191,22 @@ def test_silent_session_is_forgotten(spark, tmp_path):
     finally:
         query.stop()
     assert got == (2, ["new"])
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_events_that_come_again_change_nothing(spark, tmp_path, rows, files):
+    data = events()
+    data += data[::3]
+    random.Random(files + 7).shuffle(data)
+    path = write_files(tmp_path / "in", data, files)
+    done = runner.run_append(live_assemble(stream_deltas(spark, path, files_per_trigger=1)), "t")
+    assert rows(done) == sorted((m, t, True) for m, t in WANT.items())
+
+
+def test_a_message_that_comes_again_takes_one_place(spark, tmp_path):
+    sent = [("s", i, "user", f"m{i}") for i in (1, 2, 3, 3, 2, 3)] + [("s", 4, None, None), ("s", 4, "user", "x")]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(sent, "session_id string, ord int, role string, text string").repartition(2).write.parquet(path)
+    stream = memory.live_history(spark.readStream.schema("session_id string, ord int, role string, text string").parquet(path))
+    kept = runner.run_update(stream, ["session_id"], "again").first()
+    assert kept.last_ord == 4 and [m.text for m in kept.history][:2] == ["m2", "m3"] and len(kept.history) == 3
