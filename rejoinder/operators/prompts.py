@@ -115,8 +115,7 @@ Write a first-class answer to this customer.
 {feedback}
 </feedback>"""
 
-# Message format version and output limit of the direct reply.
-MESSAGE_FORMAT = "bedrock-2023-05-31"
+# Fixed value: output limit of the direct reply.
 MAX_OUTPUT_TOKENS = 1024
 
 _SLOT = re.compile(r"\{(\w+)\}")
@@ -158,7 +157,7 @@ def _per_review(feedback: DataFrame, template: str, questions: Column, include_p
             {
                 "policy": policy(include_policy),
                 "review": F.col("review_text"),
-                "survey": F.to_json(questions),
+                "survey": questions,
                 "username": F.col("customer_name"),
             },
         ),
@@ -212,12 +211,15 @@ def prompt_chat_revise(turns: DataFrame, change: str = "modifications") -> DataF
     )
 
 
-def prompt_direct(feedback: DataFrame, column: str = "feedback") -> DataFrame:
-    """Adds the prompt and ``body``, the request as a chat message in JSON."""
+def prompt_direct(feedback: DataFrame, column: str = "feedback", version: tuple[str, str] | None = None) -> DataFrame:
+    """Adds the prompt and ``body``, the request as a chat message in JSON.
+
+    ``version`` is the key and value by which a service tells its message formats apart.
+    """
     prompted = feedback.withColumn("prompt", fill(DIRECT, {"feedback": F.col(column)}))
     message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     body = F.struct(
-        F.lit(MESSAGE_FORMAT).alias("anthropic_version"),
+        *([F.lit(version[1]).alias(version[0])] if version else []),
         F.lit(MAX_OUTPUT_TOKENS).alias("max_tokens"),
         F.array(message).alias("messages"),
     )

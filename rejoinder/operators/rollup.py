@@ -176,20 +176,26 @@ def consolidated_summary(
 
 
 def overview(responses: DataFrame, summary: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Overview record of each batch. Parts after 0 only hold further themes."""
+    """Overview record of each batch. Parts after 0 only hold further themes.
+
+    ``failed`` tells that a call for the summary failed; there is no summary then, not an empty one.
+    """
     first = F.col("part") == 0
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in summary.columns else F.lit(False)
+    own = summary.select("session_id", "summary", failed.alias("failed"))
     return (
         themes_overview(responses, part_rows)
         .join(sentiment_overview(responses), "session_id", "left")
-        .join(summary.select("session_id", "summary"), "session_id", "left")
+        .join(own, "session_id", "left")
         .select(
             "session_id",
             "part",
-            F.when(first, F.col("summary")).alias("Summary"),
+            F.when(first & ~F.coalesce("failed", F.lit(False)), F.col("summary")).alias("Summary"),
             F.when(first, F.col("sentiment")).alias("Sentiment"),
             F.col("positive_themes").alias("Positive_Themes"),
             F.col("negative_themes").alias("Negative_Themes"),
             "conflict",
             "reviews",
+            F.coalesce("failed", F.lit(False)).alias("failed"),
         )
     )

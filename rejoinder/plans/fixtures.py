@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rejoinder.functions.model import StandIn
+from rejoinder.plans.stand_in import StandIn
 from rejoinder.operators.flatten import flatten_feedback
 from rejoinder.sources.batches import parse_batches
 
@@ -91,15 +91,22 @@ def feedback(t: Tables) -> DataFrame:
     )
 
 
-def _question(name: str, score: str) -> Column:
-    return F.struct(F.lit(name).alias("q"), F.col(score).alias("score"))
+def _question(q=None, score=None, question=None, answer=None, rating=None) -> Column:
+    """Two shapes of a question; JSON leaves out what is null."""
+    return F.struct(
+        F.lit(q).cast("string").alias("q"),
+        (F.col(score) if score else F.lit(None)).cast("int").alias("score"),
+        F.lit(question).cast("string").alias("Question"),
+        (F.col(answer) if answer else F.lit(None)).cast("string").alias("Answer"),
+        F.lit(rating).cast("double").alias("Rating"),
+    )
 
 
 def batches_json(t: Tables) -> DataFrame:
     """One JSON text per batch. A batch holds at most ``BATCH_IDS`` documents."""
     first = F.struct(F.array(_question("quality", "quality"), _question("toxic", "toxic")).alias("Questions"))
-    second = F.struct(F.array(_question("recommend", "quality")).alias("Questions"))
-    none = F.when(F.col("feedback_id") % 2 == 0, F.array().cast("array<struct<Questions:array<struct<q:string,score:int>>>>"))
+    second = F.struct(F.array(_question(question="recommend", answer="lang", rating=4.5)).alias("Questions"))
+    none = F.when(F.col("feedback_id") % 2 == 0, F.slice(F.array(first), 1, 0))
     surveys = (
         F.when(F.col("n_surveys") == 2, F.array(first, second))
         .when(F.col("n_surveys") == 1, F.array(first))

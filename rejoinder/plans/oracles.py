@@ -65,7 +65,7 @@ FIXTURES = {
                case when l.doc_id is not null then
                    '{{"q":"quality","score":' || l.quality || '}},{{"q":"toxic","score":' || l.toxic || '}}' end as survey_1,
                case when l.doc_id is not null and d.doc_id % 5 = 0 then
-                   '{{"q":"recommend","score":' || l.quality || '}}' end as survey_2
+                   '{{"Question":"recommend","Answer":"' || d.lang || '","Rating":4.5}}' end as survey_2
         from documents d
         left join customer c on c.c_custkey = d.doc_id
         left join labels l on l.doc_id = d.doc_id""",
@@ -262,6 +262,7 @@ SQL = {
     "feedback_flatten": """
         select session_id, pos, feedback_id, review_text, coalesce(customer_name, '') as customer_name, n_surveys,
                core_prompt, context_first, context_last from fx_feedback""",
+    "batch_rejects": "select distinct session_id from fx_feedback where block % 4 = 1",
     "customer_name": """
         select feedback_id, customer_name as name, coalesce(customer_name, 'None') as labelled_name from fx_feedback""",
     "first_survey": "select feedback_id, coalesce('[' || survey_1 || ']', '') as questions from fx_feedback",
@@ -306,7 +307,7 @@ SQL = {
     + " as prompt from fx_turns",
     "prompt_direct": f"""
         select doc_id, {DIRECT} as prompt,
-               '{{"anthropic_version":"{prompts.MESSAGE_FORMAT}","max_tokens":{prompts.MAX_OUTPUT_TOKENS},"messages":[{{"role":"user","content":'
+               '{{"format_version":"test-1","max_tokens":{prompts.MAX_OUTPUT_TOKENS},"messages":[{{"role":"user","content":'
                || cast(to_json({DIRECT}) as varchar) || '}}]}}' as body
         from documents""",
     "batch_inference": f"""
@@ -334,6 +335,9 @@ SQL = {
                case when words > 100 then 'long text' else 'short text' end as "Positive_Themes",
                case when n_surveys = 0 then 'Sentiment' else '' end as missing_keys
         from fx_analysis""",
+    "one_reply_document": """
+        select feedback_id, default_reply || case when pos = 0 then ' [softer]' else '' end as "Response", summary as "Summary"
+        from fx_analysis""",
     "direct_replies": f"""
         select doc_id, 'Thank you for ' || {words('text')} || ' words' as raw from documents
         where doc_id % 9 <> 0 and not regexp_full_match(text, '\\s*')""",
@@ -417,7 +421,8 @@ SQL = {
         from fx_revisions r left join fx_responses s on s.session_id = r.session_id and s.feedback_id = r.feedback_id""",
     "revise_apply": """
         select s.session_id, s.pos, s.feedback_id,
-               s.default_reply || case when f.toxic = 1 then ' [softer] [shorter]' else '' end as "Default", s.friendly as "More_friendly"
+               s.default_reply || case when f.toxic = 1 then ' [softer] [shorter]' else '' end as "Default", s.friendly as "More_friendly",
+               count(*) over (partition by s.session_id) || ' replies' as overview
         from fx_responses s join fx_feedback f on f.feedback_id = s.feedback_id""",
     "chat_replies": "select session_id, ord, is_first, raw from fx_replies",
     "chat_log_build": f"""

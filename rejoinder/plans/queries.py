@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rejoinder.functions import text
-from rejoinder.functions.model import Retry, stand_in
+from rejoinder.functions.model import Retry
+from rejoinder.plans.stand_in import stand_in
 from rejoinder.operators import (
     analysis,
     chat,
@@ -27,6 +28,7 @@ from rejoinder.operators import (
 from rejoinder.plans import fixtures as fx
 from rejoinder.plans.session import new_path, saved, tune
 from rejoinder.schemas import TONE_KEYS
+from rejoinder.sources import batches as source_batches
 from rejoinder.sources import chatlog, documents, prices, taxonomy
 from rejoinder.streaming import deltas as live_deltas
 from rejoinder.streaming import log as live_log
@@ -272,6 +274,16 @@ def feedback_flatten(spark, t, folder):
     )
 
 
+@query
+def batch_rejects(spark, t, folder):
+    """Every fourth batch cut in half, and found."""
+    whole = fx.batches_json(t)
+    number = F.element_at(F.split("session_id", "-"), -1).cast("int")
+    half = F.substring(F.col("batch"), F.lit(1), (F.length("batch") / 2).cast("int"))
+    given = whole.withColumn("batch", F.when(number % 4 == 1, half).otherwise(F.col("batch")))
+    return source_batches.batch_rejects(given, "batch").select("session_id")
+
+
 @query
 def customer_name(spark, t, folder):
     return fx.feedback_rows(t).select(
@@ -284,20 +296,20 @@ def customer_name(spark, t, folder):
 @query
 def first_survey(spark, t, folder):
     questions = flatten.first_survey(F.col("surveys"))
-    return fx.feedback_rows(t).select("feedback_id", F.coalesce(F.to_json(questions), F.lit("")).alias("questions"))
+    return fx.feedback_rows(t).select("feedback_id", F.coalesce(questions, F.lit("")).alias("questions"))
 
 
 @query
 def surveys_flat(spark, t, folder):
     return flatten.flatten_surveys(fx.batches(t)).select(
-        "session_id", "pos", "feedback_id", "survey_pos", F.to_json("questions").alias("questions")
+        "session_id", "pos", "feedback_id", "survey_pos", "questions"
     )
 
 
 @query
 def survey_positional_pair(spark, t, folder):
     return flatten.pair_by_position(fx.batches(t)).select(
-        "session_id", "pos", "feedback_id", "review_text", F.to_json("questions").alias("questions")
+        "session_id", "pos", "feedback_id", "review_text", "questions"
     )
 
 
@@ -396,7 +408,7 @@ def prompt_chat_revise(spark, t, folder):
 @query
 def prompt_direct(spark, t, folder):
     feedback = t("documents").select("doc_id", F.col("text").alias("feedback"))
-    return prompts.prompt_direct(feedback).select("doc_id", "prompt", "body")
+    return prompts.prompt_direct(feedback, version=("format_version", "test-1")).select("doc_id", "prompt", "body")
 
 
 # ---- model jobs --------------------------------------------------------------------------
@@ -636,20 +648,38 @@ def revise_status(spark, t, folder):
 
 @query
 def revise_apply(spark, t, folder):
-    """Stored documents, revised, written back, read again."""
+    """Stored documents, revised, written back, read again; their overviews stay."""
     path = new_path(spark, "documents")
-    responses = fx.responses(t)
-    documents.write_documents(documents.build_documents(responses), path, buckets=16)
-    stored = documents.expand_responses(documents.read_documents(spark, path))
+    documents.write_documents(documents_of(t), path, buckets=16)
+    whole = documents.read_documents(spark, path)
+    stored = documents.expand_responses(whole)
     revised = saved(revise.revise(fx.revision_requests(t), stored, stand_in, retry=TASK), "revised")
-    touched = revised.filter("status = 200").select("session_id").distinct()
-    changed = revise.apply_revisions(stored.join(touched, "session_id", "left_semi"), revised)
-    documents.replace_documents(spark, path, documents.build_documents(changed), buckets=16)
-    return documents.expand_responses(documents.read_documents(spark, path)).select(
-        "session_id", "pos", "feedback_id", "Default", "More_friendly"
+    documents.replace_documents(spark, path, documents.revise_documents(whole, revised))
+    after = documents.read_documents(spark, path)
+    overviews = documents.stored_overviews(after).select("session_id", F.col("Summary").alias("overview"))
+    return documents.expand_responses(after).join(overviews, "session_id").select(
+        "session_id", "pos", "feedback_id", "Default", "More_friendly", "overview"
     )
 
 
+@query
+def one_reply_document(spark, t, folder):
+    """Documents of one-answer replies, one of their texts revised, read back."""
+    first = flatten.first_survey(F.col("surveys"))
+    replies = saved(analysis.one_reply_analysis(fx.feedback_rows(t), first, stand_in, retry=TASK), "one-replies")
+    path = new_path(spark, "documents")
+    documents.write_documents(documents.build_documents(parse.accepted(replies)), path, buckets=16)
+    whole = documents.read_documents(spark, path)
+    asked = replies.filter("pos = 0").select(
+        F.col("feedback_id").alias("request_id"), "session_id", "feedback_id",
+        F.lit("softer").alias("modifications"), F.lit("Response").alias("modification_key"),
+    )
+    revised = saved(revise.revise(asked, documents.expand_responses(whole), stand_in, retry=TASK), "revised")
+    documents.replace_documents(spark, path, documents.revise_documents(whole, revised))
+    rows = documents.expand_responses(documents.read_documents(spark, path))
+    return rows.select("feedback_id", "Response", "Summary")
+
+
 # ---- chat --------------------------------------------------------------------------------
 
 
@@ -696,19 +726,13 @@ def chat_log_build(spark, t, folder):
 # ---- deltas and streams ------------------------------------------------------------------
 
 
-def cores(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
 def spread(documents: DataFrame) -> DataFrame:
-    """A small test file is one split; unrolling it into events needs more than one core."""
-    return documents.select("doc_id", "text").repartition(cores(documents))
+    """Unrolling texts into events takes more than the tasks that read them."""
+    return documents.select("doc_id", "text").repartition("doc_id")
 
 
 def delta_events_of(t: fx.Tables) -> DataFrame:
-    documents = t("documents")
-    few = documents.rdd.getNumPartitions() < cores(documents)
-    return fx.delta_events(spread(documents) if few else documents)
+    return fx.delta_events(spread(t("documents")))
 
 
 @query

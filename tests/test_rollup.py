@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.functions.model import stand_in
+from rejoinder.plans.stand_in import stand_in
 from rejoinder.operators import rollup
 
 RESPONSE = "session_id string, pos bigint, feedback_id bigint, Default string, Sentiment string, Positive_Themes array<string>, Negative_Themes array<string>"
@@ -125,3 +125,13 @@ def test_overview(spark):
     row = rollup.overview(df, summary).first()
     assert (row.Summary, row.Sentiment, row.Positive_Themes, row.Negative_Themes) == ("sum", "promoter", ["a", "b"], ["n"])
     assert row.conflict is False and row.reviews == 2
+
+
+def test_overview_tells_of_a_failed_summary(spark):
+    replies = spark.createDataFrame(
+        [("a", "promoter", ["x"], []), ("b", "promoter", [], ["y"])],
+        "session_id string, Sentiment string, Positive_Themes array<string>, Negative_Themes array<string>",
+    )
+    summary = spark.createDataFrame([("a", "", True), ("b", "fine", False)], "session_id string, summary string, failed boolean")
+    got = {r.session_id: (r.Summary, r.failed) for r in rollup.overview(replies, summary).collect()}
+    assert got == {"a": (None, True), "b": ("fine", False)}
