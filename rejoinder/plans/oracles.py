@@ -425,6 +425,21 @@ SQL = {
                count(*) over (partition by s.session_id) || ' replies' as overview
         from fx_responses s join fx_feedback f on f.feedback_id = s.feedback_id""",
     "chat_replies": "select session_id, ord, is_first, raw from fx_replies",
+    "chat_replay": f"""
+        with recursive asked as (
+            select session_id, ord, text, contact, review, row_number() over (partition by session_id order by ord) as k from fx_turns
+        ), chat as (
+            select session_id, ord, text, k, cast(null as varchar) as raw_before,
+                   'Dear ' || coalesce(contact, 'None') || ': ' || {words('review')} || ' words read, 0 characters before' as raw
+            from asked where k = 1
+            union all
+            select t.session_id, t.ord, t.text, t.k, c.raw,
+                   'Revised with ' || {words('t.text')} || ' words after '
+                   || length(case when c.k > 1 then 'assistant: ' || c.raw_before || chr(10) else '' end
+                             || 'user: ' || c.text || chr(10) || 'assistant: ' || c.raw) || ' characters'
+            from chat c join asked t on t.session_id = c.session_id and t.k = c.k + 1
+        )
+        select session_id, ord, raw from chat""",
     "chat_log_build": f"""
         select session_id, ord, case when is_first then text else '' end as user_feedback,
                case when is_first then '' else text end as modification_needed,

@@ -47,8 +47,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    # chat_replay is checked turn by turn in test_chat.py
-    assert set(QUERIES) - set(SQL) == {"chat_replay"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
