@@ -3,7 +3,7 @@
 Texts are encoded with a tokenizer of the ``tokenizers`` library; each document's ids are followed by an end
 id. Ids are cut into blocks of fixed size, and a block is transposed into bit planes (all lowest bits, all second
 bits, ...) or byte planes. Every plane of a block is compressed with zstandard on its own; planes above the
-highest used bit are not stored. A chunk holds the blocks of a run of whole documents and begins with a table
+highest used one are not stored. A chunk holds the blocks of a run of whole documents and begins with a table
 of its blocks, so one block can be read alone.
 
 A chunk is one row of a Parquet table in a shared folder, which gives it an atomic commit and a place that all
@@ -42,10 +42,12 @@ MAGIC = b"PLN1"
 HEADER = "<4sBIQI"  # magic, bits per plane, ids per block, ids, blocks
 # marks between pieces and behind documents; a text that has one is encoded whole
 CUT, END = "\x1e", "\x1f"
+# white space of ASCII but for the space and the line end
+RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # words encoded in one go
 RUN = 2_000
 # pieces of text remembered with their ids; beyond it a task starts anew
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
@@ -61,8 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"\s\s", f"[{CUT}{END}]", *special]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s\s", f"[{CUT}{END}]", *map(re.escape, self.special)]))
         # Latin letters and digits, of which every Unicode version says the same
         self.word_end = re.compile(r"([.,!?])(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ].)(?=\s|\Z)")
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
@@ -76,6 +78,12 @@ class Encoder:
         self.flat = np.array([self.end_id], dtype=np.uint32)
         self.sizes = np.array([1], dtype=np.int64)
 
+    def is_plain(self, text: str) -> bool:
+        if text.isascii() and not any(c in text for c in RARE):
+            # the only white space is spaces and line ends
+            return not any(c in text for c in ("  ", " \n", "\n ", "\n\n", *self.special))
+        return not self.odd.search(text)
+
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -102,7 +110,7 @@ class Encoder:
         """All ids in order, and how many each text has, its end id included."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        plain = [not self.odd.search(t) for t in texts]
+        plain = list(map(self.is_plain, texts))
         marked = []
         for text, p in zip(texts, plain):
             if p:
@@ -127,7 +135,7 @@ class Encoder:
         return np.concatenate(docs), np.array(list(map(len, docs)), dtype=np.int64)
 
 
-def pack(ids: np.ndarray, plane_bits: int = 1, block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
+def pack(ids: np.ndarray, plane_bits: int = 8, block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
     """A chunk: header, a table of block sizes and plane sizes, the compressed planes."""
     compress = zstandard.ZstdCompressor(level=level).compress
     blocks = []
@@ -173,7 +181,7 @@ def chunks(
     docs: DataFrame,
     tokenizer_json: str,
     end_id: int = END_ID,
-    plane_bits: int = 1,
+    plane_bits: int = 8,
     block_ids: int = BLOCK_IDS,
     chunk_ids: int = CHUNK_IDS,
 ) -> DataFrame:
@@ -214,7 +222,7 @@ def chunks(
             yield flush()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(max(8, partitions(spark) // 2), "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(
         run, f"part int, chunk int, first bigint, n_ids bigint, payload binary, doc_ids array<{kind}>, counts array<bigint>"
     )
