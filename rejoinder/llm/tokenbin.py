@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rejoinder.llm.common import Pieces, partitions, slices, texts_of
+from rejoinder.llm.common import partitions, slices, texts_of
 from rejoinder.plans.session import saved
 
 END_ID = 0
@@ -40,8 +40,12 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
 MAGIC = b"PLN1"
 HEADER = "<4sBIQI"  # magic, bits per plane, ids per block, ids, blocks
-# marks between pieces and behind documents; a text that has one is encoded whole
-CUT, END = "\x1e", "\x1f"
+# the mark behind documents; a text that has it is encoded whole
+END = "\x1f"
+# bytes hashed at a time, and the base of the hash
+SEGMENT = 1 << 22
+BASE = 0x9E3779B97F4A7C15
+LETTERS = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 # white space of ASCII but for the space and the line end
 RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # words encoded in one go
@@ -55,7 +59,10 @@ class Encoder:
 
     The tokenizer's own pattern always parts two tokens before a single space, at a single line end and
     before a full stop or comma that ends a word. So the pieces cut there have the ids they have within the text. A
-    text with neighbouring white space, a special token's string or one of our marks is encoded whole.
+    text with neighbouring white space, a special token's string or our mark is encoded whole.
+
+    Pieces are told apart by a polynomial hash, and compared byte by byte with the piece that has been encoded; a batch in
+    which two pieces share a hash is encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int = END_ID):
@@ -64,19 +71,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"\s\s", f"[{CUT}{END}]", *map(re.escape, self.special)]))
-        # Latin letters and digits, of which every Unicode version says the same
-        self.word_end = re.compile(r"([.,!?])(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ].)(?=\s|\Z)")
+        self.odd = re.compile("|".join([r"\s\s", END, *map(re.escape, self.special)]))
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.begins = np.array([names.get(i, "").startswith("\u0120") for i in range(max(names) + 1)])
         self.end_id = end_id
+        self.up, self.down = (np.ones(SEGMENT + 1, dtype=np.uint64) for _ in range(2))
+        for powers, base in ((self.up, BASE), (self.down, pow(BASE, -1, 1 << 64))):
+            powers[1:] = base
+            np.multiply.accumulate(powers, out=powers)
         self.forget()
 
     def forget(self) -> None:
-        self.known = Pieces(1)
-        self.known[END] = 0
-        self.flat = np.array([self.end_id], dtype=np.uint32)
-        self.sizes = np.array([1], dtype=np.int64)
+        """Piece 0 is the mark behind a document."""
+        mark = np.array([ord(END)], dtype=np.uint8)
+        self.hashes, self.numbers = self.hash(mark, np.array([0]), np.array([1])), np.array([0])
+        self.letters, self.places, self.lengths = mark, np.array([0]), np.array([1])  # bytes of the known pieces
+        self.flat, self.sizes = np.array([self.end_id], dtype=np.uint32), np.array([1], dtype=np.int64)
 
     def is_plain(self, text: str) -> bool:
         if text.isascii() and not any(c in text for c in RARE):
@@ -89,9 +99,32 @@ class Encoder:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.array(list(chain.from_iterable(got)), dtype=np.uint32), sizes
 
-    def learn(self) -> None:
-        """Encode the new pieces, words behind a space many at a time: the one token with the space starts each."""
-        new = self.known.take_new()
+    @staticmethod
+    def starts(data: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of documents with a mark behind each."""
+        apart = (data == 10) | (data == ord(END))
+        begin = apart | (data == 32)
+        begin[1:] |= apart[:-1]
+        begin[:1] = True
+        marks = np.flatnonzero((data == 46) | (data == 44) | (data == 33) | (data == 63))
+        marks = marks[(marks > 1) & (marks + 1 < len(data))]
+        behind, first, second = data[marks + 1], data[marks - 2], data[marks - 1]
+        # letters and digits of ASCII, and Latin letters of two bytes, of which every Unicode version says the same
+        word = LETTERS[second] | ((second >= 0x80) & (first >= 0xC3) & (first <= 0xC8) & (second != 0x97) & (second != 0xB7))
+        begin[marks[word & ((behind == 32) | (behind == 10) | (behind == ord(END)))]] = True
+        return np.flatnonzero(begin)
+
+    def hash(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A polynomial in the bytes of each piece, modulo 2**64; the pieces lie within one segment."""
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+            found = (sums[starts + lengths] - sums[starts]) * self.down[starts]
+            return found ^ (found >> np.uint64(29)) ^ (lengths.astype(np.uint64) << np.uint64(48))
+
+    def learn(self, pieces: list[bytes], hashes: np.ndarray) -> None:
+        """Encode new pieces, words behind a space many at a time: the one token with the space starts each."""
+        new = [p.decode("utf-8") for p in pieces]
         joined = np.array([p[:1] == " " and len(p) > 1 and not p[-1].isspace() for p in new], dtype=bool)
         words = [p for p, j in zip(new, joined.tolist()) if j]
         runs = ["".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
@@ -104,22 +137,57 @@ class Encoder:
         from_run = np.repeat(joined, sizes)
         flat = np.empty(len(from_run), dtype=np.uint32)
         flat[from_run], flat[~from_run] = run_ids, other_ids
+        numbers = len(self.sizes) + np.arange(len(new))
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.places = np.concatenate([self.places, len(self.letters) + np.cumsum(lengths) - lengths])
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(pieces), dtype=np.uint8)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.numbers = every[order], np.concatenate([self.numbers, numbers])[order]
+
+    def numbered(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray | None:
+        """The number of each piece; None if two pieces share a hash."""
+        lengths = np.diff(starts, append=len(data))
+        found, first, place = np.unique(self.hash(data, starts, lengths), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        new = np.flatnonzero(self.hashes[at] != found)
+        if len(new):
+            whole = data.tobytes()
+            begin, size = starts[first[new]].tolist(), lengths[first[new]].tolist()
+            self.learn([whole[b : b + n] for b, n in zip(begin, size)], found[new])
+            at = np.searchsorted(self.hashes, found)
+        numbers = self.numbers[at][place]
+        if not np.array_equal(self.lengths[numbers], lengths):
+            return None
+        known = self.letters[np.repeat(self.places[numbers] - starts, lengths) + np.arange(len(data))]
+        return numbers if np.array_equal(known, data) else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has, its end id included."""
-        if len(self.known) > REMEMBERED:
+        if len(self.sizes) > REMEMBERED:
             self.forget()
         plain = list(map(self.is_plain, texts))
-        marked = []
-        for text, p in zip(texts, plain):
-            if p:
-                marked.append(self.word_end.sub(rf"{CUT}\1", text).replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} "))
-                marked.append(END)
-        pieces = CUT.join(marked).split(CUT) if marked else []
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        if self.known.new:
-            self.learn()
+        data = np.frombuffer("".join([t + END for t, p in zip(texts, plain) if p]).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        starts = self.starts(data)
+        bounds = [0]
+        while bounds[-1] < len(starts):  # pieces of about one segment at a time
+            bounds.append(max(bounds[-1] + 1, int(np.searchsorted(starts, starts[bounds[-1]] + SEGMENT, "right")) - 1))
+        parts = []
+        for a, b in zip(bounds, bounds[1:]):
+            begin, end = starts[a], starts[b] if b < len(starts) else len(data)
+            part = self.numbered(data[begin:end], starts[a:b] - begin) if end - begin <= SEGMENT else None
+            if part is None:
+                plain = [False] * len(texts)
+                break
+            parts.append(part)
+        if not any(plain):
+            whole, sizes = self.each(texts)
+            own = np.split(whole, np.cumsum(sizes)[:-1])
+            end = np.array([self.end_id], dtype=np.uint32)
+            return np.concatenate([x for d in own for x in (d, end)]), sizes + 1
+        at = np.concatenate(parts)
         sizes = self.sizes[at]
         reached = np.cumsum(sizes)
         places = np.cumsum(self.sizes) - self.sizes

@@ -58,3 +58,22 @@ def test_documents_read_back(spark, library):
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokenbin.read_documents(tokenbin.write(none, tokenizer_json())).count() == 0
+
+
+def test_pieces_that_share_a_hash_are_encoded_whole(library, monkeypatch):
+    monkeypatch.setattr(tokenbin.Encoder, "hash", lambda self, data, starts, lengths: np.zeros(len(starts), dtype=np.uint64))
+    ids, sizes = tokenbin.Encoder(tokenizer_json()).encode(TEXTS)
+    assert ids.tolist() == sum((plain(library, t) for t in TEXTS), [])
+    assert sizes.tolist() == [len(plain(library, t)) for t in TEXTS]
+
+
+@pytest.mark.parametrize("segment", [16, 200])
+def test_segments_and_starting_anew_change_nothing(library, monkeypatch, segment):
+    monkeypatch.setattr(tokenbin, "SEGMENT", segment)
+    monkeypatch.setattr(tokenbin, "REMEMBERED", 5)
+    encoder = tokenbin.Encoder(tokenizer_json())
+    texts = ["some words, and more.\nNext line é here", "ab " * 300 + "end", "x" * 150, "last"]
+    for _ in range(2):
+        ids, sizes = encoder.encode(texts)
+        assert ids.tolist() == sum((plain(library, t) for t in texts), [])
+        assert sizes.tolist() == [len(plain(library, t)) for t in texts]
