@@ -21,10 +21,13 @@ toxic if one of its labels is. Repeated rows are rows of their own. All other co
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +40,30 @@ from rejoinder.plans.session import saved
 
 ORDER = 3
 DECAY = 0.85
-FLOOR = 0.65
+# kernel values up to this count as 0: none but true zeros
+FLOOR = 0.0
 LANDMARKS = 128
 SAMPLE_ROWS = 20_000
 FOLDS = 5
-# letters of a segment; longer words are cut into pieces that overlap by half
+# letters of a segment; windows are laid over longer words, with room for so many letters put into a landmark
 PIECE = 16
+GAPS = 2
 SHORTEST_LANDMARK, LONGEST_LANDMARK = 4, 12
-# pairs of strings, and words, measured at a time
+# the sentences' kernel values to this power, a kernel too, so that many faint likenesses don't outweigh a near one
+SHARPEN = 4
+# words surer than this (of pick_landmarks) are obfuscated for the machine of single segments; else so many of the surest
+SURE, SOME_MARKS = 3.5, 10
+# score of the segments of a text that has none
+NOTHING = -1e6
+COPIES, HARDEST, CLEAN_OVER, WORD_STRENGTH = 8, 5, 0.005, 1e-5
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+# strings measured at a time, letters of a very long word
 PAIRS = 4_096
-SOME = 20_000
+SOME = 2_000
+# subsequences of the landmarks' letters that are looked up in an array, 4 bytes each
+DENSE = 4_000_000
 # words remembered by a task before it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?]\W*$")
 
@@ -100,72 +115,97 @@ def own_kernel(rows: np.ndarray) -> np.ndarray:
     return kernel(rows, rows)
 
 
+@cache
+def subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of a string of that length, and what each counts."""
+    at = np.array(list(combinations(range(length), ORDER)), dtype=np.int64).reshape(-1, ORDER).T
+    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+
+
 class Landmarks:
-    """The landmarks with their bounds: the largest kernel value a string with a given set of letters can have."""
+    """The landmarks with the weights of their subsequences, so that a string is held against all of them at once."""
 
     def __init__(self, words: list[str]):
         self.words = words
         self.codes = letters(words)
         self.norms = own_kernel(self.codes)
-        every = sorted({c for code in self.codes for c in code[code > 0].tolist()})[:63]
-        self.bit = {c: i for i, c in enumerate(every)}
-        self.sets, self.bounds, self.masks, self.fewest = [], [], [], []
-        for code, norm in zip(self.codes, self.norms):
-            own = [c for c in sorted(set(code[code > 0].tolist())) if c in self.bit]
-            subsets = np.arange(1 << len(own))
-            masked = np.tile(code, (len(subsets), 1))
-            for b, letter in enumerate(own):
-                masked[((subsets >> b) & 1 == 0)[:, None] & (masked == letter)] = 0
-            # the part of the landmark's features made of these letters alone
-            bounds = np.sqrt(kernel(masked, code[code > 0]) / norm) + 1e-6
-            self.sets.append(own)
-            self.bounds.append(bounds)
-            self.masks.append(np.uint64(sum(1 << self.bit[c] for c in own)))
-            sizes = np.bitwise_count(subsets.astype(np.uint64))
-            self.fewest.append(int(sizes[bounds >= FLOOR].min(initial=len(own))))
+        self.letters = np.unique(self.codes[self.codes > 0])
+        keys, weights, landmark = [], [], []
+        for j, word in enumerate(words):
+            first, fade = subsequences(len(word))
+            keys.append(self.keys(self.codes[j][None], first)[0])
+            weights.append(fade)
+            landmark.append(np.full(len(fade), j))
+        none = np.zeros(0, dtype=np.int64)
+        self.known, row = np.unique(np.concatenate([none, *keys]), return_inverse=True)
+        self.table = np.zeros((len(self.known) + 1, len(words)), dtype=np.float32)
+        np.add.at(self.table, (row, np.concatenate([none, *landmark])), np.concatenate([none, *weights]))
+        self.table /= np.sqrt(np.maximum(self.norms, 1e-30))
+        # the row of each subsequence, the last one for those of no landmark, if the alphabet is of usual size
+        size = (len(self.letters) + 1) ** ORDER
+        self.rows = None
+        if size <= DENSE:
+            self.rows = np.full(size, len(self.known), dtype=np.int32)
+            self.rows[self.known] = np.arange(len(self.known))
+
+    def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number for each subsequence; those with a letter of no landmark get one that no landmark has."""
+        place = np.searchsorted(self.letters, codes)
+        own = np.where(self.letters[np.minimum(place, len(self.letters) - 1)] == codes, place + 1, 0)
+        key = own[:, at[0]]
+        for letter in at[1:]:
+            key = key * (len(self.letters) + 1) + own[:, letter]
+        return key
 
     def values(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel values, those under ``FLOOR`` set to 0."""
-        parts = [self.some_values(words[i : i + SOME]) for i in range(0, len(words), SOME)]
-        return np.concatenate([np.zeros((0, len(self.words)), dtype=np.float32), *parts])
-
-    def some_values(self, words: list[str]) -> np.ndarray:
-        codes = letters(words)
+        """Normalised kernel values. Only strings that share no subsequence with a landmark are left out: theirs are 0."""
         found = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        used = np.zeros(len(words), dtype=np.uint64)
-        for c, b in self.bit.items():
-            used |= (codes == c).any(axis=1).astype(np.uint64) << np.uint64(b)
-        pairs = []
-        for j, own in enumerate(self.sets):
-            near = np.flatnonzero(np.bitwise_count(used & self.masks[j]) >= self.fewest[j])
-            subset = np.zeros(len(near), dtype=np.int64)
-            for b, letter in enumerate(own):
-                subset |= ((used[near] >> np.uint64(self.bit[letter])) & np.uint64(1)).astype(np.int64) << b
-            near = near[self.bounds[j][subset] >= FLOOR]
-            pairs.append((near, np.full(len(near), j)))
-        word, landmark = (np.concatenate(p) for p in zip(*pairs))
-        if len(word):
-            own, place = np.unique(word, return_inverse=True)
-            norms = own_kernel(codes[own])[place] * self.norms[landmark]
-            k = kernel(codes[word], self.codes[landmark, :LONGEST_LANDMARK])
-            k = np.divide(k, np.sqrt(norms), out=np.zeros(len(word)), where=norms > 0)
-            found[word, landmark] = np.where(k >= FLOOR, k, 0)
+        if not len(self.known):
+            return found
+        length = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), PIECE)
+        order = np.argsort(length, kind="stable")
+        for size in range(ORDER, PIECE + 1):
+            own = order[np.searchsorted(length[order], size) : np.searchsorted(length[order], size, "right")]
+            for at in range(0, len(own), PAIRS):
+                self.some_values([words[i] for i in own[at : at + PAIRS]], size, own[at : at + PAIRS], found)
         return found
 
+    def some_values(self, words: list[str], size: int, numbers: np.ndarray, found: np.ndarray) -> None:
+        """Values of words of one length, put in their rows of ``found``."""
+        codes = letters(words)
+        first, fade = subsequences(size)
+        keys = self.keys(codes, first)
+        if self.rows is not None:
+            row = self.rows[keys]
+        else:
+            row = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            row = np.where(self.known[row] == keys, row, len(self.known))
+        near = np.flatnonzero((row < len(self.known)).any(axis=1))
+        row, step = row[near], max(1, 1_024 // len(fade))
+        sums = np.zeros((len(near), len(self.words)), dtype=np.float32)
+        for at in range(0, len(near), step):
+            sums[at : at + step] = fade @ self.table[row[at : at + step]]
+        found[numbers[near]] = sums / np.sqrt(own_kernel(codes[near]))[:, None].astype(np.float32)
+
     def gram(self) -> np.ndarray:
         each = [kernel(self.codes, code[code > 0]) for code in self.codes]
         return np.array(each) / np.sqrt(np.outer(self.norms, self.norms))
 
 
-def pieces(word: str) -> list[str]:
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+def letters_of(token: str) -> str:
+    """The letters of a token; a space goes before those that stood in several runs, so that windows are laid over them."""
+    runs = [r for r in NOT_LETTERS.split(token) if r]
+    return "".join(runs) if len(runs) < 2 else " " + "".join(runs)
 
 
 class Segments:
-    """Remembers, for each distinct word of a task, its kernel values and whether it ends a sentence."""
+    """Remembers, for each distinct word of a task, its kernel values, its own score and whether it ends a sentence."""
 
-    def __init__(self, landmarks: Landmarks):
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray | None = None):
         self.landmarks = landmarks
+        self.weights = np.zeros(len(landmarks.words)) if weights is None else weights
+        sizes = [min(len(w), PIECE) for w in landmarks.words]
+        self.sizes = range(min(sizes), min(PIECE, max(sizes) + GAPS) + 1)
         self.forget()
 
     def forget(self) -> None:
@@ -176,34 +216,52 @@ class Segments:
         self.ends = np.array([], dtype=bool)
         self.single = np.array([], dtype=bool)
         self.values = np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
-
-    def measured(self, words: list[str]) -> np.ndarray:
-        """Kernel values of each word; of a long one the largest over its pieces."""
-        values = self.landmarks.values(words)
-        long = [i for i, w in enumerate(words) if len(w) > PIECE]
-        if long:
-            cut = [pieces(words[i]) for i in long]
-            starts = np.cumsum([0, *map(len, cut[:-1])])
-            values[long] = np.maximum.reduceat(self.landmarks.values([p for c in cut for p in c]), starts, axis=0)
-        return values
+        self.own = np.zeros(0)
+
+    def windows(self, word: str) -> list[str]:
+        """The strings a word is measured by: itself, or at each letter a window of each landmark's length and with gaps."""
+        if word[:1] != " " and len(word) <= PIECE:
+            return [word]
+        word = word.lstrip(" ")
+        return [word[i : i + n] for n in self.sizes if n < len(word) for i in range(len(word) - n + 1)] + [word] * (len(word) <= PIECE)
+
+    def measured(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of each word and the product with the weights, the largest over its windows."""
+        values = np.zeros((len(words), len(self.landmarks.words)), dtype=np.float32)
+        own = np.full(len(words), -np.inf)
+        plain = [i for i, w in enumerate(words) if len(w) <= PIECE and w[:1] != " "]
+        values[plain] = self.landmarks.values([words[i] for i in plain])
+        own[plain] = values[plain] @ self.weights
+        for i, word in enumerate(words):
+            if len(word) > PIECE or word[:1] == " ":
+                for at in range(0, len(word), SOME):  # of a very long word some letters at a time
+                    some = self.landmarks.values(self.windows(" " + word.lstrip(" ")[at : at + SOME + PIECE]))
+                    np.maximum(values[i], some.max(axis=0, initial=0), out=values[i])
+                    own[i] = max(own[i], (some @ self.weights).max(initial=-np.inf))
+        return values, own
 
     def learn(self) -> None:
         words = self.known.take_new()
-        clean = [NOT_LETTERS.sub("", w) for w in words]
+        clean = list(map(letters_of, words))
         row = list(map(self.rows.__getitem__, clean))
         new = self.rows.take_new()
         if new:
-            values = self.measured(new)
+            values, own = self.measured(new)
             near = values.any(axis=1)
             numbers = np.where(near, len(self.values) + np.cumsum(near) - 1, -1)
             self.of_letters = np.concatenate([self.of_letters, numbers])
             self.values = np.concatenate([self.values, values[near]])
+            self.own = np.concatenate([self.own, own[near]])
         self.row = np.concatenate([self.row, self.of_letters[row]])
         self.ends = np.concatenate([self.ends, [w[-1] in ".!?" or bool(SENTENCE_END.search(w)) for w in words]])
-        self.single = np.concatenate([self.single, [len(c) == 1 for c in clean]])
+        self.single = np.concatenate([self.single, [len(c.lstrip(" ")) == 1 for c in clean]])
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the values of its sentences that have any."""
+        return [values for values, _ in self.found(texts)]
+
+    def found(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+        """The same, and the largest score of a single segment."""
         if len(self.known) > REMEMBERED:
             self.forget()
         out, number = [], self.known.__getitem__
@@ -219,18 +277,19 @@ class Segments:
             hits = np.flatnonzero(rows >= 0)
             spelled = self.spelled(text, at)
             if not len(hits) and not spelled:
-                out.append(none)
+                out.append((none, NOTHING))
                 continue
             sentence = np.cumsum(self.ends[at]) - self.ends[at]
-            where = np.concatenate([sentence[hits], [sentence[p] for p, _ in spelled]]).astype(np.int64)
-            values = np.concatenate([self.values[rows[hits]], *[v[None] for _, v in spelled]])
+            where = np.concatenate([sentence[hits], [sentence[p] for p, _, _ in spelled]]).astype(np.int64)
+            values = np.concatenate([self.values[rows[hits]], *[v[None] for _, v, _ in spelled]])
             order = np.argsort(where, kind="stable")
             first = np.flatnonzero(np.diff(where[order], prepend=-1))
-            out.append(np.maximum.reduceat(values[order], first, axis=0))
+            best = max([self.own[rows[hits]].max(initial=-np.inf), *[o for _, _, o in spelled]])
+            out.append((np.maximum.reduceat(values[order], first, axis=0), float(best)))
         return out
 
-    def spelled(self, text: str, at: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Runs of single letters, joined: the place of each and its values, if it has any."""
+    def spelled(self, text: str, at: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
+        """Runs of single letters, joined: the place of each, its values, if it has any, and its score."""
         single = self.single[at]
         if np.count_nonzero(single) < ORDER:
             return []
@@ -239,24 +298,27 @@ class Segments:
         if not runs:
             return []
         words = text.lower().replace("\n", " . ").split()
-        joined = [NOT_LETTERS.sub("", "".join(words[s:e])) for s, e in runs]
-        values = self.measured(joined)
-        return [(s, v) for (s, _), v in zip(runs, values) if v.any()]
+        joined = [" " + NOT_LETTERS.sub("", "".join(words[s:e])) for s, e in runs]
+        return [(s, v, o) for (s, _), v, o in zip(runs, *self.measured(joined)) if v.any()]
 
 
 @dataclass
 class Model:
     landmarks: list[str]
-    weights: np.ndarray  # of the landmarks' kernel values: the machine's weights behind the Nystroem map
+    weights: np.ndarray  # of the sentences' sharpened kernel values: the machine's weights behind the Nystroem map
     bias: float
     slope: float
     shift: float
+    word_weights: np.ndarray | None = None  # of a single segment's kernel values
+    word_slope: float = 0.0
+    word_shift: float = -500.0
 
     def decisions(self, sentences: list[np.ndarray]) -> np.ndarray:
-        return np.array([max(self.bias, float((s @ self.weights).max(initial=-np.inf)) + self.bias) for s in sentences])
+        return np.array([max(self.bias, float((s**SHARPEN @ self.weights).max(initial=-np.inf)) + self.bias) for s in sentences])
 
-    def scores(self, sentences: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(sentences) + self.shift, -500, 500)))
+    def scores(self, sentences: list[np.ndarray], words: list[float]) -> np.ndarray:
+        by_word = self.word_slope * np.array(words, dtype=np.float64) + self.word_shift
+        return 1 / (1 + np.exp(-np.clip(np.maximum(self.slope * self.decisions(sentences) + self.shift, by_word), -500, 500)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -274,8 +336,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return rows.groupBy("_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
 
 
-def pick_landmarks(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """The words whose share of toxic texts most surely exceeds their share of clean ones."""
+def pick_landmarks(rows: DataFrame, count: int = LANDMARKS) -> dict[str, float]:
+    """The words, with how surely, whose share of toxic texts most surely exceeds their share of clean ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
@@ -294,7 +356,7 @@ def pick_landmarks(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
     words = rows.mapInArrow(run, "word string, toxic int, n bigint").groupBy("word").agg(one_if(1).alias("a"), one_if(0).alias("b"))
     surely = F.log(F.col("a") / bad) - F.log(F.col("b") / good) - 1.64 * F.sqrt(1 / F.col("a") + 1 / F.col("b"))
     top = words.withColumn("z", surely).orderBy(F.desc("z"), "word").limit(count)
-    return [r["word"] for r in top.collect()]
+    return {r["word"]: r["z"] for r in top.collect()}
 
 
 def machine(features: np.ndarray, signs: np.ndarray, strength: float = 3e-4, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -334,30 +396,87 @@ def logistic(values: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tuple[
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model:
     rows = saved(training_rows(docs, labels, sample_rows), "toxic-training")
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    words = pick_landmarks(rows, landmarks) if len(classes) == 2 else []
+    sure = pick_landmarks(rows, landmarks) if len(classes) == 2 else {}
+    words = list(sure)
     if not words:
         return Model([], np.zeros(0), 0.0, 0.0, 500.0 if set(classes) == {1} else -500.0)
 
+    marks = [i for i, w in enumerate(words) if sure[w] > SURE] or [i for i, w in enumerate(words[:SOME_MARKS]) if sure[w] > 0] or [0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = Segments(Landmarks(words))
+        landmarks = Landmarks(words)
+        segments, only = Segments(landmarks), Landmarks([words[i] for i in marks])
         for batch in slices(batches):
-            best = []
-            for s in segments.sentences(texts_of(batch)):
-                best.append(s[s.sum(axis=1).argmax()].tolist() if len(s) else [0.0] * len(words))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(best, pa.list_(pa.float32()))], names=["toxic", "values"])
+            texts, best, near = texts_of(batch), [], []
+            for s in segments.sentences(texts):
+                best.append(s[(s**SHARPEN).sum(axis=1).argmax()].tolist() if len(s) else [0.0] * len(words))
+            for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
+                # the clean text's segments that are most like an insult
+                own = sorted({p for w in set(map(letters_of, text.lower().split())) for p in segments.windows(w)}) if toxic == 0 else []
+                like = only.values(own).max(axis=1, initial=0)
+                near.append([own[i] for i in np.argsort(-like, kind="stable")[:HARDEST]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), pa.array(best, pa.list_(pa.float32())), pa.array(near, pa.list_(pa.string()))], names=["toxic", "values", "near"]
+            )
 
     # at most sample_rows rows of as many numbers as landmarks
-    got = rows.mapInArrow(run, "toxic int, values array<float>").collect()
+    got = rows.mapInArrow(run, "toxic int, values array<float>, near array<string>").collect()
     toxic = np.array([r["toxic"] > 0 for r in got])
-    values = np.array([r["values"] for r in got], dtype=np.float64)
-    size, axes = np.linalg.eigh(Landmarks(words).gram())
-    inverse_root = axes / np.sqrt(np.maximum(size, 1e-6)) @ axes.T
-    w, bias = machine(values @ inverse_root, np.where(toxic, 1.0, -1.0))
+    values = np.array([r["values"] for r in got], dtype=np.float32)
+    landmarks = Landmarks(words)
+    gram = landmarks.gram()
+    inverse_root = nystroem(gram**SHARPEN)
+    w, bias = machine(values.astype(np.float64) ** SHARPEN @ inverse_root, np.where(toxic, 1.0, -1.0))
     model = Model(words, inverse_root @ w, bias, 1.0, 0.0)
-    model.slope, model.shift = logistic(model.decisions([v[None] for v in values]), toxic)
+    decided = model.decisions([v[None] for v in values])
+    model.slope, model.shift = logistic(decided, toxic)
+    # few clean training texts may pass, as the second machine finds others
+    model.shift = min(model.shift, -model.slope * float(np.quantile(decided[~toxic], 1 - CLEAN_OVER, method="higher")) - 1e-6)
+    learn_words(model, landmarks, nystroem(gram), [words[i] for i in marks], [r["near"] for r in got if r["near"]])
     return model
 
 
+def nystroem(gram: np.ndarray) -> np.ndarray:
+    size, axes = np.linalg.eigh(gram)
+    return axes / np.sqrt(np.maximum(size, 1e-6)) @ axes.T
+
+
+def copies(word: str, seed: int) -> list[str]:
+    """The word and obfuscated copies: letters put in, changed or left out."""
+    pick = random.Random(seed)
+    out = [word]
+    for count in (1, 1, 2, 2):
+        copy = word
+        for at in sorted(pick.sample(range(1, len(word)), min(count, len(word) - 1)), reverse=True):
+            copy = copy[:at] + pick.choice(ALPHABET) + copy[at:]
+        out.append(copy)
+    for put in (pick.choice(ALPHABET), ""):
+        at = pick.randrange(1, len(word) - 1)
+        out.append(word[:at] + put + word[at + 1 :])
+    return out
+
+
+def learn_words(model: Model, landmarks: Landmarks, inverse_root: np.ndarray, marks: list[str], near: list[list[str]]) -> None:
+    """A second machine tells obfuscated copies of the surest words from the segments of clean training texts. Its
+    threshold is the smallest that at most ``CLEAN_OVER`` of these texts pass."""
+    bad = landmarks.values([c for w in marks for seed in range(COPIES) for c in copies(w, seed)]).astype(np.float64)
+    own = sorted({w for n in near for w in n})
+    good = landmarks.values(own).astype(np.float64)
+    if not len(good):
+        return
+    hardest = good[np.argsort(-good[:, [landmarks.words.index(w) for w in marks]].max(axis=1), kind="stable")[:SAMPLE_ROWS]]
+    signs = np.concatenate([np.ones(len(bad)), -np.ones(len(hardest))])
+    w, _ = machine(np.concatenate([bad, hardest]) @ inverse_root, signs, WORD_STRENGTH)
+    model.word_weights = inverse_root @ w
+    of = dict(zip(own, good @ model.word_weights))
+    best = np.array([max(of[w] for w in n) for n in near])
+    model.word_slope = max(logistic(np.concatenate([bad, hardest]) @ model.word_weights, signs > 0)[0], 1e-3)
+    edge = max(0.0, float(np.quantile(best, 1 - CLEAN_OVER, method="higher")))
+    over = bad @ model.word_weights
+    edge = (edge + over[over > edge].min(initial=edge + 0.02)) / 2
+    model.word_shift = float(-model.word_slope * edge)
+
+
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """All rows and columns of ``docs`` and the score of the whole text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -366,11 +485,11 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
         model, segments = shipped.value, None
         for batch in slices(batches):
             if model.landmarks:
-                segments = segments or Segments(Landmarks(model.landmarks))
-                found = segments.sentences(texts_of(batch))
+                segments = segments or Segments(Landmarks(model.landmarks), model.word_weights)
+                found = segments.found(texts_of(batch))
             else:
-                found = [np.zeros((0, 0))] * batch.num_rows
-            yield extended(batch, **{name: pa.array(model.scores(found), pa.float64())})
+                found = [(np.zeros((0, 0)), NOTHING)] * batch.num_rows
+            yield extended(batch, **{name: pa.array(model.scores(*map(list, zip(*found))), pa.float64())})
 
     return docs.mapInArrow(run, with_fields(docs, (name, T.DoubleType())))
 

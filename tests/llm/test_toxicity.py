@@ -107,3 +107,21 @@ def test_held_out_accuracy(spark):
     toxic = [r["toxicity"] >= 0.5 for r in got if r["toxic"] == 1]
     clean = [r["toxicity"] >= 0.5 for r in got if r["toxic"] == 0]
     assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_glued_long_and_obfuscated_segments():
+    segments = toxicity.Segments(toxicity.Landmarks(["idiot", "stupid", "disgusting"]))
+    glued = ["well,idiot", "idiot/moron", "stupid-loser", "y o u i d i o t", "ab" * 400 + "stupid" + "cd" * 30, "mn" * 20 + "disgusting" + "opq" * 9]
+    assert [f.max() for f in segments.sentences(glued)] == [pytest.approx(1, abs=1e-3)] * len(glued)
+    values = toxicity.Landmarks(["idiot", "scum"]).values(["ixdxiot", "scxum", "idlot"])
+    assert values.max(axis=1).tolist() == [pytest.approx(v, abs=0.01) for v in (0.47, 0.58, 0.39)]
+
+
+def test_scores_of_obfuscated_and_glued_insults(spark, made):
+    marks = ["idiot", "scum", "stupid", "worthless"]
+    docs = [(d, t.replace("blockhead", marks[d % 4]).replace("nitwit", marks[d // 5 % 4])) for d, t in made[0]]
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(made[1], LABELS))
+    bad = ["ixdxiot", "stuxpixd", "worxthlxess", "scxum", "idlot", "well,idiot", "stupid-loser", "y o u i d i o t", "ab" * 30 + "worthless" + "cd" * 30]
+    texts = [f"the river {w} stone" for w in bad] + ["the river stone", "music " * 400, "green-paper, table/window", "ab" * 30 + "cd" * 30]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()
+    assert {r["doc_id"]: r["toxicity"] >= 0.5 for r in got} == {i: i < len(bad) for i in range(len(texts))}
