@@ -8,14 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import chat, decontaminate, fingerprint, html, mixing, sharding, simhash, tokenbin, tokencount, toxicity
+from rejoinder.llm import alignment, chat, decontaminate, fingerprint, html, mixing, pivots, sharding, simhash, tokenbin, tokencount, toxicity, whitening
 from rejoinder.llm.common import table
 from rejoinder.plans.session import saved
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 MIX_ENTROPY = 0.98
 MIX_REPETITION = 4.0
+QUERY_EVERY, NEIGHBOURS = 50, 5
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -123,6 +125,22 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(stored).drop("leaf")
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(PIECE_MODEL), "rb") as file:
+        return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_json(), file.read())
+
+
+def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pivots.quantised(table(spark, sf_dir, "embeddings"))
+    return pivots.top_k(rows, F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS).drop("query_key")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it doesn't fit in a long."""
+    found = whitening.whitened(whitening.scaled(table(spark, sf_dir, "embeddings")))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_main_text": op2_main_text,
@@ -134,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
     "op10_reply_trees": op10_reply_trees,
+    "op11_cross_alignment": op11_cross_alignment,
+    "op12_pivot_top_k": op12_pivot_top_k,
+    "op13_whitening": op13_whitening,
 }
