@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -73,6 +74,26 @@ def test_proximity(spark):
     assert decontaminate.proximity(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_windows", [1, 50])
+def test_proximity_equals_brute_force(spark, block_windows):
+    pick = random.Random(11)
+    names = ["a", "b", "c", "d", "e", "f"]
+    docs = [(i, " ".join(pick.choice(names) for _ in range(pick.randrange(25)))) for i in range(30)] + [(None, "d c b a"), (31, None)]
+    items = [(1, "a b c d"), (2, "f e"), (3, "a a f"), (4, None)]
+    counts = Counter(w for _, t in docs for w in plain_words(t))
+    for slack in (0, 1, 3):
+        want = set()
+        for item, text in items:
+            own = plain_words(text)
+            rarest = min(own, key=lambda w: (counts[w], own.index(w)), default=None)
+            for doc, words in ((d, plain_words(t)) for d, t in docs):
+                reach = len(own) + slack - 1
+                near = lambda at, t: any(w == t and abs(j - at) <= reach for j, w in enumerate(words))  # noqa: B023, E731
+                want |= {(doc, str(item), at) for at, w in enumerate(words) if w == rarest and all(near(at, t) for t in own)}
+        got = decontaminate.proximity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), slack=slack, block_windows=block_windows)
+        assert set(map(tuple, got.collect())) == want
+
+
 def test_empty_tables(spark):
     docs, items = made(1)
     none_docs, none_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)

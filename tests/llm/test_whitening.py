@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+
+from rejoinder.llm import whitening
+
+SCHEMA = "vec_id bigint, embedding array<double>"
+
+
+def whitened(spark, rows, schema=SCHEMA, **options):
+    return whitening.whitened(whitening.scaled(spark.createDataFrame(rows, schema)), **options)
+
+
+def matrix_with(values, seed=1):
+    axes, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(values), len(values))))
+    v = axes @ np.diag(values) @ axes.T
+    return (v + v.T) / 2
+
+
+@pytest.mark.parametrize(
+    "values",
+    [[9.0, 5, 3, 1], [4.0, 4, 4, 1, 0.5], [1.0, 1 - 1e-9, 0.5, 0.1], [5.0, 0, 0, 0, 0, 0], [0.0] * 5, list(np.geomspace(1e6, 1e-6, 30)), [2.0], [1.0] * 12,
+     list(1 + 1e-3 * np.arange(40.0))],
+)
+def test_eigenpairs(values):
+    v, count = matrix_with(values), min(8, len(values))
+    want = np.sort(values)[::-1][:count]
+    got, vectors = whitening.eigenpairs(v, count)
+    size = max(1e-300, np.abs(v).max())
+    assert np.allclose(got, want, atol=1e-12 * size)
+    assert np.allclose(vectors.T @ vectors, np.eye(count), atol=1e-9)
+    assert np.abs(v @ vectors - vectors * got).max() < 1e-11 * size * len(values)
+
+
+def test_inertia_counts():
+    values = [7.0, 3, 3, -1, -4, 0.25]
+    v = matrix_with(values)
+    for shift in (-5, -2, -0.5, 0.1, 2, 5, 8):
+        assert whitening.count_above(v, shift) == sum(x > shift for x in values)
+    assert whitening.count_above(np.array([[0.0, 1.0], [1.0, 0.0]]), 0.0) == 1
+
+
+def test_equals_plain_arithmetic(spark):
+    pick = np.random.default_rng(3)
+    v = pick.normal(size=(500, 12)) * np.geomspace(3, 0.1, 12) + 40
+    rows = [(i, v[i].tolist()) for i in range(500)]
+    got = whitened(spark, rows).toPandas().sort_values(["vec_id", "component"])
+    x = np.floor(1024 * v).astype(np.int64) + 100_000
+    n, s = len(x), x.sum(axis=0)
+    centred = (n * x - s) / n
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    want = centred @ axes[:, :8] / np.sqrt(values[:8])
+    mine = got.whitened.to_numpy().reshape(500, 8)
+    assert np.allclose(mine * np.sign((mine * want).sum(axis=0)), want, atol=1e-9)
+    assert got.deviation.astype("int64").to_numpy().reshape(500, 8)[:, 0].tolist() == ((n * x - s) ** 2).sum(axis=1).tolist()
+    assert np.allclose(got.explained.to_numpy()[:8], values[:8] / values.sum(), rtol=1e-9)
+    assert set(got.n) == {500} and got.component.tolist()[:8] == list(range(1, 9)) and got.identity_error.max() < 1e-9
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 2.0, 0.0]), (1, [1.0, 2.0, 0.0]), (2, [3.0, 1.0, 0.0]), (None, [0.0, 5.0, 0.0]), (3, None), (4, [nan, 1.0, 1.0]), (5, [1.0, inf, 0.0]),
+        (6, [1.0, None, 0.0]), (7, [1.0]), (8, []), (9, [1e30, 0.0, 0.0]),
+    ]
+    got = whitened(spark, [(*r, "a", 1) for r in rows], SCHEMA + ", x string, component int").collect()
+    assert len(got) == 4 * 3 and {r["n"] for r in got} == {4}
+    assert sorted({str(r["vec_id"]) for r in got}) == ["1", "2", "None"]
+    # a dimension without variance gives a component without any
+    assert all((r["whitened"] is None) == (r["component"] == 3) for r in got)
+    assert {r["explained"] for r in got if r["component"] == 3} == {0.0} and max(r["identity_error"] for r in got) < 1e-9
+
+
+def test_rows_without_variance(spark):
+    got = whitened(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]).collect()
+    assert {(r["whitened"], r["explained"], r["identity_error"], int(r["deviation"])) for r in got} == {(None, None, None, 0)} and len(got) == 4
+    assert whitened(spark, []).count() == 0 and whitened(spark, [(1, None)]).count() == 0
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(i, [float((-1) ** i * 2**29 + i), float(i)]) for i in range(4)]
+    x = [[int(1024 * c) + 100_000 for c in v] for _, v in rows]
+    s = [sum(c) for c in zip(*x)]
+    got = {r["vec_id"]: int(r["deviation"]) for r in whitened(spark, rows).collect()}
+    assert got == {i: sum((4 * c - t) ** 2 for c, t in zip(x[i], s)) for i in range(4)}
