@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rejoinder.functions.text import first_line, to_number
-from rejoinder.plans.skew import HOT_ROWS, block_start, previous_rows
+from rejoinder.plans.skew import BLOCK_ROWS, previous_rows
 
 # Fixed value: the flat price per token on the dashboard.
 FLAT_PRICE = "0.0001"
@@ -67,11 +67,31 @@ def requests_per_hour(log: DataFrame) -> DataFrame:
     counts = log.groupBy(F.date_trunc("hour", F.col("timestamp").cast("timestamp")).alias("hour")).agg(
         F.count("session_id").alias("requests")
     )
-    hours = counts.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour")
-    )
-    return hours.join(counts, "hour", "left").select(
-        "hour", F.coalesce("requests", F.lit(0)).alias("requests")
+    return fill_hours(counts)
+
+
+def fill_hours(counts: DataFrame) -> DataFrame:
+    """Counts by hour with the hours in between that have none, as 0.
+
+    Every hour fills up what lies between it and the next one. That is looked up in its year first, and only the first hour
+    of each year is looked up over all years, so neither a window nor a row grows with the whole span: a gap of several
+    years is one row a year before it is filled.
+    """
+    hour = F.expr("interval 1 hour")
+    years = counts.filter("hour is not null").withColumn("_year", F.year("hour"))
+    in_year = years.withColumn("_next", F.lead("hour").over(Window.partitionBy("_year").orderBy("hour")))
+    # one row a year
+    firsts = years.groupBy("_year").agg(F.min("hour").alias("_first"))
+    following = firsts.select("_year", F.lead("_first").over(Window.orderBy("_year")).alias("_following"))
+    filled = in_year.join(F.broadcast(following), "_year", "left").withColumn("_next", F.coalesce("_next", "_following"))
+    # the years a gap runs through, each with its own part of the gap
+    new_year = F.make_timestamp(F.col("_y"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    spans = filled.withColumn("_y", F.explode(F.sequence("_year", F.year(F.coalesce(F.col("_next") - hour, F.col("hour"))))))
+    start = F.when(F.col("_y") == F.col("_year"), F.col("hour")).otherwise(new_year)
+    last = F.least(F.coalesce(F.col("_next") - hour, F.col("hour")), F.make_timestamp(F.col("_y"), F.lit(12), F.lit(31), F.lit(23), F.lit(0), F.lit(0)))
+    each = spans.select("hour", "requests", start.alias("_start"), last.alias("_last")).repartition("hour", "_start")
+    return each.select(F.col("hour").alias("_hour"), "requests", F.explode(F.sequence("_start", "_last", hour)).alias("hour")).select(
+        "hour", F.when(F.col("hour") == F.col("_hour"), F.col("requests")).otherwise(F.lit(0)).alias("requests")
     )
 
 
@@ -97,8 +117,10 @@ def session_details(log: DataFrame, n: int = 10) -> DataFrame:
     ]
     shown = log.groupBy(*keys).agg(F.min("id").alias("id")).orderBy("id").limit(n).select("id")
     rows = log.join(F.broadcast(shown), "id", "left_semi")  # at most n ids
+    sessions = rows.select("session_id").distinct()
     firsts = (
-        log.filter(F.col("session_id").isNotNull())
+        log.select("session_id", "timestamp")
+        .join(F.broadcast(sessions), "session_id", "left_semi")  # at most n sessions
         .groupBy("session_id")
         .agg(F.min("timestamp").alias("first_token"))
     )
@@ -127,27 +149,29 @@ def session_details(log: DataFrame, n: int = 10) -> DataFrame:
 
 
 def latest_by_session(log: DataFrame, session_id: str | None = None) -> DataFrame:
-    """The newest row of every session, or of one; among equal times the larger id."""
+    """The newest row of every session, or of one; among equal times the larger id. Ids are whole numbers."""
     rows = log.filter(F.col("session_id").isNotNull())
     if session_id is not None:
         rows = rows.filter(F.col("session_id") == session_id)
-    newest = F.max_by(F.struct(*log.columns), F.struct("timestamp", "id")).alias("_row")
-    return rows.groupBy("session_id").agg(newest).select("_row.*")
+    # time and id as one number: a plain hash aggregate over short rows; only the join reads whole ones
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("decimal(18,0)")
+    place = (micros * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + F.col("id")).cast("decimal(38,0)")
+    newest = rows.groupBy(F.col("session_id").alias("_session")).agg(F.max(place).alias("_place"))
+    return rows.join(newest, (F.col("session_id") == F.col("_session")) & (place == F.col("_place")), "left_semi")
 
 
-def session_gaps(log: DataFrame, block_hours: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+def session_gaps(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Seconds since the previous row of the same session, null on its first row."""
     slim = log.filter(F.col("session_id").isNotNull()).select("session_id", "timestamp", "id")
-    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     with_before = previous_rows(
         slim,
         ["session_id"],
         ["timestamp", "id"],
         F.col("timestamp"),
         1,
-        block_start(micros, block_hours * 3_600_000_000),
+        F.unix_micros(F.col("timestamp").cast("timestamp")),
         "_before",
-        hot_rows,
+        block_rows,
     )
     return with_before.select(
         "session_id",

@@ -11,11 +11,14 @@ CONTEXT_MARKER = "Context details:"
 
 
 def flatten_feedback(batches: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """One row per feedback with its place in the batch; surveys stay nested beside it."""
+    """One row per feedback with its place in the batch; surveys stay nested beside it.
+
+    Entries that are no feedback are left out; the others keep their place. ``keep_empty`` keeps batches without entries.
+    """
     explode = F.posexplode_outer if keep_empty else F.posexplode
     rows = batches.select(
         "session_id", "Core Prompt", "Context Prompt", explode("Feedback Data").alias("pos", "_f")
-    )
+    ).filter("_f is not null or pos is null")
     first, last = before_and_after(F.col("Context Prompt"), CONTEXT_MARKER)
     return rows.select(
         "session_id",
@@ -72,9 +75,10 @@ def pair_by_position(batches: DataFrame) -> DataFrame:
     """The n-th feedback of a batch with the n-th survey of the batch, cut to the shorter list.
 
     Surveys of all feedback in a batch are put in one list first, so a feedback with none or
-    several shifts the pairs after it. Worked out inside each batch row: nothing is shuffled.
+    several shifts the pairs after it. Entries that are no feedback are left out first. Worked out inside each batch
+    row: nothing is shuffled.
     """
-    feedback = F.col("Feedback Data")
+    feedback = F.filter("Feedback Data", lambda f: f.isNotNull())
     surveys = F.flatten(
         F.transform(
             feedback,

@@ -51,22 +51,21 @@ def match_revisions(requests: DataFrame, responses: DataFrame, fields: list[str]
 
     ``status`` is 200, or 404 with the ``reason`` when there is no such feedback or field. Stored replies
     with their JSON text in ``reply_json`` can be revised in any of their fields, others in the given ``fields``.
-    Only replies that are asked for are compared.
+    Only replies that are asked for are compared. Feedback ids may be of any type; they are compared as text.
     """
     if "reply_json" in responses.columns:
         by_name = F.map_filter(F.from_json("reply_json", "map<string,string>"), lambda key, _: key != "feedback_id")
     else:
         by_name = F.create_map(*[part for f in fields for part in (F.lit(f), F.col(f))])
-    asked = requests.select("session_id", "feedback_id").distinct()
-    responses = responses.join(asked, ["session_id", "feedback_id"], "left_semi")
-    stored = first_per_key(
-        responses.select("session_id", "feedback_id", "pos", by_name.alias("_texts")),
-        ["session_id", "feedback_id"],
-        ["pos"],
-    ).withColumn("_stored", F.lit(True))
+    requests = requests.withColumn("_id", F.col("feedback_id").cast("string"))
+    asked = requests.select("session_id", "_id").distinct()
+    own = responses.withColumn("_id", F.col("feedback_id").cast("string")).join(asked, ["session_id", "_id"], "left_semi")
+    stored = first_per_key(own.select("session_id", "_id", "pos", by_name.alias("_texts")), ["session_id", "_id"], ["pos"]).withColumn(
+        "_stored", F.lit(True)
+    )
     text = F.try_element_at("_texts", F.col("modification_key"))
     return (
-        requests.join(stored, ["session_id", "feedback_id"], "left")
+        requests.join(stored, ["session_id", "_id"], "left")
         .withColumn("stored_text", text)
         .withColumn(
             "reason",
@@ -75,5 +74,5 @@ def match_revisions(requests: DataFrame, responses: DataFrame, fields: list[str]
             ),
         )
         .withColumn("status", F.when(F.col("reason").isNotNull(), 404).otherwise(200))
-        .drop("_texts", "_stored")
+        .drop("_texts", "_stored", "_id")
     )

@@ -139,7 +139,32 @@ def batches_json(t: Tables) -> DataFrame:
 
 
 def batches(t: Tables) -> DataFrame:
-    return parse_batches(batches_json(t), "batch")
+    return parse_batches(batches_json(t), "batch", id_type="bigint")
+
+
+def damaged_batches(t: Tables) -> DataFrame:
+    """The batches as texts of which some are damaged: cut in half, or with a text behind them; and some of their entries:
+    plain text for a review, an entry that is a text, no id, an id that is a text."""
+    key = F.col("feedback_id") % 10
+    name = F.concat(F.lit("F-"), F.col("feedback_id").cast("string"))
+    review = F.struct(F.col("lang").alias("Text"))
+    entry = (
+        F.when(key == 3, F.to_json(F.struct(F.col("feedback_id").alias("ID"), F.lit("plain text").alias("Review"))))
+        .when(key == 5, F.lit('"lost"'))
+        .when(key == 6, F.to_json(F.struct(review.alias("Review"))))
+        .when(key == 4, F.to_json(F.struct(name.alias("ID"), review.alias("Review"))))
+        .otherwise(F.to_json(F.struct(F.col("feedback_id").alias("ID"), review.alias("Review"))))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("feedback_id", entry.alias("e"))))  # at most BATCH_IDS entries
+    whole = (
+        feedback(t)
+        .groupBy("session_id", "block")
+        .agg(F.array_join(F.transform(ordered, lambda x: x["e"]), ",").alias("entries"))
+        .select("block", F.concat(F.lit('{"Core Prompt":"'), "session_id", F.lit('","Feedback Data":['), "entries", F.lit("]}")).alias("text"))
+    )
+    half = F.substring(F.col("text"), F.lit(1), (F.length("text") / 2).cast("int"))
+    damaged = F.when(F.col("block") % 4 == 1, half).when(F.col("block") % 4 == 2, F.concat("text", F.lit(' {"more":1}')))
+    return whole.select(damaged.otherwise(F.col("text")).alias("value"))
 
 
 def feedback_rows(t: Tables) -> DataFrame:

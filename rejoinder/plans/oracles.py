@@ -263,6 +263,26 @@ SQL = {
         select session_id, pos, feedback_id, review_text, coalesce(customer_name, '') as customer_name, n_surveys,
                core_prompt, context_first, context_last from fx_feedback""",
     "batch_rejects": "select distinct session_id from fx_feedback where block % 4 = 1",
+    "batch_file_rows": """
+        select session_id as batch, pos, case when feedback_id % 10 = 4 then 'F-' else '' end || feedback_id as feedback_id, lang as review
+        from fx_feedback where block % 4 not in (1, 2) and feedback_id % 10 not in (3, 5, 6)""",
+    "batch_file_rejects": f"""
+        with entries as (
+            select *, case feedback_id % 10 when 3 then '{{"ID":' || feedback_id || ',"Review":"plain text"}}' when 5 then 'lost'
+                                            when 6 then '{{"Review":{{"Text":"' || lang || '"}}}}'
+                                            when 4 then '{{"ID":"F-' || feedback_id || '","Review":{{"Text":"' || lang || '"}}}}'
+                                            else '{{"ID":' || feedback_id || ',"Review":{{"Text":"' || lang || '"}}}}' end as entry
+            from fx_feedback
+        ), whole as (
+            select session_id, block, length('{{"Core Prompt":"' || session_id || '","Feedback Data":[')
+                   + sum(length(entry) + case when feedback_id % 10 = 5 then 2 else 0 end) + count(*) - 1 + 2 as n
+            from entries group by session_id, block
+        )
+        select session_id as batch, -1 as pos, 'broken_json' as reason, cast(case when block % 4 = 1 then n // 2 else n + 11 end as int) as characters
+        from whole where block % 4 in (1, 2)
+        union all
+        select session_id, pos, case feedback_id % 10 when 3 then 'review_is_no_object' when 5 then 'not_an_object' else 'no_id' end, length(entry)
+        from entries where block % 4 not in (1, 2) and feedback_id % 10 in (3, 5, 6)""",
     "customer_name": """
         select feedback_id, customer_name as name, coalesce(customer_name, 'None') as labelled_name from fx_feedback""",
     "first_survey": "select feedback_id, coalesce('[' || survey_1 || ']', '') as questions from fx_feedback",
@@ -424,6 +444,10 @@ SQL = {
                s.default_reply || case when f.toxic = 1 then ' [softer] [shorter]' else '' end as "Default", s.friendly as "More_friendly",
                count(*) over (partition by s.session_id) || ' replies' as overview
         from fx_responses s join fx_feedback f on f.feedback_id = s.feedback_id""",
+    "revise_two_writers": """
+        select s.session_id, s.feedback_id, s.default_reply || case when f.toxic = 1 then ' [softer] [shorter]' else '' end as "Default",
+               s.friendly || case when s.feedback_id % 4 = 0 then ' [warmer]' else '' end as "More_friendly"
+        from fx_responses s join fx_feedback f on f.feedback_id = s.feedback_id where s.feedback_id % 6 <> 1""",
     "chat_replies": "select session_id, ord, is_first, raw from fx_replies",
     "chat_replay": f"""
         with recursive asked as (

@@ -284,6 +284,34 @@ def batch_rejects(spark, t, folder):
     return source_batches.batch_rejects(given, "batch").select("session_id")
 
 
+def batch_files(spark: SparkSession, t: fx.Tables) -> DataFrame:
+    """Damaged batches, written as files and read."""
+    path = new_path(spark, "batch-files")
+    fx.damaged_batches(t).write.text(path)
+    return source_batches.read_batches(spark, path, one_per_file=False)
+
+
+@query
+def batch_file_rows(spark, t, folder):
+    """Feedback of damaged files, with ids of any type."""
+    rows = flatten.flatten_feedback(batch_files(spark, t))
+    return rows.select(F.col("core_prompt").alias("batch"), "pos", "feedback_id", F.col("review_text").alias("review"))
+
+
+@query
+def batch_file_rejects(spark, t, folder):
+    """What is no batch, or no feedback, in damaged files, with the text that was found."""
+    files = batch_files(spark, t)
+    named = F.regexp_extract("batch", 'Prompt":"([^"]*)"', 1)
+    whole = source_batches.batch_rejects(files, "batch").select(
+        named.alias("batch"), F.lit(-1).alias("pos"), "reason", F.length("batch").alias("characters")
+    )
+    entries = source_batches.entry_rejects(files.withColumn("named", named), "batch").select(
+        F.col("named").alias("batch"), "pos", "reason", F.length("entry").alias("characters")
+    )
+    return whole.unionByName(entries)
+
+
 @query
 def customer_name(spark, t, folder):
     return fx.feedback_rows(t).select(
@@ -623,7 +651,7 @@ def result_document_read(spark, t, folder):
     """Write the documents, read them back, expand the responses."""
     path = new_path(spark, "documents")
     documents.write_documents(documents_of(t), path, buckets=16)
-    rows = documents.expand_responses(documents.read_documents(spark, path))
+    rows = documents.expand_responses(documents.read_documents(spark, path), "bigint")
     return rows.select(
         "session_id", "pos", "feedback_id", "Default", F.coalesce("Sentiment", F.lit("")).alias("Sentiment")
     )
@@ -651,17 +679,38 @@ def revise_apply(spark, t, folder):
     """Stored documents, revised, written back, read again; their overviews stay."""
     path = new_path(spark, "documents")
     documents.write_documents(documents_of(t), path, buckets=16)
-    whole = documents.read_documents(spark, path)
-    stored = documents.expand_responses(whole)
-    revised = saved(revise.revise(fx.revision_requests(t), stored, stand_in, retry=TASK), "revised")
-    documents.replace_documents(spark, path, documents.revise_documents(whole, revised))
+    stored = documents.expand_responses(documents.read_documents(spark, path), "bigint")
+    documents.revise_stored(spark, path, revise.revise(fx.revision_requests(t), stored, stand_in, retry=TASK))
     after = documents.read_documents(spark, path)
     overviews = documents.stored_overviews(after).select("session_id", F.col("Summary").alias("overview"))
-    return documents.expand_responses(after).join(overviews, "session_id").select(
+    return documents.expand_responses(after, "bigint").join(overviews, "session_id").select(
         "session_id", "pos", "feedback_id", "Default", "More_friendly", "overview"
     )
 
 
+@query
+def revise_two_writers(spark, t, folder):
+    """Documents without the rejected replies; two writers revise them from the same version, neither change is lost."""
+    path = new_path(spark, "documents")
+    replies = fx.responses(t).filter("feedback_id % 6 <> 1")
+    documents.write_documents(documents.build_documents(replies), path, buckets=4)
+    at = documents.version(spark, path)
+    whole = documents.read_documents(spark, path, at=at)
+    # one writer has revised the places of all replies, rejected ones too, and has read the first version
+    ours = saved(revise.revise(fx.revision_requests(t), fx.responses(t), stand_in, retry=TASK), "revised")
+    asked = replies.filter("feedback_id % 4 = 0").select(
+        F.col("feedback_id").alias("request_id"), "session_id", "feedback_id",
+        F.lit("warmer").alias("modifications"), F.lit("More_friendly").alias("modification_key"),
+    )
+    documents.revise_stored(spark, path, revise.revise(asked, documents.expand_responses(whole), stand_in, retry=TASK))
+    try:
+        documents.replace_documents(spark, path, documents.revise_documents(whole, ours), at)
+    except documents.Conflict:
+        documents.revise_stored(spark, path, ours)
+    rows = documents.expand_responses(documents.read_documents(spark, path), "bigint")
+    return rows.select("session_id", "feedback_id", "Default", "More_friendly")
+
+
 @query
 def one_reply_document(spark, t, folder):
     """Documents of one-answer replies, one of their texts revised, read back."""
@@ -669,14 +718,13 @@ def one_reply_document(spark, t, folder):
     replies = saved(analysis.one_reply_analysis(fx.feedback_rows(t), first, stand_in, retry=TASK), "one-replies")
     path = new_path(spark, "documents")
     documents.write_documents(documents.build_documents(parse.accepted(replies)), path, buckets=16)
-    whole = documents.read_documents(spark, path)
+    stored = documents.expand_responses(documents.read_documents(spark, path))
     asked = replies.filter("pos = 0").select(
         F.col("feedback_id").alias("request_id"), "session_id", "feedback_id",
         F.lit("softer").alias("modifications"), F.lit("Response").alias("modification_key"),
     )
-    revised = saved(revise.revise(asked, documents.expand_responses(whole), stand_in, retry=TASK), "revised")
-    documents.replace_documents(spark, path, documents.revise_documents(whole, revised))
-    rows = documents.expand_responses(documents.read_documents(spark, path))
+    documents.revise_stored(spark, path, revise.revise(asked, stored, stand_in, retry=TASK))
+    rows = documents.expand_responses(documents.read_documents(spark, path), "bigint")
     return rows.select("feedback_id", "Response", "Summary")
 
 

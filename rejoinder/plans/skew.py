@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rejoinder.plans.session import saved
-
-# A key with more rows than this is spread over several tasks.
-HOT_ROWS = 1_000_000
+# Rows of one key that stay together in a window.
+BLOCK_ROWS = 1_000_000
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,56 +24,48 @@ def last_n(array: Column, n: int) -> Column:
     return F.when(F.size(array) <= n, array).otherwise(F.slice(array, -n, n))
 
 
-def block_start(value: Column, size: int) -> Column:
-    """Start of the block of ``size`` whole numbers that ``value`` lies in."""
-    return value - F.pmod(value, F.lit(size))
-
-
 def previous_rows(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     payload: Column,
     n: int,
-    block: Column,
+    position: Column,
     name: str = "previous",
-    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``name``: the payloads of the ``n`` rows before each row of its key, oldest first.
 
-    Keys must not be null. A first pass over the key columns alone looks for keys with more than
-    ``hot_rows`` rows. Without any, this is one window per key. With some, their rows are cut into
-    blocks and so spread over many tasks: each block passes on its last ``n`` payloads, and a
-    small window over blocks turns these into what a block inherits from the ones before it.
-    ``block`` must not decrease with ``order``.
+    Keys must not be null; ``position`` is a whole number that must not decrease with ``order``. A key of more than
+    ``block_rows`` rows is cut into blocks of positions, so that its rows go to many tasks; every other key is one block. A
+    window runs inside each block, a block of a cut key passes on its last ``n`` payloads, and a small window over
+    these turns them into what a block inherits from the ones before it. It is one plan for any data, made without
+    looking at them; where no key is cut its second half has no rows.
     """
-    rows = df.withColumn("_payload", payload)
-    hot = saved(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys),
-        "hot-keys",
+    rows = df.withColumns({"_payload": payload, "_position": position.cast("double")})
+    spans = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_from"), F.max("_position").alias("_to")
     )
-    if hot.isEmpty():
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
-        return rows.withColumn(name, F.collect_list("_payload").over(before)).drop("_payload")
-
-    # how to join the few hot keys is decided at run time, by their size
-    flagged = hot.withColumn("_hot", F.lit(True))
-    rows = rows.join(flagged, keys, "left").withColumn("_block", F.when(F.col("_hot"), block))
-    by_block = Window.partitionBy(*keys, "_block")
-    rows = rows.withColumn(
-        "_own", F.collect_list("_payload").over(by_block.orderBy(*order).rowsBetween(-n, -1))
+    # at most one key for each block_rows rows of the table
+    cut = spans.filter(F.col("_rows") > block_rows).select(
+        *keys, "_from", ((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_rows") / block_rows)).alias("_width")
+    )
+    rows = rows.join(F.broadcast(cut), keys, "left").withColumn(
+        "_block", F.coalesce(F.floor((F.col("_position") - F.col("_from")) / F.col("_width")), F.lit(0))
     )
+    by_block = Window.partitionBy(*keys, "_block")
+    own = rows.withColumn("_own", F.collect_list("_payload").over(by_block.orderBy(*order).rowsBetween(-n, -1)))
 
     newest_first = by_block.orderBy(*[F.desc(c) for c in order])
     ordered = F.array_sort(F.collect_list(F.struct(*order, "_payload")))
     tails = (
-        rows.filter("_hot")
-        .drop("_own")
+        rows.filter("_width is not null")
         .withColumn("_rank", F.row_number().over(newest_first))
         .filter(F.col("_rank") <= n)
         .groupBy(*keys, "_block")
         .agg(F.transform(ordered, lambda x: x["_payload"]).alias("_tail"))
     )
+    # a few rows for each block of a cut key
     over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(-n, -1)
     inherited = tails.select(
         *keys, "_block", last_n(F.flatten(F.collect_list("_tail").over(over_blocks)), n).alias("_inherited")
@@ -83,7 +73,7 @@ def previous_rows(
     both = F.when(F.col("_inherited").isNull(), F.col("_own")).otherwise(
         last_n(F.concat("_inherited", "_own"), n)
     )
-    return rows.join(inherited, [*keys, "_block"], "left").select(*df.columns, both.alias(name))
+    return own.join(inherited, [*keys, "_block"], "left").select(*df.columns, both.alias(name))
 
 
 def collect_parts(

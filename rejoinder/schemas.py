@@ -5,26 +5,21 @@ from pyspark.sql import types as T
 # Survey questions of any shape: the JSON text as it stands in the batch.
 QUESTIONS = T.StringType()
 
+# A feedback's id may be any JSON value but a list or an object; it is kept as text.
+FEEDBACK = T.StructType(
+    [
+        T.StructField("ID", T.StringType()),
+        T.StructField("Review", T.StructType([T.StructField("Text", T.StringType())])),
+        T.StructField("Customer", T.StructType([T.StructField("Name", T.StringType())])),
+        T.StructField("Surveys", T.ArrayType(T.StructType([T.StructField("Questions", QUESTIONS)]))),
+    ]
+)
+
 FEEDBACK_BATCH = T.StructType(
     [
         T.StructField("Core Prompt", T.StringType()),
         T.StructField("Context Prompt", T.StringType()),
-        T.StructField(
-            "Feedback Data",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("ID", T.LongType()),
-                        T.StructField("Review", T.StructType([T.StructField("Text", T.StringType())])),
-                        T.StructField("Customer", T.StructType([T.StructField("Name", T.StringType())])),
-                        T.StructField(
-                            "Surveys",
-                            T.ArrayType(T.StructType([T.StructField("Questions", QUESTIONS)])),
-                        ),
-                    ]
-                )
-            ),
-        ),
+        T.StructField("Feedback Data", T.ArrayType(FEEDBACK)),
     ]
 )
 

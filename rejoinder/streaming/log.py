@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.operators.dashboard import finish_kpis, kpis
+from rejoinder.operators.dashboard import fill_hours, finish_kpis, kpis
+
+__all__ = ["fill_hours", "live_kpis", "live_requests_per_hour", "live_tokens_by_session"]
 
 
 def live_kpis(log: DataFrame) -> DataFrame:
@@ -31,11 +33,3 @@ def live_tokens_by_session(log: DataFrame) -> DataFrame:
         .groupBy("session_id")
         .agg(F.coalesce(F.sum("tokens_used"), F.lit(0.0)).alias("tokens_used"))
     )
-
-
-def fill_hours(hours: DataFrame) -> DataFrame:
-    """Add the empty hours between the first and the last one."""
-    grid = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour")
-    )
-    return grid.join(hours, "hour", "left").select("hour", F.coalesce("requests", F.lit(0)).alias("requests"))

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rejoinder.operators import dashboard
 from rejoinder.schemas import CHAT_LOG
@@ -102,3 +103,28 @@ def test_text_formats_need_a_schema(spark, tmp_path):
 
     row = read_survey_master(spark, str(tmp_path / "m.csv"), "csv").first()
     assert (row.survey_id, row.review_text, row.review_rating) == (1, 'two\nlines, "quoted"', 5)
+
+
+def test_hours_far_apart_are_filled_by_their_neighbours(spark):
+    log = spark.createDataFrame(
+        [(1, "s", "1970-03-01 10:20:00"), (2, None, "1970-03-01 13:59:59"), (3, "s", "2026-01-01 00:00:00"), (4, "s", "2026-01-01 00:30:00"), (5, "s", "2024-12-31 23:00:00")],
+        "id bigint, session_id string, t string",
+    ).select("id", "session_id", F.col("t").cast("timestamp").alias("timestamp"))
+    got = dashboard.requests_per_hour(log)
+    whole = got.agg(F.count("*"), F.countDistinct("hour"), F.sum("requests"), F.min("hour").cast("string"), F.max("hour").cast("string")).first()
+    hours = 24 * 20_395 - 10 + 1  # whole days from 1970-03-01 to 2026-01-01
+    assert tuple(whole) == (hours, hours, 4, "1970-03-01 10:00:00", "2026-01-01 00:00:00")
+    assert {(str(r.hour), r.requests) for r in got.filter("requests > 0").collect()} == {("1970-03-01 10:00:00", 1), ("2024-12-31 23:00:00", 1), ("2026-01-01 00:00:00", 2)}
+    # no row unrolls more than a year
+    assert dashboard.requests_per_hour(log.limit(0)).count() == 0
+
+
+def test_latest_sorts_no_whole_rows(spark):
+    log = spark.createDataFrame(
+        [(1, "a", "2024-01-01 00:00:01", "x"), (2, "a", "2024-01-01 00:00:01", "y"), (3, "a", "1960-01-01 00:00:00", "z"), (4, None, "2025-01-01 00:00:00", "n"), (5, "b", "1960-01-01 00:00:00", "w")],
+        "id bigint, session_id string, t string, model_response string",
+    ).withColumn("timestamp", F.col("t").cast("timestamp"))
+    latest = dashboard.latest_by_session(log)
+    assert {(r.session_id, r.id) for r in latest.collect()} == {("a", 2), ("b", 5)}
+    assert [r.id for r in dashboard.latest_by_session(log, "a").collect()] == [2]
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rejoinder.plans import store
 from rejoinder.plans.stand_in import stand_in
 from rejoinder.operators import revise, rollup
 from rejoinder.operators.lookups import match_revisions, survey_lookup
@@ -36,7 +37,7 @@ def test_round_trip(spark, tmp_path, rows, responses, part_rows):
     built = documents.build_documents(responses, overview_of(responses), part_rows)
     documents.write_documents(built, path, buckets=4)
     stored = documents.read_documents(spark, path)
-    assert rows(documents.expand_responses(stored), *responses.columns) == rows(responses)
+    assert rows(documents.expand_responses(stored, "bigint"), *responses.columns) == rows(responses)
     assert stored.count() == sum(-(-(s + 1) // part_rows) for s in range(5))
     assert {r.Summary for r in documents.stored_overviews(stored).collect()} == {"all fine"}
 
@@ -54,8 +55,8 @@ def test_one_session_opens_one_bucket(spark, tmp_path, responses):
     documents.write_documents(documents.build_documents(responses), path, buckets=4)
     one = documents.read_documents(spark, path, "s3")
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan
     assert "EqualTo(session_id,s3)" in plan
+    assert len(one.inputFiles()) == 1 and len(documents.read_documents(spark, path).inputFiles()) > 1
     assert [r.session_id for r in one.collect()] == ["s3"]
     assert len(one.select(F.input_file_name()).distinct().collect()) == 1
 
@@ -141,16 +142,111 @@ def test_parts_of_another_size_are_refused(spark, tmp_path, responses):
         documents.replace_documents(spark, path, documents.build_documents(responses, part_rows=3))
 
 
-def test_only_touched_buckets_are_read(spark, tmp_path, responses):
+def test_only_touched_buckets_are_written(spark, tmp_path, responses):
     path = str(tmp_path / "docs")
-    documents.write_documents(documents.build_documents(responses), path, buckets=16)
-    assert documents.buckets_of(spark, path) == 16
-    one = documents.build_documents(responses.filter("session_id = 's2'"))
-    times = {f: f.stat().st_mtime_ns for f in (tmp_path / "docs").rglob("*.parquet")}
-    documents.replace_documents(spark, path, one)
-    kept = [f for f, t in times.items() if f.exists() and f.stat().st_mtime_ns == t]
-    assert len({f.parent for f in times}) - len({f.parent for f in kept}) == 1
+    first = documents.write_documents(documents.build_documents(responses), path, buckets=16)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "docs" / "data").rglob("*.parquet")}
+    second = documents.replace_documents(spark, path, documents.build_documents(responses.filter("session_id = 's2'")))
+    assert all(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items())
+    assert (second.number, second.buckets) == (2, 16)
+    assert len({b for b in second.folders if second.folders[b] != first.folders.get(b)}) == 1
     assert documents.read_documents(spark, path).count() == 5
+    with pytest.raises(ValueError, match="there are documents"):
+        documents.write_documents(documents.build_documents(responses), path)
+
+
+def revised_rows(spark, rows):
+    return spark.createDataFrame(
+        [(i, s, f, 200, k, x) for i, s, f, k, x in rows],
+        "request_id bigint, session_id string, feedback_id string, status int, modification_key string, revised_text string",
+    )
+
+
+def texts_of(spark, path, at=None):
+    return {(r.session_id, r.feedback_id): (r.Default, r.More_friendly) for r in documents.expand_responses(documents.read_documents(spark, path, at=at)).collect()}
+
+
+def test_revision_finds_its_reply_by_id_though_replies_were_rejected(spark, tmp_path, retry):
+    path = str(tmp_path / "docs")
+    accepted = spark.createDataFrame(
+        [("s", 0, "11", "a", "x"), ("s", 2, "12", "b", "x"), ("s", 3, "13", "c", "x"), ("s", 5, "12", "second of its id", "x"), ("s", 6, "A-7", "d", "x")],
+        "session_id string, pos bigint, feedback_id string, Default string, More_friendly string",
+    )
+    documents.write_documents(documents.build_documents(accepted, part_rows=2), path, buckets=2)
+    requests = spark.createDataFrame([(1, "s", "12", "warm", "Default"), (2, "s", "A-7", "cold", "Default"), (3, "s", "99", "x", "Default")], REQUEST.replace("feedback_id bigint", "feedback_id string"))
+    # places of the batch, rejected replies counted
+    revised = revise.revise(requests, accepted, stand_in, retry=retry, fields=["Default"])
+    documents.revise_stored(spark, path, revised)
+    stored = documents.expand_responses(documents.read_documents(spark, path)).orderBy("pos").collect()
+    assert [(r.feedback_id, r.Default) for r in stored] == [("11", "a"), ("12", "b [warm]"), ("13", "c"), ("12", "second of its id"), ("A-7", "d [cold]")]
+
+
+def test_revision_without_a_reply_touches_nothing(spark, tmp_path, responses):
+    path = str(tmp_path / "docs")
+    documents.write_documents(documents.build_documents(responses), path, buckets=4)
+    revised = revised_rows(spark, [(1, "s1", "77", "Default", "lost"), (2, "nobody", "1", "Default", "lost"), (3, "s1", "1", "Default", "found")])
+    placed = documents.place_revisions(documents.read_documents(spark, path), revised)
+    assert {(r.session_id, r.id, r.status, r.place) for r in placed.collect()} == {("s1", "77", 404, None), ("nobody", "1", 404, None), ("s1", "1", 200, 1)}
+    before = texts_of(spark, path)
+    assert documents.revise_stored(spark, path, revised.filter("request_id < 3")).number == 1
+    documents.revise_stored(spark, path, revised)
+    assert {k for k, v in texts_of(spark, path).items() if v != before[k]} == {("s1", "1")}
+
+
+def test_two_writers_from_one_version(spark, tmp_path, responses):
+    path = str(tmp_path / "docs")
+    at = documents.write_documents(documents.build_documents(responses), path, buckets=1)
+    whole = documents.read_documents(spark, path, at=at)
+    ours = revised_rows(spark, [(1, "s2", "1", "Default", "ours")])
+    documents.revise_stored(spark, path, revised_rows(spark, [(2, "s2", "1", "More_friendly", "theirs"), (3, "s3", "0", "Default", "theirs")]))
+    with pytest.raises(documents.Conflict):
+        documents.replace_documents(spark, path, documents.revise_documents(whole, ours), at)
+    assert documents.versions(spark, path) == [1, 2]
+    documents.revise_stored(spark, path, ours)
+    after = texts_of(spark, path)
+    assert (after["s2", "1"], after["s3", "0"][0]) == (("ours", "theirs"), "theirs")
+    # the first version is still there to be read
+    assert texts_of(spark, path, documents.version(spark, path, 1))["s2", "1"] == ("reply 2.1", "hi")
+
+
+def test_writers_of_different_buckets_do_not_meet(spark, tmp_path, responses):
+    path = str(tmp_path / "docs")
+    at = documents.write_documents(documents.build_documents(responses), path, buckets=64)
+    whole = documents.read_documents(spark, path, at=at)
+    one, other = (documents.revise_documents(whole, revised_rows(spark, [(1, s, "0", "Default", "new")])) for s in ("s1", "s4"))
+    assert len(set(at.folders)) == 5  # one bucket each
+    documents.replace_documents(spark, path, one, at)
+    assert documents.replace_documents(spark, path, other, at).number == 3
+    after = texts_of(spark, path)
+    assert {k for k, v in after.items() if v[0] == "new"} == {("s1", "0"), ("s4", "0")}
+
+
+def test_killed_write_leaves_the_version_before(spark, tmp_path, responses, monkeypatch):
+    path = str(tmp_path / "docs")
+    documents.write_documents(documents.build_documents(responses), path, buckets=4)
+    before = texts_of(spark, path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    change = revised_rows(spark, [(1, "s2", "1", "Default", "new")])
+    with monkeypatch.context() as patch:
+        patch.setattr(documents, "_commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            documents.revise_stored(spark, path, change)
+    assert texts_of(spark, path) == before and documents.versions(spark, path) == [1]
+    documents.revise_stored(spark, path, change)
+    documents.remove_old(spark, path, keep=1)
+    assert documents.versions(spark, path) == [2] and texts_of(spark, path)["s2", "1"][0] == "new"
+    used = {f.split("/")[0] for f in documents.version(spark, path).folders.values()}
+    assert {f.name for f in (tmp_path / "docs" / "data").iterdir()} == used
+
+
+def test_commit_is_for_one_writer_only(spark, tmp_path):
+    path = str(tmp_path / "one" / "1.json")
+    assert store.commit_text(spark, path, "first é") and not store.commit_text(spark, path, "second")
+    assert store.read_text(spark, path) == "first é" and store.names(spark, str(tmp_path / "one")) in (["1.json"], [".1.json.crc", "1.json"])
+    assert store.names(spark, str(tmp_path / "none")) == []
 
 
 def test_failing_model_gives_500(spark, responses, retry):

@@ -33,7 +33,7 @@ def batches(spark):
     }
     empty = {"Core Prompt": "c", "Context Prompt": "none", "Feedback Data": []}
     data = [("a", json.dumps(batch)), ("b", json.dumps(empty))]
-    return parse_batches(spark.createDataFrame(data, "session_id string, j string"), "j")
+    return parse_batches(spark.createDataFrame(data, "session_id string, j string"), "j", id_type="bigint")
 
 
 def test_flatten(batches):

@@ -1,6 +1,7 @@
 """Blocked windows, parts and joins against plain ones, with a key that owns most rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -25,8 +26,8 @@ def messages(spark, seed, n=400):
     return spark.createDataFrame(out, "session_id string, ord bigint, role string, text string"), out
 
 
-@pytest.mark.parametrize("seed, block, hot", [(1, 4, 50), (2, 7, 3), (3, 1, 0), (4, 10_000, 50), (5, 5, 10_000)])
-def test_history_is_the_same_for_any_block_size(spark, seed, block, hot):
+@pytest.mark.parametrize("seed, block", [(1, 4), (2, 7), (3, 1), (4, 50), (5, 10_000)])
+def test_history_is_the_same_for_any_block_size(spark, seed, block):
     df, data = messages(spark, seed)
     by_session = {}
     for s, o, r, t in sorted(data):
@@ -37,14 +38,14 @@ def test_history_is_the_same_for_any_block_size(spark, seed, block, hot):
             before[s, o] = [(a, b) for _, a, b in turns[max(0, i - 3) : i]]
             if r == "assistant":
                 after[s, o] = [(a, b) for _, a, b in turns[max(0, i - 4) : i + 1]]
-    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_before(df, 3, block, hot).collect()}
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_before(df, 3, block).collect()}
     assert got == before
-    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_after(df, 3, block, hot).collect()}
+    got = {(r.session_id, r.ord): [tuple(m) for m in r.history] for r in history_after(df, 3, block).collect()}
     assert got == after
 
 
-@pytest.mark.parametrize("hours, hot", [(1, 60), (24, 0), (1, 10_000)])
-def test_gaps_equal_a_plain_lag(spark, rows, hours, hot):
+@pytest.mark.parametrize("block", [1, 20, 60, 10_000])
+def test_gaps_equal_a_plain_lag(spark, rows, block):
     rng = random.Random(5)
     data = [(i, "hot" if rng.random() < 0.5 else f"s{i % 7}", 1_700_000_000 + rng.randrange(400_000)) for i in range(300)]
     log = spark.createDataFrame(data, "id bigint, session_id string, s bigint").select(
@@ -56,20 +57,29 @@ def test_gaps_equal_a_plain_lag(spark, rows, hours, hot):
         - F.lag(F.unix_seconds("timestamp")).over(Window.partitionBy("session_id").orderBy("timestamp", "id")),
     )
     want = rows(plain.select("id", F.col("gap_s").cast("double")))
-    assert rows(session_gaps(log, hours, hot), "id", "gap_s") == want
+    assert rows(session_gaps(log, block), "id", "gap_s") == want
 
 
-def test_hot_window_key_is_spread(spark):
-    """No shuffle of the message rows is by session alone."""
+def test_one_plan_for_any_data_and_no_job_to_make_it(spark):
+    """No window of message rows is by session alone, and making the plan runs no job."""
     df, _ = messages(spark, 9)
-    def windows(hot):
-        plan = history_before(df, 3, 8, hot)._jdf.queryExecution().optimizedPlan().toString()
-        return [line for line in plan.splitlines() if "Window [" in line]
-
-    # by session and block for the rows; by session only for the block ends
-    assert len([w for w in windows(50) if "_payload" in w and "_block" in w]) == 1
-    assert len([w for w in windows(50) if "_block" not in w]) == 0
-    assert len(windows(10_000)) == 1
+    spark.sparkContext.setJobGroup("plans", "plans")
+    made = [history_before(df, 3, block) for block in (8, 10_000)]
+    texts = [m._jdf.queryExecution().optimizedPlan().toString() for m in made]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setJobGroup("tests", "tests")
+    for text in texts:
+        windows = [line for line in text.splitlines() if "Window [" in line]
+        assert len([w for w in windows if "_payload" in w and "_block" in w]) == 1
+        assert all("_block" in w for w in windows)
+    shapes = [[re.match(r"\W*(\w+)", line)[1] for line in text.splitlines()] for text in texts]
+    assert shapes[0] == shapes[1]
+
+
+def test_hot_key_goes_to_many_tasks(spark):
+    rows = spark.range(4_000).select(F.lit("hot").alias("session_id"), F.col("id").alias("ord"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    done = history_before(rows, 3, 100).withColumn("task", F.spark_partition_id())
+    assert done.select("task").distinct().count() > 1 or spark.conf.get("spark.sql.shuffle.partitions") == "1"
 
 
 def test_first_per_key_keeps_one_row_for_null_keys(spark, rows):
