@@ -51,6 +51,17 @@ def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     )
 
 
+def with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The fields of ``df`` without any of that name, in any case, and the new one."""
+    return T.StructType([*[f for f in df.schema.fields if f.name.lower() != name.lower()], T.StructField(name, kind)])
+
+
+def replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    """The batch with a column that takes the place of any of its name."""
+    kept = [i for i, n in enumerate(batch.schema.names) if n.lower() != name.lower()]
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], column], names=[*[batch.schema.names[i] for i in kept], name])
+
+
 def text_key() -> Column:
     """Tells rows with the same ``doc_id`` but different texts apart."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -2,31 +2,35 @@
 
 The kernel compares two strings by the subsequences of three letters they share; a letter skipped in between costs
 a factor ``DECAY``, so an insult with inserted, dropped or changed characters stays close to itself. Landmarks are the
-words that mark toxic training texts best. The Nystroem map turns a string's kernel values at the landmarks into
-a vector, and a linear machine with squared hinge loss is trained on these.
+words that mark toxic training texts best and those of clean training texts that look most like them. The Nystroem map
+turns a string's kernel values at the landmarks into a vector, and one linear machine with squared hinge loss is
+trained on these.
 
-A text is cut into sentences and these into segments: the letters of each word, long ones in overlapping
-pieces, and runs of single letters joined ("i d i o t"). A sentence has, for each landmark, its segments' largest kernel
-value (values under ``FLOOR`` count as 0). A text's decision value is that of its most toxic sentence; a logistic
-curve fitted on the training texts turns it into a score from 0 to 1.
+A text's sentences are cut into segments: the letters of each word, the runs of letters between punctuation, windows
+of long words, and single letters joined ("i d i o t"). A sentence has its text's label and is decided by
+its most toxic segment, so the machine learns from segments that stand for their sentence: the marking words of toxic texts
+against the strongest segments of clean ones, which are looked up again with the machine of the round before. The machine is
+linear in the subsequences, so its decision on a string is a sum of one weight for each of them, over the string's norm.
+
+A text is decided by its most toxic segment and by how many segments a hundred words are on the toxic side. How these
+two are weighed, and the threshold, come from decisions on training texts by machines that have not seen them, one for each of
+``PARTS`` folds: of the thresholds with the fewest errors one near the clean side, as obfuscated insults lie there.
 
 Only labels of rows that :func:`held_out` leaves are learned from, at most ``SAMPLE_ROWS`` of them, chosen by a hash of
-the id. Everything else covers all rows. A pair of word and landmark is skipped only where a proven bound on
-the kernel lies under ``FLOOR``.
+the id. All rows are scored, and no pair of string and landmark is skipped.
 
-Cases: null and empty texts have no segments and get the score of a text without any; without labelled rows every
-score is 0, and with one class alone it is 0 or 1. Null labels are no labels; an id labelled twice counts as
-toxic if one of its labels is. Repeated rows are rows of their own. All other columns pass through.
+Cases: null and empty texts have no segments and get the score of a text without any; without labelled rows, or any word
+that marks toxic ones, every score is 0, and with toxic labels alone it is 1. Null labels are no labels; an id labelled
+twice counts as toxic if one of its labels is; labels of a null id are not used, but such rows are scored. Of landmarks of
+equal weight the first in alphabetical order are taken. Repeated rows are rows of their own. A text of any length is read whole, a
+batch at a time. All other columns pass through; the score replaces a column of its name.
 """
 
 from __future__ import annotations
 
-import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -35,42 +39,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rejoinder.llm.common import Pieces, extended, slices, text_key, texts_of, with_fields
+from rejoinder.llm.common import Pieces, replaced, slices, text_key, texts_of, with_column
 from rejoinder.plans.session import saved
 
 ORDER = 3
 DECAY = 0.85
-# kernel values up to this count as 0: none but true zeros
-FLOOR = 0.0
-LANDMARKS = 128
+# marking words and clean words that look like them
+LANDMARKS, LOOK_ALIKES = 96, 96
+# how many standard deviations above chance a word's share of toxic texts has to be: see mark_words
+SURELY, LEAST = 1.64, 1.0
 SAMPLE_ROWS = 20_000
 FOLDS = 5
+# folds of the training rows that choose the threshold; share of the way from the clean side where it lies
+PARTS, TOLERANT = 3, 0.25
+# of clean training texts the strongest segments, and how many distinct ones a machine learns from
+STRONGEST, HARDEST = 3, 8_000
+STRENGTH = 3e-4
 # letters of a segment; windows are laid over longer words, with room for so many letters put into a landmark
 PIECE = 16
 GAPS = 2
 SHORTEST_LANDMARK, LONGEST_LANDMARK = 4, 12
-# the sentences' kernel values to this power, a kernel too, so that many faint likenesses don't outweigh a near one
-SHARPEN = 4
-# words surer than this (of pick_landmarks) are obfuscated for the machine of single segments; else so many of the surest
-SURE, SOME_MARKS = 3.5, 10
-# score of the segments of a text that has none
-NOTHING = -1e6
-COPIES, HARDEST, CLEAN_OVER, WORD_STRENGTH = 8, 5, 0.005, 1e-5
-ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 # strings measured at a time, letters of a very long word
 PAIRS = 4_096
 SOME = 2_000
 # subsequences of the landmarks' letters that are looked up in an array, 4 bytes each
 DENSE = 4_000_000
 # words remembered by a task before it starts anew
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-SENTENCE_END = re.compile(r"[.!?]\W*$")
+# by length: a plain dict, which workers get with the functions that use it
+PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are for measuring only."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """Rows whose labels are for measuring only; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def letters(words: list[str]) -> np.ndarray:
@@ -115,214 +118,189 @@ def own_kernel(rows: np.ndarray) -> np.ndarray:
     return kernel(rows, rows)
 
 
-@cache
 def subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all subsequences of a string of that length, and what each counts."""
-    at = np.array(list(combinations(range(length), ORDER)), dtype=np.int64).reshape(-1, ORDER).T
-    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+    if length not in PLACES:
+        at = np.array(list(combinations(range(length), ORDER)), dtype=np.int64).reshape(-1, ORDER).T
+        PLACES[length] = at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+    return PLACES[length]
 
 
-class Landmarks:
-    """The landmarks with the weights of their subsequences, so that a string is held against all of them at once."""
+class Weights:
+    """A row of numbers for each known subsequence; a string's sums of them, over its norm, in columns."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.codes = letters(words)
-        self.norms = own_kernel(self.codes)
-        self.letters = np.unique(self.codes[self.codes > 0])
-        keys, weights, landmark = [], [], []
-        for j, word in enumerate(words):
-            first, fade = subsequences(len(word))
-            keys.append(self.keys(self.codes[j][None], first)[0])
-            weights.append(fade)
-            landmark.append(np.full(len(fade), j))
-        none = np.zeros(0, dtype=np.int64)
-        self.known, row = np.unique(np.concatenate([none, *keys]), return_inverse=True)
-        self.table = np.zeros((len(self.known) + 1, len(words)), dtype=np.float32)
-        np.add.at(self.table, (row, np.concatenate([none, *landmark])), np.concatenate([none, *weights]))
-        self.table /= np.sqrt(np.maximum(self.norms, 1e-30))
-        # the row of each subsequence, the last one for those of no landmark, if the alphabet is of usual size
-        size = (len(self.letters) + 1) ** ORDER
+    def __init__(self, letters: np.ndarray, known: np.ndarray, table: np.ndarray):
+        self.letters, self.known, self.table = letters, known, table
+        # the row of each subsequence, the last one for unknown ones, if the alphabet is of usual size
+        size = (len(letters) + 1) ** ORDER
         self.rows = None
         if size <= DENSE:
-            self.rows = np.full(size, len(self.known), dtype=np.int32)
-            self.rows[self.known] = np.arange(len(self.known))
+            self.rows = np.full(size, len(known), dtype=np.int32)
+            self.rows[known] = np.arange(len(known))
 
     def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A number for each subsequence; those with a letter of no landmark get one that no landmark has."""
+        """A number for each subsequence; those with an unknown letter get one that is not known."""
         place = np.searchsorted(self.letters, codes)
-        own = np.where(self.letters[np.minimum(place, len(self.letters) - 1)] == codes, place + 1, 0)
+        own = np.where(self.letters[np.minimum(place, len(self.letters) - 1)] == codes, place + 1, 0) if len(self.letters) else np.zeros(codes.shape, dtype=np.int64)
         key = own[:, at[0]]
         for letter in at[1:]:
             key = key * (len(self.letters) + 1) + own[:, letter]
         return key
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel values. Only strings that share no subsequence with a landmark are left out: theirs are 0."""
-        found = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        if not len(self.known):
+    def sums(self, strings: list[str]) -> np.ndarray:
+        """Strings of at most ``PIECE`` letters. Only those without a known subsequence are left out: theirs are 0."""
+        found = np.zeros((len(strings), self.table.shape[1]))
+        if not len(self.known) or not strings:
             return found
-        length = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), PIECE)
+        length = np.fromiter(map(len, strings), np.int64, len(strings))
         order = np.argsort(length, kind="stable")
         for size in range(ORDER, PIECE + 1):
             own = order[np.searchsorted(length[order], size) : np.searchsorted(length[order], size, "right")]
             for at in range(0, len(own), PAIRS):
-                self.some_values([words[i] for i in own[at : at + PAIRS]], size, own[at : at + PAIRS], found)
+                some = own[at : at + PAIRS]
+                found[some] = self.some([strings[i] for i in some.tolist()], size)
         return found
 
-    def some_values(self, words: list[str], size: int, numbers: np.ndarray, found: np.ndarray) -> None:
-        """Values of words of one length, put in their rows of ``found``."""
-        codes = letters(words)
-        first, fade = subsequences(size)
-        keys = self.keys(codes, first)
+    def some(self, strings: list[str], size: int) -> np.ndarray:
+        """Strings of one length."""
+        codes = letters(strings)
+        places, fade = subsequences(size)
+        keys = self.keys(codes, places)
         if self.rows is not None:
             row = self.rows[keys]
         else:
             row = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
             row = np.where(self.known[row] == keys, row, len(self.known))
+        out = np.zeros((len(strings), self.table.shape[1]))
         near = np.flatnonzero((row < len(self.known)).any(axis=1))
-        row, step = row[near], max(1, 1_024 // len(fade))
-        sums = np.zeros((len(near), len(self.words)), dtype=np.float32)
+        row, step = row[near], max(1, (1 << 20) // (len(fade) * self.table.shape[1]))
         for at in range(0, len(near), step):
-            sums[at : at + step] = fade @ self.table[row[at : at + step]]
-        found[numbers[near]] = sums / np.sqrt(own_kernel(codes[near]))[:, None].astype(np.float32)
+            out[near[at : at + step]] = fade @ self.table[row[at : at + step]]
+        out[near] /= np.sqrt(own_kernel(codes[near]))[:, None]
+        return out
 
-    def gram(self) -> np.ndarray:
-        each = [kernel(self.codes, code[code > 0]) for code in self.codes]
-        return np.array(each) / np.sqrt(np.outer(self.norms, self.norms))
 
+class Landmarks(Weights):
+    """The landmarks' subsequences, so that a string is held against all of them at once."""
 
-def letters_of(token: str) -> str:
-    """The letters of a token; a space goes before those that stood in several runs, so that windows are laid over them."""
-    runs = [r for r in NOT_LETTERS.split(token) if r]
-    return "".join(runs) if len(runs) < 2 else " " + "".join(runs)
+    def __init__(self, words: list[str]):
+        codes = letters(words)
+        norms = own_kernel(codes) if words else np.zeros(0)
+        super().__init__(np.unique(codes[codes > 0]), np.zeros(0, dtype=np.int64), np.zeros((1, len(words)), dtype=np.float32))
+        keys, values, landmark = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        for j, word in enumerate(words):
+            places, fade = subsequences(min(len(word), PIECE))
+            keys.append(self.keys(codes[j][None], places)[0])
+            values.append(fade / np.sqrt(norms[j]))
+            landmark.append(np.full(len(fade), j))
+        known, row = np.unique(np.concatenate(keys), return_inverse=True)
+        table = np.zeros((len(known) + 1, len(words)), dtype=np.float32)
+        np.add.at(table, (row, np.concatenate(landmark)), np.concatenate(values))
+        super().__init__(self.letters, known, table)
+        self.words = words
+
+    def gram(self) -> np.ndarray:
+        return self.sums(self.words)
+
+    def machines(self, weights: np.ndarray, bias: np.ndarray, sizes: list[int]) -> dict:
+        """Machines given by weights of the landmarks, as weights of subsequences: plain arrays that any worker can read."""
+        return {"letters": self.letters, "known": self.known, "weights": (self.table @ weights).astype(np.float32), "bias": np.asarray(bias, dtype=np.float64), "sizes": sizes}
 
 
 class Segments:
-    """Remembers, for each distinct word of a task, its kernel values, its own score and whether it ends a sentence."""
+    """Decisions of one or more machines on the segments of texts; each distinct word of a task is decided once."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray | None = None):
-        self.landmarks = landmarks
-        self.weights = np.zeros(len(landmarks.words)) if weights is None else weights
-        sizes = [min(len(w), PIECE) for w in landmarks.words]
-        self.sizes = range(min(sizes), min(PIECE, max(sizes) + GAPS) + 1)
+    def __init__(self, machines: dict):
+        self.weights = Weights(machines["letters"], machines["known"], machines["weights"])
+        self.bias = np.asarray(machines["bias"], dtype=np.float64)
+        self.sizes = machines["sizes"]
         self.forget()
 
     def forget(self) -> None:
         self.known = Pieces()
-        self.rows = Pieces()  # of the letters alone
-        self.of_letters = np.array([], dtype=np.int64)
-        self.row = np.array([], dtype=np.int64)  # of ``values``, or -1
-        self.ends = np.array([], dtype=bool)
-        self.single = np.array([], dtype=bool)
-        self.values = np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
-        self.own = np.zeros(0)
+        self.values = np.zeros((0, len(self.bias)))
+        self.single = np.zeros(0, dtype=bool)
+        self.lettered = np.zeros(0, dtype=bool)
+        self.strings: list[str | list[str]] = []  # what was decided; of windows the strongest for each machine
+
+    def decide(self, strings: list[str]) -> np.ndarray:
+        return self.weights.sums(strings) + self.bias
 
     def windows(self, word: str) -> list[str]:
-        """The strings a word is measured by: itself, or at each letter a window of each landmark's length and with gaps."""
-        if word[:1] != " " and len(word) <= PIECE:
-            return [word]
-        word = word.lstrip(" ")
-        return [word[i : i + n] for n in self.sizes if n < len(word) for i in range(len(word) - n + 1)] + [word] * (len(word) <= PIECE)
-
-    def measured(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel values of each word and the product with the weights, the largest over its windows."""
-        values = np.zeros((len(words), len(self.landmarks.words)), dtype=np.float32)
-        own = np.full(len(words), -np.inf)
-        plain = [i for i, w in enumerate(words) if len(w) <= PIECE and w[:1] != " "]
-        values[plain] = self.landmarks.values([words[i] for i in plain])
-        own[plain] = values[plain] @ self.weights
-        for i, word in enumerate(words):
-            if len(word) > PIECE or word[:1] == " ":
-                for at in range(0, len(word), SOME):  # of a very long word some letters at a time
-                    some = self.landmarks.values(self.windows(" " + word.lstrip(" ")[at : at + SOME + PIECE]))
-                    np.maximum(values[i], some.max(axis=0, initial=0), out=values[i])
-                    own[i] = max(own[i], (some @ self.weights).max(initial=-np.inf))
-        return values, own
+        """At each letter a window of each landmark's length and with gaps."""
+        return [word[i : i + n] for n in self.sizes if n < len(word) for i in range(len(word) - n + 1)] or [word]
+
+    def strongest(self, runs: list[str], spelled: bool = False) -> tuple[np.ndarray, list[str]]:
+        """The largest decisions over runs of letters, alone and joined, and the strings that have them."""
+        best, names = np.full(len(self.bias), -np.inf), [""] * len(self.bias)
+        glued = spelled or len(runs) > 1
+        for whole, as_windows in [*((r, False) for r in runs if len(runs) > 1), ("".join(runs), glued)]:
+            for at in range(0, len(whole), SOME):  # of a very long word some letters at a time
+                part = whole[at : at + SOME + PIECE]
+                strings = [part] if len(part) <= PIECE else []
+                strings += self.windows(part) if as_windows or not strings else []
+                found = self.decide(strings)
+                for m, i in enumerate(found.argmax(axis=0).tolist()):
+                    if found[i, m] > best[m]:
+                        best[m], names[m] = found[i, m], strings[i]
+        return best, names
 
     def learn(self) -> None:
         words = self.known.take_new()
-        clean = list(map(letters_of, words))
-        row = list(map(self.rows.__getitem__, clean))
-        new = self.rows.take_new()
-        if new:
-            values, own = self.measured(new)
-            near = values.any(axis=1)
-            numbers = np.where(near, len(self.values) + np.cumsum(near) - 1, -1)
-            self.of_letters = np.concatenate([self.of_letters, numbers])
-            self.values = np.concatenate([self.values, values[near]])
-            self.own = np.concatenate([self.own, own[near]])
-        self.row = np.concatenate([self.row, self.of_letters[row]])
-        self.ends = np.concatenate([self.ends, [w[-1] in ".!?" or bool(SENTENCE_END.search(w)) for w in words]])
-        self.single = np.concatenate([self.single, [len(c.lstrip(" ")) == 1 for c in clean]])
-
-    def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the values of its sentences that have any."""
-        return [values for values, _ in self.found(texts)]
-
-    def found(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
-        """The same, and the largest score of a single segment."""
+        if not words:
+            return
+        runs = [[r for r in NOT_LETTERS.split(w) if r] if not w.isalpha() else [w] for w in words]
+        plain = [i for i, r in enumerate(runs) if len(r) == 1 and len(r[0]) <= PIECE]
+        values = np.tile(self.bias, (len(words), 1))
+        values[plain] = self.decide([runs[i][0] for i in plain])
+        strings: list[str | list[str]] = [r[0] if len(r) == 1 else "" for r in runs]
+        for i, r in enumerate(runs):
+            if len(r) > 1 or r and len(r[0]) > PIECE:
+                values[i], strings[i] = self.strongest(r)
+        self.values = np.concatenate([self.values, values])
+        self.strings += strings
+        self.single = np.concatenate([self.single, [sum(map(len, r)) == 1 for r in runs]])
+        self.lettered = np.concatenate([self.lettered, [bool(r) for r in runs]])
+
+    def numbered(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
-        out, number = [], self.known.__getitem__
-        numbered = [
-            np.fromiter(map(number, words), np.int64, len(words))
-            for words in (t.lower().replace("\n", " . ").split() for t in texts)
-        ]
-        if self.known.new:
-            self.learn()
-        none = np.zeros((0, self.values.shape[1]), dtype=np.float32)
-        for at, text in zip(numbered, texts):
-            rows = self.row[at]
-            hits = np.flatnonzero(rows >= 0)
-            spelled = self.spelled(text, at)
-            if not len(hits) and not spelled:
-                out.append((none, NOTHING))
-                continue
-            sentence = np.cumsum(self.ends[at]) - self.ends[at]
-            where = np.concatenate([sentence[hits], [sentence[p] for p, _, _ in spelled]]).astype(np.int64)
-            values = np.concatenate([self.values[rows[hits]], *[v[None] for _, v, _ in spelled]])
-            order = np.argsort(where, kind="stable")
-            first = np.flatnonzero(np.diff(where[order], prepend=-1))
-            best = max([self.own[rows[hits]].max(initial=-np.inf), *[o for _, _, o in spelled]])
-            out.append((np.maximum.reduceat(values[order], first, axis=0), float(best)))
-        return out
+        number = self.known.__getitem__
+        found = [np.fromiter(map(number, words), np.int64, len(words)) for words in (t.lower().split() for t in texts)]
+        self.learn()
+        return found
 
-    def spelled(self, text: str, at: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
-        """Runs of single letters, joined: the place of each, its values, if it has any, and its score."""
+    def spelled(self, text: str, at: np.ndarray) -> list[tuple[np.ndarray, list[str]]]:
+        """Runs of single letters, joined."""
         single = self.single[at]
         if np.count_nonzero(single) < ORDER:
             return []
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         runs = [(s, e) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()) if e - s >= ORDER]
-        if not runs:
-            return []
-        words = text.lower().replace("\n", " . ").split()
-        joined = [" " + NOT_LETTERS.sub("", "".join(words[s:e])) for s, e in runs]
-        return [(s, v, o) for (s, _), v, o in zip(runs, *self.measured(joined)) if v.any()]
-
-
-@dataclass
-class Model:
-    landmarks: list[str]
-    weights: np.ndarray  # of the sentences' sharpened kernel values: the machine's weights behind the Nystroem map
-    bias: float
-    slope: float
-    shift: float
-    word_weights: np.ndarray | None = None  # of a single segment's kernel values
-    word_slope: float = 0.0
-    word_shift: float = -500.0
-
-    def decisions(self, sentences: list[np.ndarray]) -> np.ndarray:
-        return np.array([max(self.bias, float((s**SHARPEN @ self.weights).max(initial=-np.inf)) + self.bias) for s in sentences])
-
-    def scores(self, sentences: list[np.ndarray], words: list[float]) -> np.ndarray:
-        by_word = self.word_slope * np.array(words, dtype=np.float64) + self.word_shift
-        return 1 / (1 + np.exp(-np.clip(np.maximum(self.slope * self.decisions(sentences) + self.shift, by_word), -500, 500)))
+        words = text.lower().split() if runs else []
+        return [self.strongest([NOT_LETTERS.sub("", "".join(words[s:e]))], True) for s, e in runs]
+
+    def strong(self, extra: list[tuple[np.ndarray, list[str]]], at: np.ndarray, m: int) -> list[str]:
+        """The strongest distinct segments of a text for a machine."""
+        own = np.unique(at)
+        best = own[np.argsort(-self.values[own, m], kind="stable")[:STRONGEST]].tolist()
+        named = [(self.values[i, m], self.strings[i] if isinstance(self.strings[i], str) else self.strings[i][m]) for i in best]
+        named += [(v[m], strings[m]) for v, strings in extra]
+        return [s for _, s in sorted(named, key=lambda x: (-x[0], x[1]))[:STRONGEST] if len(s) >= ORDER]
+
+    def facts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, list[str]]], np.ndarray]]:
+        """For each text and machine the largest decision and the segments on the toxic side a hundred words; then its spelled
+        words and the numbers of all others."""
+        for text, at in zip(texts, self.numbered(texts)):
+            extra = self.spelled(text, at)
+            values = np.concatenate([self.values[at], *[v[None] for v, _ in extra]])
+            largest = values.max(axis=0, initial=-np.inf, where=np.isfinite(values)) if len(values) else self.bias
+            per_hundred = (values > 0).sum(axis=0) / (np.count_nonzero(self.lettered[at]) / 100 + 1)
+            yield np.maximum(largest, self.bias), per_hundred, extra, at
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(toxic, text): distinct labelled texts outside the held-out fold, of at most ``sample_rows`` ids."""
+    """(toxic, text, part): distinct labelled texts outside the held-out fold, of at most ``sample_rows`` ids."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_id"))
@@ -333,36 +311,70 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most sample_rows ids
     rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).withColumn("_key", text_key())
-    return rows.groupBy("_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
+    one = rows.groupBy("_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    return one.select("toxic", "text", F.pmod(F.xxhash64("_key"), F.lit(PARTS)).cast("int").alias("part"))
 
 
-def pick_landmarks(rows: DataFrame, count: int = LANDMARKS) -> dict[str, float]:
-    """The words, with how surely, whose share of toxic texts most surely exceeds their share of clean ones."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, part, toxic, n): in how many training texts a word of usual length stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int]] = Counter()
+        seen: Counter[tuple[str, int, int]] = Counter()
         for batch in slices(batches):
-            for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch)):
+            for toxic, part, text in zip(batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), texts_of(batch)):
                 clean = {NOT_LETTERS.sub("", w) for w in set(text.lower().split())}
-                seen.update((w, toxic) for w in clean if SHORTEST_LANDMARK <= len(w) <= LONGEST_LANDMARK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
-            names=["word", "toxic", "n"],
-        )
-
-    one_if = lambda value: F.sum(F.when(F.col("toxic") == value, F.col("n")).otherwise(0)) + 0.5
-    sizes = rows.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).first()
-    bad, good = (sizes["bad"] or 0) + 1.0, sizes["all"] - (sizes["bad"] or 0) + 1.0
-    words = rows.mapInArrow(run, "word string, toxic int, n bigint").groupBy("word").agg(one_if(1).alias("a"), one_if(0).alias("b"))
-    surely = F.log(F.col("a") / bad) - F.log(F.col("b") / good) - 1.64 * F.sqrt(1 / F.col("a") + 1 / F.col("b"))
-    top = words.withColumn("z", surely).orderBy(F.desc("z"), "word").limit(count)
-    return {r["word"]: r["z"] for r in top.collect()}
-
-
-def machine(features: np.ndarray, signs: np.ndarray, strength: float = 3e-4, rounds: int = 50) -> tuple[np.ndarray, float]:
+                seen.update((w, part, toxic) for w in clean if SHORTEST_LANDMARK <= len(w) <= LONGEST_LANDMARK)
+        columns = list(zip(*seen)) or [(), (), ()]
+        types = (pa.string(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, types), pa.array(list(seen.values()), pa.int64())], names=["word", "part", "toxic", "n"])
+
+    return rows.mapInArrow(run, "word string, part int, toxic int, n bigint").groupBy("word", "part", "toxic").agg(F.sum("n").alias("n"))
+
+
+def mark_words(counts: DataFrame, sizes: dict[tuple[int, int], int], without: int | None, most: int) -> list[tuple[str, float, int, int]]:
+    """Marking words with how surely they mark, and the toxic and clean texts they stand in.
+
+    The words whose odds of standing in toxic texts over clean ones stay above chance when ``SURELY`` standard deviations are
+    taken off. ``without`` leaves out a part.
+    """
+    size = lambda toxic: sum(n for (part, t), n in sizes.items() if t == toxic and part != without) + 1.0
+    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    kept = counts if without is None else counts.filter(F.col("part") != without)
+    words = kept.groupBy("word").agg(of(1).alias("a"), of(0).alias("b")).filter("a > 0")
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    surely = F.log(a / size(1)) - F.log(b / size(0)) - SURELY * F.sqrt(1 / a + 1 / b)
+    top = words.withColumn("z", surely).filter(F.col("z") > LEAST).orderBy(F.desc("z"), "word").limit(most)
+    return [(r["word"], r["z"], r["a"], r["b"]) for r in top.collect()]
+
+
+def measured(rows: DataFrame, machines: dict) -> list:
+    """For each training text what its machines say: ``SAMPLE_ROWS`` rows at most, each with some segments of clean texts."""
+    shipped = rows.sparkSession.sparkContext.broadcast(machines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = None
+        for batch in slices(batches):
+            segments = segments or Segments(shipped.value)
+            largest, dense, strong, marks = [], [], [], batch.column("toxic").to_pylist()
+            for toxic, (most, per_hundred, extra, at) in zip(marks, segments.facts(texts_of(batch))):
+                largest.append(most.tolist())
+                dense.append(per_hundred.tolist())
+                strong.append([[] if toxic else segments.strong(extra, at, m) for m in range(len(most))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("toxic"), batch.column("part"), pa.array(largest, pa.list_(pa.float64())), pa.array(dense, pa.list_(pa.float64())),
+                    pa.array(strong, pa.list_(pa.list_(pa.string()))),
+                ],
+                names=["toxic", "part", "largest", "dense", "strong"],
+            )
+
+    return rows.mapInArrow(run, "toxic int, part int, largest array<double>, dense array<double>, strong array<array<string>>").collect()
+
+
+def machine(features: np.ndarray, signs: np.ndarray, times: np.ndarray, strength: float = STRENGTH, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, both classes of equal weight; Newton steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
-    cost = np.where(signs > 0, 0.5 / max(1, (signs > 0).sum()), 0.5 / max(1, (signs < 0).sum()))
+    cost = times / np.where(signs > 0, 2 * max(1, times[signs > 0].sum()), 2 * max(1, times[signs < 0].sum()))
     w = np.zeros(x.shape[1])
     ridge = strength * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
@@ -376,125 +388,127 @@ def machine(features: np.ndarray, signs: np.ndarray, strength: float = 3e-4, rou
     return w[:-1], float(w[-1])
 
 
-def logistic(values: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of the curve from decision values to probabilities, with smoothed targets."""
+def nystroem(gram: np.ndarray) -> np.ndarray:
+    size, axes = np.linalg.eigh((gram + gram.T) / 2)
+    return axes / np.sqrt(np.maximum(size, 1e-4)) @ axes.T
+
+
+def fitted(marks: list[tuple[str, float, int, int]], clean: Counter) -> tuple[list[str], np.ndarray, float]:
+    """Landmarks, their weights and the bias of one machine: marking words against segments of clean texts."""
+    words = [w for w, *_ in marks]
+    # the clean words that look most like marks have been met most often
+    alike = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(words)][:LOOK_ALIKES]
+    landmarks = Landmarks([*words, *alike])
+    instances = [*[(w, 1.0, a) for w, _, a, _ in marks], *[(w, -1.0, b) for w, _, _, b in marks if b], *[(w, -1.0, n) for w, n in sorted(clean.items())]]
+    strings, signs, times = map(list, zip(*instances))
+    root = nystroem(landmarks.gram())
+    w, bias = machine(landmarks.sums(strings) @ root, np.array(signs), np.array(times, dtype=np.float64))
+    return landmarks.words, root @ w, bias
+
+
+def together(each: list[tuple[list[str], np.ndarray, float]], sizes: list[int]) -> dict:
+    """Several machines over the union of their landmarks."""
+    words = sorted({w for own, _, _ in each for w in own})
+    place = {w: i for i, w in enumerate(words)}
+    weights = np.zeros((len(words), len(each)))
+    for m, (own, values, _) in enumerate(each):
+        weights[[place[w] for w in own], m] = values
+    return Landmarks(words).machines(weights, np.array([bias for *_, bias in each]), sizes)
+
+
+def clean_segments(got: list, m: int) -> Counter:
+    """The ``HARDEST`` strongest segments of clean texts that machine ``m`` may learn from, with how many texts have them."""
+    return Counter(dict(Counter(s for r in got if r["toxic"] == 0 and r["part"] != m - 1 for s in r["strong"][m]).most_common(HARDEST)))
+
+
+def joined(largest: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    return np.stack([largest, np.log1p(4 * dense)], axis=-1)
+
+
+def fewest_errors(decided: np.ndarray, toxic: np.ndarray) -> float:
+    """The lowest of the thresholds with the fewest errors: between two neighbouring decisions, nearer to the clean one."""
+    values = np.unique(decided)
+    wrong = np.array([(decided[toxic] < v).sum() + (decided[~toxic] >= v).sum() for v in [*values, np.inf]])
+    at = int(wrong.argmin())
+    above = values[at] if at < len(values) else values[-1] + 1
+    below = values[at - 1] if at else values[0] - 1
+    return float(below + TOLERANT * (above - below))
+
+
+CONSTANT = {"constant": 0.0}
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> dict:
+    """The model: plain arrays and numbers."""
+    rows = saved(training_rows(docs, labels, sample_rows), "toxic-training")
+    sizes = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
+    if {toxic for _, toxic in sizes} == {1}:
+        return {"constant": 1.0}
+    counts = saved(word_counts(rows), "toxic-words")
+    # the first machine learns from all parts, each other one from all but one
+    marks = [mark_words(counts, sizes, without, landmarks) for without in [None, *range(PARTS)]]
+    if not marks[0]:
+        return CONSTANT
+    lengths = [len(w) for w, *_ in marks[0]]
+    windows = list(range(min(lengths), min(PIECE, max(lengths) + GAPS) + 1))
+    each = []
+    for own in marks:
+        known = Landmarks([w for w, *_ in own])
+        surely = np.array([z for _, z, *_ in own])
+        each.append((known.words, np.linalg.solve(known.gram() + 0.1 * np.eye(len(own)), surely) if own else surely, -1.0))
+    seen = [Counter() for _ in marks]
+    for _ in range(2):
+        got = measured(rows, together(each, windows))
+        for m, own in enumerate(marks):
+            seen[m] |= clean_segments(got, m)
+            each[m] = fitted(own, seen[m]) if own and seen[m] else each[m]
+    got = measured(rows, together(each, windows))
+    toxic = np.array([r["toxic"] > 0 for r in got])
+    # of each text what the machine says that has not seen it
+    unseen = joined(np.array([r["largest"][r["part"] + 1] for r in got]), np.array([r["dense"][r["part"] + 1] for r in got]))
+    mix = np.maximum(logistic(unseen, toxic)[:-1], 0.0)
+    mix = mix / mix.sum() if mix.sum() > 0 else np.array([1.0, 0.0])
+    decided = unseen @ mix
+    slope = max(float(logistic(decided[:, None], toxic)[0]), 1e-3)
+    return {**together(each[:1], windows), "mix": mix, "threshold": fewest_errors(decided, toxic), "slope": slope}
+
+
+def logistic(values: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Slopes and shift of the curve from decisions to probabilities, with smoothed targets."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([values, np.ones(len(values))], axis=1)
-    w = np.array([1.0, 0.0])
+    x = np.hstack([values, np.ones((len(values), 1))])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (p - target) + 1e-3 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model:
-    rows = saved(training_rows(docs, labels, sample_rows), "toxic-training")
-    classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    sure = pick_landmarks(rows, landmarks) if len(classes) == 2 else {}
-    words = list(sure)
-    if not words:
-        return Model([], np.zeros(0), 0.0, 0.0, 500.0 if set(classes) == {1} else -500.0)
+    return w
 
-    marks = [i for i, w in enumerate(words) if sure[w] > SURE] or [i for i, w in enumerate(words[:SOME_MARKS]) if sure[w] > 0] or [0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        landmarks = Landmarks(words)
-        segments, only = Segments(landmarks), Landmarks([words[i] for i in marks])
-        for batch in slices(batches):
-            texts, best, near = texts_of(batch), [], []
-            for s in segments.sentences(texts):
-                best.append(s[(s**SHARPEN).sum(axis=1).argmax()].tolist() if len(s) else [0.0] * len(words))
-            for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
-                # the clean text's segments that are most like an insult
-                own = sorted({p for w in set(map(letters_of, text.lower().split())) for p in segments.windows(w)}) if toxic == 0 else []
-                like = only.values(own).max(axis=1, initial=0)
-                near.append([own[i] for i in np.argsort(-like, kind="stable")[:HARDEST]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(best, pa.list_(pa.float32())), pa.array(near, pa.list_(pa.string()))], names=["toxic", "values", "near"]
-            )
-
-    # at most sample_rows rows of as many numbers as landmarks
-    got = rows.mapInArrow(run, "toxic int, values array<float>, near array<string>").collect()
-    toxic = np.array([r["toxic"] > 0 for r in got])
-    values = np.array([r["values"] for r in got], dtype=np.float32)
-    landmarks = Landmarks(words)
-    gram = landmarks.gram()
-    inverse_root = nystroem(gram**SHARPEN)
-    w, bias = machine(values.astype(np.float64) ** SHARPEN @ inverse_root, np.where(toxic, 1.0, -1.0))
-    model = Model(words, inverse_root @ w, bias, 1.0, 0.0)
-    decided = model.decisions([v[None] for v in values])
-    model.slope, model.shift = logistic(decided, toxic)
-    # few clean training texts may pass, as the second machine finds others
-    model.shift = min(model.shift, -model.slope * float(np.quantile(decided[~toxic], 1 - CLEAN_OVER, method="higher")) - 1e-6)
-    learn_words(model, landmarks, nystroem(gram), [words[i] for i in marks], [r["near"] for r in got if r["near"]])
-    return model
-
-
-def nystroem(gram: np.ndarray) -> np.ndarray:
-    size, axes = np.linalg.eigh(gram)
-    return axes / np.sqrt(np.maximum(size, 1e-6)) @ axes.T
-
-
-def copies(word: str, seed: int) -> list[str]:
-    """The word and obfuscated copies: letters put in, changed or left out."""
-    pick = random.Random(seed)
-    out = [word]
-    for count in (1, 1, 2, 2):
-        copy = word
-        for at in sorted(pick.sample(range(1, len(word)), min(count, len(word) - 1)), reverse=True):
-            copy = copy[:at] + pick.choice(ALPHABET) + copy[at:]
-        out.append(copy)
-    for put in (pick.choice(ALPHABET), ""):
-        at = pick.randrange(1, len(word) - 1)
-        out.append(word[:at] + put + word[at + 1 :])
-    return out
-
-
-def learn_words(model: Model, landmarks: Landmarks, inverse_root: np.ndarray, marks: list[str], near: list[list[str]]) -> None:
-    """A second machine tells obfuscated copies of the surest words from the segments of clean training texts. Its
-    threshold is the smallest that at most ``CLEAN_OVER`` of these texts pass."""
-    bad = landmarks.values([c for w in marks for seed in range(COPIES) for c in copies(w, seed)]).astype(np.float64)
-    own = sorted({w for n in near for w in n})
-    good = landmarks.values(own).astype(np.float64)
-    if not len(good):
-        return
-    hardest = good[np.argsort(-good[:, [landmarks.words.index(w) for w in marks]].max(axis=1), kind="stable")[:SAMPLE_ROWS]]
-    signs = np.concatenate([np.ones(len(bad)), -np.ones(len(hardest))])
-    w, _ = machine(np.concatenate([bad, hardest]) @ inverse_root, signs, WORD_STRENGTH)
-    model.word_weights = inverse_root @ w
-    of = dict(zip(own, good @ model.word_weights))
-    best = np.array([max(of[w] for w in n) for n in near])
-    model.word_slope = max(logistic(np.concatenate([bad, hardest]) @ model.word_weights, signs > 0)[0], 1e-3)
-    edge = max(0.0, float(np.quantile(best, 1 - CLEAN_OVER, method="higher")))
-    over = bad @ model.word_weights
-    edge = (edge + over[over > edge].min(initial=edge + 0.02)) / 2
-    model.word_shift = float(-model.word_slope * edge)
-
-
-def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
     """All rows and columns of ``docs`` and the score of the whole text."""
+    if "constant" in model:
+        return docs.withColumn(name, F.lit(model["constant"]))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, segments = shipped.value, None
         for batch in slices(batches):
-            if model.landmarks:
-                segments = segments or Segments(Landmarks(model.landmarks), model.word_weights)
-                found = segments.found(texts_of(batch))
-            else:
-                found = [(np.zeros((0, 0)), NOTHING)] * batch.num_rows
-            yield extended(batch, **{name: pa.array(model.scores(*map(list, zip(*found))), pa.float64())})
+            segments = segments or Segments(model)
+            facts = [(most[0], dense[0]) for most, dense, *_ in segments.facts(texts_of(batch))]
+            decided = joined(*np.array(facts).T) @ model["mix"]
+            values = 1 / (1 + np.exp(-np.clip(model["slope"] * (decided - model["threshold"]), -500, 500)))
+            yield replaced(batch, name, pa.array(values, pa.float64()))
 
-    return docs.mapInArrow(run, with_fields(docs, (name, T.DoubleType())))
+    return docs.mapInArrow(run, with_column(docs, name, T.DoubleType()))
 
 
-def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows that are not toxic, with their columns as they were."""
     name = "_toxicity"
     while name in docs.columns:
