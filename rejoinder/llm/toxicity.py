@@ -60,12 +60,14 @@ PIECE = 16
 GAPS = 2
 SHORTEST_LANDMARK, LONGEST_LANDMARK = 4, 12
 # strings measured at a time, letters of a very long word
-PAIRS = 4_096
+PAIRS = 1_024
 SOME = 2_000
 # subsequences of the landmarks' letters that are looked up in an array, 4 bytes each
 DENSE = 4_000_000
 # words remembered by a task before it starts anew
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+# bytes of text that a task works on at a time
+TEXTS = 2 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 # by length: a plain dict, which workers get with the functions that use it
 PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -353,7 +355,7 @@ def measured(rows: DataFrame, machines: dict) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = None
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXTS):
             segments = segments or Segments(shipped.value)
             largest, dense, strong, marks = [], [], [], batch.column("toxic").to_pylist()
             for toxic, (most, per_hundred, extra, at) in zip(marks, segments.facts(texts_of(batch))):
@@ -498,7 +500,7 @@ def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, segments = shipped.value, None
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXTS):
             segments = segments or Segments(model)
             facts = [(most[0], dense[0]) for most, dense, *_ in segments.facts(texts_of(batch))]
             decided = joined(*np.array(facts).T) @ model["mix"]
