@@ -10,29 +10,35 @@ window for every ``window`` consecutive words, or one for all its words if it ha
 3. Search: over the stored lists, every window's lists are intersected from the rarest on. What is left are the exact
    places of the phrase; ``proximity`` gives the places where the terms occur close together in any order.
 
-The windows are worked through in blocks of at most ``BLOCK_WINDOWS``, so a benchmark of any size needs only one
-block in memory at a time. Documents are never shuffled; the index is split by document, so a passage that a third of
+The windows are worked through in blocks of at most ``BLOCK_WINDOWS``, each with a pass over the documents to count its
+terms and one to index them, so a benchmark of any size needs only one block in memory at a time. Documents are never shuffled; the index is split by document, so a passage that a third of
 the documents share is spread like any other row.
 
 Cases: null texts and texts without words have no words, no windows and no hits. Items or documents with the same id
 are rows of their own (an item id counts once for a document). Null item ids are skipped, as they cannot be named. An
-empty benchmark hits nothing. Other columns are not read.
+empty benchmark hits nothing. Of equally rare terms of a window the earlier one counts as rarer. A null ``doc_id`` is a value
+like any other. A text of any length is read whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.llm.common import keyed_as, rows_by_key, slices, text_key, texts_of
 from rejoinder.plans.session import saved
 
+# windows by number, with their terms and items
+Block = dict[int, tuple[list[bytes], list[str]]]
 WINDOW = 10
 # windows whose terms are held in memory at a time
 BLOCK_WINDOWS = 20_000
@@ -66,9 +72,9 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def blocks(found: DataFrame, most: int) -> Iterator[dict[int, tuple[list[bytes], list[str]]]]:
+def blocks(found: DataFrame, most: int) -> Iterator[Block]:
     """The windows by number, at most ``most`` at a time."""
-    block: dict[int, tuple[list[bytes], list[str]]] = {}
+    block: Block = {}
     for row in found.toLocalIterator():
         block[row["window"]] = ([t.encode("utf-8", "surrogatepass") for t in row["terms"]], row["items"])
         if len(block) == most:
@@ -99,42 +105,39 @@ def by_rarity(terms: list[bytes], counts: dict[bytes, int]) -> list[int]:
     return sorted(first.values(), key=lambda i: (counts.get(terms[i], 0), i))
 
 
-class Plan:
-    """A block of windows made ready for one pass over documents."""
-
-    def __init__(self, block: dict[int, tuple[list[bytes], list[str]]], counts: dict[bytes, int]):
-        self.terms = {w: terms for w, (terms, _) in block.items()}
-        self.order = {w: by_rarity(terms, counts) for w, terms in self.terms.items()}
-        # rarest term -> windows, with the places of the rarest and the second rarest
-        self.anchors: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
-        for w, order in self.order.items():
-            terms = self.terms[w]
-            if all(counts.get(t, 0) for t in terms):
-                self.anchors[terms[order[0]]].append((w, order[0], order[min(1, len(order) - 1)]))
-        self.seeds = set(self.anchors) | {self.terms[w][b] for at in self.anchors.values() for w, _, b in at}
-
-    def candidates(self, words: list[bytes], slack: int = 0) -> set[int]:
-        """Windows whose two rarest terms lie as far apart as in the window; with ``slack``, so many words more or less."""
-        lists: dict[bytes, list[int]] = defaultdict(list)
-        seeds = self.seeds
-        for i, w in enumerate(words):
-            if w in seeds:
-                lists[w].append(i)
-        found = set()
-        for term in self.anchors.keys() & lists.keys():
-            for window, a, b in self.anchors[term]:
-                other = lists.get(self.terms[window][b])
-                if other and (slack or not {p - a for p in lists[term]}.isdisjoint([p - b for p in other])):
-                    found.add(window)
-        return found
-
-
-def index(docs: DataFrame, plan: Plan, slack: int = 0) -> DataFrame:
-    """(doc_id, text_key, n_words, windows, terms, positions): the stored posting lists of each document.
-
-    ``windows`` are those whose two rarest lists intersect; ``terms`` and ``positions`` are the lists of their terms.
+def plan_of(block: Block, counts: dict[bytes, int]) -> dict:
+    """A block of windows made ready for one pass over documents, as plain values that any worker can read."""
+    terms = {w: own for w, (own, _) in block.items()}
+    order = {w: by_rarity(own, counts) for w, own in terms.items()}
+    # rarest term -> windows, with the places of the rarest and the second rarest
+    anchors: dict[bytes, list[tuple[int, int, int]]] = {}
+    for w, places in order.items():
+        if all(counts.get(t, 0) for t in terms[w]):
+            anchors.setdefault(terms[w][places[0]], []).append((w, places[0], places[min(1, len(places) - 1)]))
+    seeds = set(anchors) | {terms[w][b] for at in anchors.values() for w, _, b in at}
+    return {"terms": terms, "order": order, "anchors": anchors, "seeds": seeds, "items": {w: items for w, (_, items) in block.items()}}
+
+
+def candidates(plan: dict, words: list[bytes], near: bool = False) -> set[int]:
+    """Windows whose two rarest terms lie as far apart as in the window; with ``near``, that have both terms."""
+    lists: dict[bytes, list[int]] = defaultdict(list)
+    seeds, terms, found = plan["seeds"], plan["terms"], set()
+    for i, w in enumerate(words):
+        if w in seeds:
+            lists[w].append(i)
+    for term in plan["anchors"].keys() & lists.keys():
+        for window, a, b in plan["anchors"][term]:
+            other = lists.get(terms[window][b])
+            if other and (near or not {p - a for p in lists[term]}.isdisjoint([p - b for p in other])):
+                found.add(window)
+    return found
+
+
+def index(docs: DataFrame, shipped: Broadcast, near: bool = False) -> DataFrame:
+    """(doc_id, text_key, n_words, windows, terms, positions): the posting lists of each document for one block of windows.
+
+    ``windows`` are those whose two rarest lists meet; ``terms`` and ``positions`` are the lists of their terms.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shipped.value
@@ -142,15 +145,14 @@ def index(docs: DataFrame, plan: Plan, slack: int = 0) -> DataFrame:
             n_words, found, terms, positions = [], [], [], []
             for text in texts_of(batch):
                 words = words_of(text)
-                near = plan.candidates(words, slack)
-                wanted = {t for w in near for t in plan.terms[w]}
-                lists: dict[bytes, list[int]] = {t: [] for t in wanted}
-                if wanted:
+                met = candidates(plan, words, near)
+                lists: dict[bytes, list[int]] = {t: [] for w in met for t in plan["terms"][w]}
+                if lists:
                     for i, w in enumerate(words):
-                        if w in wanted:
+                        if w in lists:
                             lists[w].append(i)
                 n_words.append(len(words))
-                found.append(sorted(near))
+                found.append(sorted(met))
                 terms.append(list(lists))
                 positions.append(list(lists.values()))
             yield pa.RecordBatch.from_arrays(
@@ -196,22 +198,26 @@ def near_starts(terms: list[bytes], order: list[int], lists: dict[bytes, np.ndar
     return at
 
 
-def search(stored: DataFrame, plan: Plan, items: dict[int, list[str]]) -> DataFrame:
+def lists_of(batch: pa.RecordBatch) -> Iterator[tuple[list[int], dict[bytes, np.ndarray]]]:
+    """Of each stored document the windows and the posting lists."""
+    for found, terms, positions in zip(*(batch.column(c).to_pylist() for c in ("windows", "terms", "positions"))):
+        yield found, {t: np.array(p, dtype=np.int64) for t, p in zip(terms, positions)}
+
+
+def search(stored: DataFrame, shipped: Broadcast) -> DataFrame:
     """(doc_id, text_key, n_words, hits, items): hit word positions and items of each indexed document."""
-    shipped = stored.sparkSession.sparkContext.broadcast((plan, items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, items = shipped.value
+        plan = shipped.value
         for batch in batches:
             hits, named = [], []
-            for found, terms, positions in zip(*(batch.column(c).to_pylist() for c in ("windows", "terms", "positions"))):
-                lists = {t: np.array(p, dtype=np.int64) for t, p in zip(terms, positions)}
+            for found, lists in lists_of(batch):
                 covered, names = [np.array([], dtype=np.int64)], set()
                 for w in found:
-                    starts = exact_starts(plan.terms[w], plan.order[w], lists)
+                    starts = exact_starts(plan["terms"][w], plan["order"][w], lists)
                     if len(starts):
-                        names.update(items[w])
-                        covered.append((starts[:, None] + np.arange(len(plan.terms[w]))).ravel())
+                        names.update(plan["items"][w])
+                        covered.append((starts[:, None] + np.arange(len(plan["terms"][w]))).ravel())
                 hits.append(np.unique(np.concatenate(covered)))
                 named.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
@@ -226,69 +232,68 @@ def search(stored: DataFrame, plan: Plan, items: dict[int, list[str]]) -> DataFr
     return stored.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_words bigint, hits array<bigint>, items array<string>")
 
 
-def proximity(docs: DataFrame, phrases: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:
+def near_places(stored: DataFrame, shipped: Broadcast, slack: int) -> DataFrame:
+    """(doc_id, item_id, position) of each indexed document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shipped.value
+        for batch in batches:
+            rows, names, places = [], [], []
+            for i, (found, lists) in enumerate(lists_of(batch)):
+                hits = {
+                    (item, at)
+                    for w in found
+                    for at in near_starts(plan["terms"][w], plan["order"][w], lists, slack).tolist()
+                    for item in plan["items"][w]
+                }
+                for item, at in sorted(hits):
+                    rows.append(i)
+                    names.append(item)
+                    places.append(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())],
+                names=["doc_id", "item_id", "position"],
+            )
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.mapInArrow(run, f"doc_id {kind}, item_id string, position bigint")
+
+
+def of_blocks(docs: DataFrame, benchmark: DataFrame, window: int, most: int, near: bool, find: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """What ``find`` makes of the index, of all blocks of windows one after the other; an empty benchmark is one empty block.
+
+    A block's results are written before the next one begins, and its windows leave the workers.
+    """
+    parts = []
+    for block in chain(blocks(saved(windows(benchmark, window), "windows"), most), [None]):
+        if block is None and parts:
+            break
+        block = block or {}
+        counts = term_counts(docs, {t for terms, _ in block.values() for t in terms}) if block else {}
+        shipped = docs.sparkSession.sparkContext.broadcast(plan_of(block, counts))  # one block
+        found = find(saved(index(docs, shipped, near), "postings"), shipped)
+        parts.append(saved(found.withColumn("block", F.lit(len(parts))), "found"))
+        shipped.destroy()
+    return reduce(DataFrame.union, parts)
+
+
+def proximity(docs: DataFrame, phrases: DataFrame, slack: int = 5, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, item_id, position): places where all terms of a window of an item lie close together, in any order.
 
     ``position`` is that of the window's rarest term; each other term is at most ``window + slack - 1`` words away.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for block in blocks(saved(windows(phrases, window), "windows"), BLOCK_WINDOWS):
-        plan = Plan(block, term_counts(docs, {t for terms, _ in block.values() for t in terms}))
-        shipped = docs.sparkSession.sparkContext.broadcast((plan, {w: items for w, (_, items) in block.items()}))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            plan, items = shipped.value
-            for batch in batches:
-                rows, names, places = [], [], []
-                for i, (found, terms, positions) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("windows", "terms", "positions")))):
-                    lists = {t: np.array(p, dtype=np.int64) for t, p in zip(terms, positions)}
-                    hits = {
-                        (item, at)
-                        for w in found
-                        for at in near_starts(plan.terms[w], plan.order[w], lists, slack).tolist()
-                        for item in items[w]
-                    }
-                    for item, at in sorted(hits):
-                        rows.append(i)
-                        names.append(item)
-                        places.append(at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int64())],
-                    names=["doc_id", "item_id", "position"],
-                )
-
-        stored = saved(index(docs, plan, slack), "postings")
-        parts.append(stored.mapInArrow(run, f"doc_id {kind}, item_id string, position bigint"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id string, position bigint")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole.distinct()
+    return of_blocks(docs, phrases, window, block_windows, True, lambda stored, shipped: near_places(stored, shipped, slack)).drop("block").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, items) for every row of ``docs``."""
-    parts = []
-    for block in blocks(saved(windows(benchmark, window), "windows"), block_windows):
-        plan = Plan(block, term_counts(docs, {t for terms, _ in block.values() for t in terms}))
-        parts.append(search(saved(index(docs, plan), "postings"), plan, {w: items for w, (_, items) in block.items()}))
-    if not parts:
-        stored = saved(index(docs, Plan({}, {})), "postings")
-        parts.append(search(stored, Plan({}, {}), {}))
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "text_key", "n_words", F.size("hits").cast("long").alias("n_hit"), "items")
-    # several blocks: repeated rows have equal results, so they are counted and joined by (id, text)
     keys = ["doc_id", "text_key"]
-    each = [
-        p.groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"), F.first("hits").alias("hits"), F.first("items").alias("items"))
-        for p in parts
-    ]
-    whole = each[0]
-    for part in each[1:]:
-        whole = whole.union(part)
-    merged = whole.groupBy(*keys).agg(
+    # repeated rows have equal results, so they are counted in each block and come back as often at the end
+    each = of_blocks(docs, benchmark, window, block_windows, False, search)
+    by_block = each.groupBy(*keys, "block").agg(
+        F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"), F.first("hits").alias("hits"), F.first("items").alias("items")
+    )
+    merged = by_block.groupBy(*keys).agg(
         F.first("n_words").alias("n_words"),
         F.first("copies").alias("copies"),
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
