@@ -32,12 +32,14 @@ def chat_replies(
 ) -> DataFrame:
     """A reply to every user message, with the history the log holds before it.
 
-    The first message of a session is answered from its survey; later ones ask for a change.
+    The first user message of a session, whatever was said before it, is answered from its survey; later ones ask for a
+    change.
     """
     turns = history_before(messages, n).filter(F.col("role") == "user")
-    looked_up = _with_survey(turns, sessions, master)
+    firsts = messages.filter(F.col("role") == "user").groupBy("session_id").agg(F.min("ord").alias("_first"))
+    looked_up = _with_survey(turns.join(firsts, "session_id"), sessions, master)
     history = history_text(F.col("history"))
-    first = F.size("history") == 0
+    first = F.col("ord") == F.col("_first")
     reply = fill(
         REPLY,
         {

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rejoinder.functions.model import ModelClient, Retry, ask
-from rejoinder.plans.session import saved
+from rejoinder.plans import store
+from rejoinder.plans.session import new_path, saved
 
 MakeClient = Callable[[], ModelClient]
 
 _ANSWER = "raw string, error string, attempts int, latency_s double"
+_ANSWERS = ["raw", "error", "attempts", "latency_s"]
 
 
 def call_model(
     prompts: DataFrame, make_client: MakeClient, retry: Retry | None = None, batch_size: int = 32
 ) -> DataFrame:
-    """Answers for a table of (``prompt_hash``, ``prompt``); one client per task."""
+    """Answers for a table of (``prompt_hash``, ``prompt``); one client per task. ``permanent`` marks errors that stay."""
     retry = retry or Retry()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,14 +31,11 @@ def call_model(
         for batch in batches:
             for at in range(0, len(batch), batch_size):
                 some = batch.iloc[at : at + batch_size]
-                answers = pd.DataFrame(
-                    ask(client, some["prompt"].tolist(), retry),
-                    columns=["raw", "error", "attempts", "latency_s"],
-                )
+                answers = pd.DataFrame(ask(client, some["prompt"].tolist(), retry), columns=[*_ANSWERS, "permanent"])
                 answers.insert(0, "prompt_hash", some["prompt_hash"].to_numpy())
                 yield answers
 
-    return prompts.select("prompt_hash", "prompt").mapInPandas(run, f"prompt_hash string, {_ANSWER}")
+    return prompts.select("prompt_hash", "prompt").mapInPandas(run, f"prompt_hash string, {_ANSWER}, permanent boolean")
 
 
 def _row_by_row(
@@ -61,8 +61,8 @@ def _row_by_row(
                 some = asked[at : at + batch_size]
                 texts = batch[prompt].iloc[some].tolist()
                 for i, answer in zip(some, ask(client, texts, retry), strict=True):
-                    out[i] = answer
-            answers = pd.DataFrame(out, columns=["raw", "error", "attempts", "latency_s"], index=batch.index)
+                    out[i] = answer[:4]
+            answers = pd.DataFrame(out, columns=_ANSWERS, index=batch.index)
             yield pd.concat([batch[names], answers], axis=1)
 
     rows = df.repartition(max_concurrency) if max_concurrency else df
@@ -88,17 +88,85 @@ def batch_inference(
     """
     if not dedupe:
         return _row_by_row(df, make_client, prompt, retry, batch_size, max_concurrency, keep_prompt)
+    hashed, distinct = _hashed(df, prompt)
+    if max_concurrency:
+        distinct = distinct.repartition(max_concurrency)
+    answers = call_model(distinct, make_client, retry, batch_size).drop("permanent")
+    if not keep_prompt:
+        hashed = hashed.drop(prompt)
+    return hashed.join(answers, "prompt_hash", "left").drop("prompt_hash")
+
+
+def _hashed(df: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
+    """The saved rows with their ``prompt_hash``, and the distinct prompts."""
     df = saved(df, "prompts")
     # rows without a prompt get no answer; their own hash keeps them from meeting in one task
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     own = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))
     hashed = df.withColumn("prompt_hash", F.coalesce(F.sha2(prompt, 256), own))
     distinct = df.select(F.col(prompt).alias("prompt")).filter("prompt is not null").distinct()
-    if max_concurrency:
-        distinct = distinct.repartition(max_concurrency)
-    answers = call_model(
-        distinct.withColumn("prompt_hash", F.sha2("prompt", 256)), make_client, retry, batch_size
-    )
+    return hashed, distinct.withColumn("prompt_hash", F.sha2("prompt", 256))
+
+
+ANSWER_TABLE = f"prompt_hash string, {_ANSWER}, permanent boolean"
+
+
+def answers_in(spark: SparkSession, path: str) -> DataFrame:
+    """The answers of a durable table, one for each prompt: a reply, or else the error that stays, or else the last one."""
+    runs = [f"{path}/{run}/{batch}" for run in store.names(spark, path) for batch in store.names(spark, f"{path}/{run}") if batch.startswith("batch=")]
+    done = [folder for folder in runs if "_SUCCESS" in store.names(spark, folder)]
+    if not done:
+        return spark.createDataFrame([], ANSWER_TABLE)
+    answers = spark.read.schema(ANSWER_TABLE).parquet(*done)
+    best = F.struct(F.col("raw").isNotNull(), "permanent", "raw", "error", "attempts", "latency_s")
+    return answers.groupBy("prompt_hash").agg(F.max(best).alias("_a")).select("prompt_hash", *[f"_a.{c}" for c in (*_ANSWERS, "permanent")])
+
+
+def durable_inference(
+    df: DataFrame,
+    make_client: MakeClient,
+    path: str,
+    prompt: str = "prompt",
+    retry: Retry | None = None,
+    batch_size: int = 32,
+    commit_prompts: int = 10_000,
+    max_concurrency: int | None = None,
+    keep_prompt: bool = False,
+) -> DataFrame:
+    """As :func:`batch_inference`, with the answers kept in a table at ``path``.
+
+    Only prompts without an answer there are sent, each distinct one once, about ``commit_prompts`` at a time; every such
+    micro-batch is committed before the next one begins. So a job that was killed, run again, asks
+    only for what had not been committed, and a later job asks nothing that an earlier one has asked. Errors that stay are
+    answers too; prompts that ran out of attempts are asked again.
+    """
+    spark = df.sparkSession
+    hashed, distinct = _hashed(df, prompt)
+    known = answers_in(spark, path).filter("raw is not null or permanent").select("prompt_hash")
+    missing = saved(distinct.join(known, "prompt_hash", "left_anti"), "missing-prompts")
+    count = missing.count()
+    if count:
+        tasks = max_concurrency or spark.sparkContext.defaultParallelism
+        # one file for each task of a micro-batch
+        files = -(-count // -(-min(count, commit_prompts) // min(count, tasks)))
+        source = new_path(spark, "prompt-files")
+        missing.repartition(files).write.parquet(source)
+        run = f"{path}/run-{uuid.uuid4().hex}"
+
+        def commit(some: DataFrame, number: int) -> None:
+            call_model(some, make_client, retry, batch_size).write.mode("overwrite").parquet(f"{run}/batch={number}")
+
+        (
+            spark.readStream.schema(missing.schema)
+            .option("maxFilesPerTrigger", min(count, tasks))
+            .parquet(source)
+            .writeStream.foreachBatch(commit)
+            .option("checkpointLocation", new_path(spark, "prompt-checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    answers = answers_in(spark, path).drop("permanent")
     if not keep_prompt:
         hashed = hashed.drop(prompt)
     return hashed.join(answers, "prompt_hash", "left").drop("prompt_hash")
@@ -152,12 +220,12 @@ def run_chain(
                 for at in range(0, len(asked), batch_size):
                     some = asked[at : at + batch_size]
                     for (i, _), answer in zip(some, ask(client, [t for _, t in some], retry), strict=True):
-                        out[i] = answer
+                        out[i] = answer[:4]
                 for i in wave:
                     states[at_key[i]] = step(states[at_key[i]], rows[i], out[i][0])
             if rows:
                 carried = {at_key[-1]: states[at_key[-1]]}
-            answers = pd.DataFrame(out, columns=["raw", "error", "attempts", "latency_s"], index=batch.index)
+            answers = pd.DataFrame(out, columns=_ANSWERS, index=batch.index)
             yield pd.concat([batch, answers], axis=1)
 
     return (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from rejoinder.plans.session import saved
 from rejoinder.plans.skew import collect_parts
 
 PART_ROWS = 1_000
+LEVELS = 64
 
 
 def review_lists(rows: DataFrame, text: str, part_rows: int = PART_ROWS) -> DataFrame:
@@ -94,13 +98,44 @@ def themes_overview(responses: DataFrame, part_rows: int = PART_ROWS) -> DataFra
     )
 
 
-def _buckets(level: DataFrame, budget: int, shrink: bool) -> DataFrame:
-    """Neighbouring texts of a block put together up to the character budget."""
-    before = Window.partitionBy("session_id", "block").orderBy("place")
+# Ends of sentences, then of words, at which a text is cut.
+SENTENCE_END = re.compile(r"[.!?\u3002\uff01\uff1f]+\s+|\n+")
+WORD_END = re.compile(r"\s+")
+
+
+def split_text(text: str, most: int) -> list[str]:
+    """A text in pieces of at most ``most`` characters that give it when put together.
+
+    A piece ends at the last end of a sentence that fits, else of a word, else where it is full; so pieces depend on the
+    text alone.
+    """
+    pieces, at = [], 0
+    while len(text) - at > most:
+        ends = [m.end() for m in SENTENCE_END.finditer(text, at, at + most)] or [m.end() for m in WORD_END.finditer(text, at, at + most)]
+        cut = ends[-1] if ends and ends[-1] > at else at + most
+        pieces.append(text[at:cut])
+        at = cut
+    return [*pieces, text[at:]]
+
+
+def _pieces(level: DataFrame, budget: int) -> DataFrame:
+    """Every text in pieces of half the budget, so that any two fit a prompt; ``piece`` numbers them. A text counts once."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, max(1, budget // 2)))
+
+    each = level.withColumn("_p", cut("text")).select(*[c for c in level.columns if c != "text"], F.posexplode("_p").alias("piece", "text"))
+    return each.withColumn("reviews", F.when(F.col("piece") == 0, F.col("reviews")).otherwise(F.lit(0)).cast("bigint"))
+
+
+def _buckets(level: DataFrame, step: int, shrink: bool) -> DataFrame:
+    """Neighbouring texts of a block put together: those that begin in the same ``step`` characters of the block's text."""
+    before = Window.partitionBy("session_id", "block").orderBy("place", "piece")
     used = F.coalesce(
         F.sum(F.length("text")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    bucket = F.floor(used / budget)
+    bucket = F.floor(used / step)
     if shrink:
         # at least two texts together, so that every level has fewer rows than the one before
         bucket = F.least(bucket, F.floor((F.row_number().over(before) - 1) / 2))
@@ -108,13 +143,12 @@ def _buckets(level: DataFrame, budget: int, shrink: bool) -> DataFrame:
         level.withColumn("bucket", bucket)
         .groupBy("session_id", "block", "bucket")
         .agg(
-            F.array_sort(F.collect_list(F.struct("place", "text"))).alias("_o"),
+            F.array_sort(F.collect_list(F.struct("place", "piece", "text"))).alias("_o"),
             F.sum("reviews").alias("reviews"),
-            F.min("place").alias("place"),
             F.max("failed").alias("failed"),
         )
         .withColumn("items", F.transform("_o", lambda x: x["text"]))
-        .drop("_o", "bucket")
+        .drop("_o")
     )
 
 
@@ -124,14 +158,19 @@ def consolidated_summary(
     make_client: MakeClient,
     budget: int = 20_000,
     block_rows: int = PART_ROWS,
+    whole_texts: bool = True,
     **calls,
 ) -> DataFrame:
     """One summary per batch, however large: summaries of summaries.
 
-    Replies are put together by place up to ``budget`` characters and summed up; the summaries
-    go the same way until each batch has one. How they are put together depends on ``pos``
-    only, not on how Spark splits the data. Every level is saved, so no model call is repeated.
+    Texts are put together by place up to about ``budget`` characters and summed up; the summaries go the same way until each
+    batch has one. A text is never cut, so a long one makes a prompt of its own length. With ``whole_texts=False`` a text, or
+    a summary, of more than half the budget is first cut at ends of sentences or words, and no prompt ever holds more than
+    ``budget`` characters of texts. How they are put together depends on ``pos`` only, not on how Spark splits the
+    data. Every level is saved, so no model call is repeated. A model whose summaries are as long as what they sum
+    up may never come to one; after ``LEVELS`` levels that is an error.
     """
+    step = budget if whole_texts else max(1, budget // 2)
     level = replies.select(
         "session_id",
         F.floor(F.col("pos") / block_rows).alias("block"),
@@ -140,15 +179,15 @@ def consolidated_summary(
         F.lit(1).cast("bigint").alias("reviews"),
         F.lit(False).alias("failed"),
     )
-    first = True
-    while True:
-        lists = _buckets(level, budget, shrink=not first)
+    for number in range(LEVELS):
+        cut = level.withColumn("piece", F.lit(0)) if whole_texts else _pieces(level, budget)
+        lists = _buckets(cut, step, shrink=number > 0)
         # a text that is a summary already and stands alone is passed on as it is
-        alone = F.lit(False) if first else F.size("items") == 1
+        alone = F.size("items") == 1 if number else F.lit(False)
         asked = prompt_summary(lists).select(
             "session_id",
             "block",
-            "place",
+            "bucket",
             "reviews",
             "failed",
             F.when(alone, F.col("items")[0]).alias("_passed_on"),
@@ -159,7 +198,8 @@ def consolidated_summary(
             answered.select(
                 "session_id",
                 "block",
-                "place",
+                # in the order of blocks, and of buckets in a block
+                (F.col("block") * (1 << 32) + F.col("bucket")).alias("place"),
                 F.coalesce("_passed_on", "raw", F.lit("")).alias("text"),
                 "reviews",
                 (F.col("failed") | F.col("error").isNotNull()).alias("failed"),
@@ -168,11 +208,10 @@ def consolidated_summary(
         )
         most = level.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            break
+            return level.select("session_id", F.col("text").alias("summary"), "reviews", "failed")
         in_block = level.groupBy("session_id", "block").count().agg(F.max("count")).first()[0]
         level = level.withColumn("block", F.floor(F.col("block") / max(2, block_rows // in_block)))
-        first = False
-    return level.select("session_id", F.col("text").alias("summary"), "reviews", "failed")
+    raise RuntimeError(f"no single summary after {LEVELS} levels: the summaries do not get shorter")
 
 
 def overview(responses: DataFrame, summary: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

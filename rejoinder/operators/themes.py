@@ -72,3 +72,38 @@ def tag_by_keyword(comments: DataFrame, key: str, comment: str, keywords: DataFr
     return comments.select(key).join(tags, key, "left").select(
         key, F.coalesce("themes", F.array().cast("array<string>")).alias("themes")
     )
+
+
+# A word is a run of letters and digits; everything else only parts words.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def tag_by_phrase(comments: DataFrame, key: str, comment: str, phrases: DataFrame) -> DataFrame:
+    """Themes of which a phrase stands in the comment, word by word, without a model.
+
+    ``phrases`` has ``theme`` and ``phrase``, of one or more words. Case and the marks between words do not matter, so
+    "late delivery" is found in "Late  delivery," and "late-delivery". A comment gives its distinct runs of words, of the lengths that
+    phrases have, to a join by the whole run: only runs that are phrases go on. Rows need no key of their own.
+    """
+    known = (
+        phrases.select("theme", words_of(F.col("phrase")).alias("_words"))
+        .filter(F.size("_words") > 0)
+        .select("theme", F.array_join("_words", " ").alias("_run"), F.size("_words").alias("_size"))
+        .distinct()
+    )
+    lengths = sorted(r[0] for r in known.select("_size").distinct().collect())  # a few small numbers
+    rows = comments.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.coalesce(words_of(F.col(comment)), F.array().cast("array<string>")).alias("_words"))
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_words") - n + 1)
+        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " "))
+
+    none = F.array().cast("array<string>")
+    found = F.array_distinct(F.concat(none, *[F.when(F.size("_words") >= n, runs_of(n)).otherwise(none) for n in lengths]))
+    each = rows.select("_row", F.col(key), F.explode_outer(found).alias("_run"))
+    tagged = each.join(known.select("theme", "_run").distinct(), "_run", "left")
+    return tagged.groupBy("_row").agg(F.first(key, ignorenulls=True).alias(key), F.sort_array(F.collect_set("theme")).alias("themes")).drop("_row")

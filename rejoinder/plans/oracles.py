@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from rejoinder.operators import prompts
-from rejoinder.plans.fixtures import BATCH_IDS, KEYWORDS, MODEL_PRICES, THEMES
+from rejoinder.testing.fixtures import BATCH_IDS, KEYWORDS, MODEL_PRICES, PHRASES, THEMES
 
 LIST = " | "
 
@@ -369,6 +369,15 @@ SQL = {
         select d.doc_id, coalesce(string_agg(distinct k.theme, '{LIST}' order by k.theme), '') as themes
         from documents d left join fx_keywords k on list_contains(regexp_extract_all(d.text, '\\S+'), k.keyword)
         group by d.doc_id""",
+    "theme_tags_phrase": f"""
+        with phrases as (
+            select theme, ' ' || array_to_string(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' as phrase
+            from (values {values(PHRASES)}) as v(theme, phrase)
+        ), texts as (
+            select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' as run from documents
+        )
+        select doc_id, coalesce(string_agg(distinct theme, '{LIST}' order by theme), '') as themes
+        from texts left join phrases on contains(run, phrase) group by doc_id""",
     "theme_allowlist": """
         select doc_id, theme from (select distinct doc_id, unnest(regexp_extract_all(text, '\\S+')) as theme from documents)
         where theme in (select theme from fx_taxonomy)""",
@@ -407,6 +416,8 @@ SQL = {
         select session_id, count(*) || ' texts with ' || cast(sum({words('default_reply')}) as bigint) || ' words.' as summary,
                count(*) as reviews
         from fx_responses group by session_id""",
+    "consolidated_summary_originals": f"""
+        select session_id, cast(sum({words('review_text')}) as bigint) as words, count(*) as reviews from fx_feedback group by session_id""",
     "overview": f"""
         with r as (select * from fx_analysis where ok),
         top as (select session_id, sentiment, count(*) over (partition by session_id) as kinds,
@@ -482,6 +493,8 @@ SQL = {
         from (select *, row_number() over (partition by session_id order by ord desc) as rn from fx_messages)
         where rn <= 3 group by session_id""",
 }
+SQL["durable_inference"] = SQL["batch_inference"]
+SQL["stream_request_log"] = SQL["chat_log_build"].replace("raw as model_response,", "raw as model_response, 3.0 as latency,")
 SQL["stream_kpi"] = SQL["kpi_overall"]
 SQL["stream_requests_per_hour"] = SQL["requests_per_hour"]
 SQL["stream_tokens_by_session"] = SQL["tokens_by_session"]

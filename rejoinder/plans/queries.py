@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rejoinder.functions import text
 from rejoinder.functions.model import Retry
-from rejoinder.plans.stand_in import stand_in
+from rejoinder.testing.stand_in import stand_in
 from rejoinder.operators import (
     analysis,
     chat,
@@ -25,7 +25,7 @@ from rejoinder.operators import (
     rollup,
     themes,
 )
-from rejoinder.plans import fixtures as fx
+from rejoinder.testing import fixtures as fx
 from rejoinder.plans.session import new_path, saved, tune
 from rejoinder.schemas import TONE_KEYS
 from rejoinder.sources import batches as source_batches
@@ -452,6 +452,18 @@ def batch_inference(spark, t, folder):
     )
 
 
+@query
+def durable_inference(spark, t, folder):
+    """A job over some of the prompts, then one over all that asks only for the rest."""
+    path = new_path(spark, "answers")
+    asked = prompts.prompt_direct(t("documents").select("doc_id", F.col("text").alias("feedback"))).select("doc_id", "prompt")
+    inference.durable_inference(asked.filter("doc_id % 3 = 0"), fx.faulty, path, retry=TASK, commit_prompts=500)
+    answered = inference.durable_inference(asked, fx.faulty, path, retry=TASK, commit_prompts=2_000)
+    return answered.select(
+        "doc_id", F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("error", F.lit("")).alias("error")
+    )
+
+
 def analysed(t: fx.Tables) -> DataFrame:
     return analysis.review_analysis(fx.feedback_rows(t), questions(), stand_in, retry=TASK)
 
@@ -530,6 +542,11 @@ def theme_tags_keyword(spark, t, folder):
     )
 
 
+@query
+def theme_tags_phrase(spark, t, folder):
+    return themes.tag_by_phrase(t("documents"), "doc_id", "text", fx.phrases(spark)).select("doc_id", listed("themes"))
+
+
 def labels_of(t: fx.Tables) -> DataFrame:
     """The distinct words of every document as labels."""
     words = t("documents").select("doc_id", F.split("text", r"\s+").alias("labels"))
@@ -598,6 +615,13 @@ def consolidated_summary(spark, t, folder):
     ).select("session_id", "summary", "reviews")
 
 
+@query
+def consolidated_summary_originals(spark, t, folder):
+    """Over the whole reviews, at the usual budget; long ones go in pieces, which the stand-in counts as texts."""
+    summed = rollup.consolidated_summary(fx.feedback_rows(t), "review_text", stand_in, whole_texts=False, retry=TASK)
+    return summed.select("session_id", F.regexp_extract("summary", r"with (\d+) words", 1).cast("bigint").alias("words"), "reviews")
+
+
 @query
 def overview(spark, t, folder):
     """From batches to overview with one model pass, saved before it is rolled up."""
@@ -771,6 +795,24 @@ def chat_log_build(spark, t, folder):
     )
 
 
+@query
+def stream_request_log(spark, t, folder):
+    """Log rows of requests and replies that come as two streams."""
+    path = new_path(spark, "requests")
+    turns = saved(answered_turns(t), "turns")
+    started = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("session_id").cast("bigint") * 1_000 + F.col("ord"))
+    turns.select("session_id", "ord", "text", "history", "is_first", started.alias("started_at")).write.parquet(f"{path}/starts")
+    turns.select("session_id", "ord", "raw", (started + F.expr("interval 3 seconds")).alias("finished_at")).write.parquet(f"{path}/replies")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{path}/{n}").schema).parquet(f"{path}/{n}") for n in ("starts", "replies")]
+    both = runner.run_append(live_log.finished_requests(*streams, ["session_id", "ord"]), "finished")
+    model = fx.model_of(F.col("session_id").cast("bigint"))
+    rows = chat.chat_log_rows(both.filter("status = 'answered'"), fx.prices(spark), model, timestamp=F.col("finished_at"))
+    return rows.select(
+        "session_id", "ord", "user_feedback", "modification_needed", "history", "model_response", "latency", "tokens_used",
+        F.coalesce(F.col("cost").cast("double"), F.lit(-1.0)).alias("cost"),
+    )
+
+
 # ---- deltas and streams ------------------------------------------------------------------
 
 

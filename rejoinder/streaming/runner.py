@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rejoinder.plans.session import new_path
 from rejoinder.sources.chatlog import write_batch
+from rejoinder.streaming import tables
 
 # Refresh of the live figures.
 REFRESH = "5 seconds"
@@ -26,40 +26,41 @@ def _drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None]
     )
 
 
-def run_live(stream: DataFrame, mode: str, path: str, checkpoint: str, every: str = REFRESH):
-    """Start a query that renews ``path``/batch=N on a fixed beat; the caller stops it."""
+def run_live(stream: DataFrame, mode: str, path: str, checkpoint: str, every: str = REFRESH, keys: list[str] | None = None):
+    """Start a query that renews its result under ``path`` on a fixed beat; the caller stops it.
+
+    In update mode ``keys`` names the key of a row; see ``tables.read_newest``. Else each batch is a whole result; see
+    ``tables.read_result``.
+    """
+    def write(rows: DataFrame, number: int) -> None:
+        if keys:
+            tables.write_changes(rows, path, number, keys)
+        else:
+            tables.write_result(rows, path, number)
+
     return (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda rows, batch_id: write_batch(rows, path, batch_id))
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=every)
         .start()
     )
 
 
-def latest_batch(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest complete result under ``path``."""
-    everything = spark.read.schema(_copy(schema).add("batch", T.LongType())).parquet(path)
-    newest = everything.agg(F.max("batch")).first()[0]
-    return everything.filter(F.col("batch") == newest).drop("batch")
-
-
 def run_complete(stream: DataFrame, label: str) -> DataFrame:
     """Result of a query in complete mode once all input is read. For results of bounded size."""
     spark = stream.sparkSession
     path = new_path(spark, label)
-    _drain(stream, "complete", lambda rows, i: write_batch(rows, path, i), f"{path}-checkpoint")
-    return latest_batch(spark, path, stream.schema)
+    _drain(stream, "complete", lambda rows, i: tables.write_result(rows, path, i), f"{path}-checkpoint")
+    return tables.read_result(spark, path, stream.schema)
 
 
 def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Newest row per key of a query in update mode; each batch writes changed keys only."""
     spark = stream.sparkSession
     path = new_path(spark, label)
-    _drain(stream, "update", lambda rows, i: write_batch(rows, path, i), f"{path}-checkpoint")
-    changes = spark.read.schema(_copy(stream.schema).add("batch", T.LongType())).parquet(path)
-    newest = F.max_by(F.struct(*stream.columns), "batch").alias("_row")
-    return changes.groupBy(*keys).agg(newest).select("_row.*")
+    _drain(stream, "update", lambda rows, i: tables.write_changes(rows, path, i, keys), f"{path}-checkpoint")
+    return tables.read_newest(spark, path, stream.schema, keys)
 
 
 def run_append(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -83,12 +84,7 @@ def run_keyed_append(stream: DataFrame, label: str, path: str | None = None) ->
     spark = stream.sparkSession
     path = path or new_path(spark, label)
     _drain(stream, "append", lambda rows, i: write_batch(rows, path, i), f"{path}-checkpoint")
-    return spark.read.schema(_copy(stream.schema).add("batch", T.LongType())).parquet(path).drop("batch")
-
-
-def _copy(schema: T.StructType) -> T.StructType:
-    """``add`` changes a schema in place, so it is given a copy."""
-    return T.StructType(list(schema.fields))
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).drop("batch")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:

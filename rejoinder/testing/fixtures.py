@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rejoinder.plans.stand_in import StandIn
+from rejoinder.testing.stand_in import StandIn
 from rejoinder.operators.flatten import flatten_feedback
 from rejoinder.sources.batches import parse_batches
 
@@ -22,6 +22,11 @@ BATCH_IDS = 100
 
 THEMES = ["the", "die", "les", "que", "with", "this", "Never used"]
 KEYWORDS = [("Warranty", "the"), ("Design", "with"), ("Lender", "die"), ("Design", "this"), ("Sales", "les")]
+# phrases of the themes, with marks and capitals as a list of themes has them
+PHRASES = [
+    ("Warranty", "Of the"), ("Warranty", "the, and"), ("Design", "to the"), ("Lender", "in"), ("Sales", "de la"), ("Late delivery", "que de"),
+    ("Service", "der und"), ("Service", "is-the"), ("Never used", "no such run of words"),
+]
 MODEL_PRICES = [("small-instruct", "0.00015", "0.0002"), ("large-instruct", "0.008", "0.024")]
 
 
@@ -305,6 +310,10 @@ def keywords(spark: SparkSession) -> DataFrame:
     return _constants(spark, ["theme", "keyword"], KEYWORDS)
 
 
+def phrases(spark: SparkSession) -> DataFrame:
+    return _constants(spark, ["theme", "phrase"], PHRASES)
+
+
 def catalog_json(t: Tables) -> DataFrame:
     """Price catalogues from parts, one JSON text per 100 part keys; the key picks the section."""
     key = F.col("p_partkey")

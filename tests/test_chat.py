@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from rejoinder.plans.stand_in import StandIn, stand_in
+from rejoinder.testing.stand_in import StandIn, stand_in
 from rejoinder.operators import chat, prompts
 
 MESSAGES = [

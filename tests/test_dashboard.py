@@ -2,13 +2,15 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.operators import dashboard
+from rejoinder.operators import chat, dashboard
 from rejoinder.schemas import CHAT_LOG
 from rejoinder.sources.chatlog import append_log
 from rejoinder.sources.tables import read_table
+from rejoinder.testing.stand_in import stand_in
 
 T0 = datetime(2024, 3, 1, 10, 15)
 LOG = "id bigint, session_id string, user_feedback string, modification_needed string, history string, model_response string, timestamp timestamp, latency double, tokens_used double, cost decimal(18,8)"
@@ -128,3 +130,33 @@ def test_latest_sorts_no_whole_rows(spark):
     assert {(r.session_id, r.id) for r in latest.collect()} == {("a", 2), ("b", 5)}
     assert [r.id for r in dashboard.latest_by_session(log, "a").collect()] == [2]
     assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_of_one_session_opens_few_files(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(0, 20_000, 1, 16).select(
+        "id", F.concat(F.lit("s"), (F.col("id") % 500).cast("string")).alias("session_id"), F.timestamp_seconds(F.col("id") * 13 + 1_700_000_000).alias("timestamp")
+    )
+    append_log(rows, path)
+    days = {str(f.parent): 0 for f in tmp_path.rglob("*.parquet")}
+    for f in tmp_path.rglob("*.parquet"):
+        days[str(f.parent)] += 1
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(days) == 4 and sum(days.values()) <= len(days) + partitions - 1
+    own = spark.read.parquet(path).filter("session_id = 's7'")
+    assert own.count() == 40 and "EqualTo(session_id,s7)" in own._jdf.queryExecution().executedPlan().toString()
+    for f in tmp_path.rglob("*.parquet"):
+        column = pq.ParquetFile(f).metadata.row_group(0).column(1)
+        names = [r[0] for r in spark.read.parquet(str(f)).select("session_id").collect()]
+        assert names == sorted(names) and column.statistics.min == names[0]
+
+
+def test_first_user_turn_may_follow_others(spark):
+    messages = spark.createDataFrame(
+        [("a", 0, "assistant", "hello"), ("a", 1, "user", "first"), ("a", 2, "assistant", "r"), ("a", 3, "user", "second"), ("b", 0, "user", "only")],
+        "session_id string, ord bigint, role string, text string",
+    )
+    sessions = spark.createDataFrame([("a", "1"), ("b", "2")], "session_id string, survey_id string")
+    master = spark.createDataFrame([(1, "Ann", "rev", 5, 0)], "survey_id bigint, contact string, review_text string, review_rating int, pos bigint")
+    got = chat.chat_replies(messages, sessions, master, stand_in).collect()
+    assert {(r.session_id, r.ord): r.is_first for r in got} == {("a", 1): True, ("a", 3): False, ("b", 0): True}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rejoinder.plans import store
-from rejoinder.plans.stand_in import stand_in
+from rejoinder.testing.stand_in import stand_in
 from rejoinder.operators import revise, rollup
 from rejoinder.operators.lookups import match_revisions, survey_lookup
 from rejoinder.schemas import RESPONSE, TONE_KEYS

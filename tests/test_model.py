@@ -1,13 +1,16 @@
+import glob
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.functions.model import Retry, ask
-from rejoinder.operators.themes import classify
-from rejoinder.plans.stand_in import StandIn, stand_in
+from rejoinder.functions.model import Permanent, Retry, ask
+from rejoinder.operators.themes import classify, tag_by_phrase
+from rejoinder.testing.stand_in import StandIn, stand_in
 from rejoinder.operators import parse
-from rejoinder.operators.inference import batch_inference, run_chain
+from rejoinder.operators.inference import answers_in, batch_inference, durable_inference, run_chain
 from rejoinder.schemas import ANALYSIS_REPLY, THEME_REPLY
 
 
@@ -188,3 +191,87 @@ def test_classify_asks_once_for_each_comment(spark, retry):
     got = classify(comments, "k", "text", taxonomy, F.lit("the"), Counting, retry=retry).collect()
     assert len(got) == 20 and sent.value == 20
     assert all(r.themes_category == ["the"] and r.rejected == ["Something else"] for r in got)
+
+
+def test_errors_that_stay_are_not_tried_again(retry):
+    class Broken:
+        calls = 0
+
+        def generate(self, prompts):
+            Broken.calls += 1
+            raise TypeError("no such argument")
+
+    answers = ask(Broken(), ["a", "b"], retry)
+    assert [(a.error, a.attempts, a.permanent) for a in answers] == [("TypeError: no such argument", 1, True)] * 2
+    assert Broken.calls == 3  # together, then each alone
+
+    class Refusing:
+        def generate(self, prompts):
+            if "bad" in prompts:
+                raise Permanent("refused")
+            return list(prompts)
+
+    assert [(a.raw, a.permanent) for a in ask(Refusing(), ["a", "bad"], Retry(5, 0))] == [("a", False), (None, True)]
+
+
+class Logged:
+    """Writes down what it is asked, in files that outlive the task; fails for good after ``most`` prompts of a run."""
+
+    def __init__(self, folder, most=None):
+        self.folder, self.most = folder, most
+
+    def generate(self, prompts):
+        asked = len(glob.glob(f"{self.folder}/*"))
+        if self.most is not None and asked >= self.most:
+            os._exit(1)  # the worker dies, and so does the job
+        for p in prompts:
+            open(f"{self.folder}/{uuid.uuid4().hex}-{p}", "w").close()
+        if "bad" in prompts:
+            raise Permanent("refused")
+        if "busy" in prompts:
+            raise TimeoutError("busy")
+        return [p.upper() for p in prompts]
+
+
+def test_killed_job_asks_only_for_what_is_missing(spark, tmp_path, retry):
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "answers")
+    os.mkdir(asked)
+    df = spark.createDataFrame([(i, f"p{i % 40}") for i in range(120)] + [(200, None)], "id int, prompt string")
+    calls = {"retry": retry, "batch_size": 1, "commit_prompts": 4, "max_concurrency": 1}
+    with pytest.raises(Exception):
+        durable_inference(df, lambda: Logged(asked, most=14), path, **calls)
+    committed = answers_in(spark, path).count()
+    before = len(os.listdir(asked))
+    assert 8 <= committed <= 14 and before >= 14
+    got = durable_inference(df, lambda: Logged(asked), path, **calls).collect()
+    assert {r.id: r.raw for r in got} == {**{i: f"P{i % 40}" for i in range(120)}, 200: None}
+    assert len(os.listdir(asked)) == before + 40 - committed
+    again = durable_inference(df, lambda: Logged(asked), path, keep_prompt=True, **calls)
+    assert again.columns == ["id", "prompt", "raw", "error", "attempts", "latency_s"] and again.count() == 121
+    assert len(os.listdir(asked)) == before + 40 - committed
+
+
+def test_errors_in_the_durable_table(spark, tmp_path, retry):
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "answers")
+    os.mkdir(asked)
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "busy")], "id int, prompt string")
+    want = {1: ("GOOD", None), 2: (None, "Permanent: refused"), 3: (None, "TimeoutError: busy")}
+    for _ in range(2):
+        got = durable_inference(df, lambda: Logged(asked), path, retry=retry, batch_size=1)
+        assert {r.id: (r.raw, r.error) for r in got.collect()} == want
+    names = [n.rpartition("-")[2] for n in os.listdir(asked)]
+    # what stays is asked once, what ran out of attempts again
+    assert (names.count("good"), names.count("bad"), names.count("busy")) == (1, 1, 2 * retry.max_attempts)
+
+
+def test_phrases(spark, rows):
+    comments = spark.createDataFrame(
+        [(1, "Late  DELIVERY, again."), (2, "late\ndelivery-man"), (3, "latest delivery"), (4, None), (5, ""), (6, "Straße: späte Lieferung!"), (7, "late. late delivery"), (1, "nothing")],
+        "doc bigint, c string",
+    )
+    phrases = spark.createDataFrame(
+        [("Delivery", "late delivery"), ("Delivery", "Delivery,man"), ("People", "man"), ("German", "SPÄTE lieferung"), ("Never", "--"), ("Never", None)], "theme string, phrase string"
+    )
+    got = sorted(((r.doc, r.themes) for r in tag_by_phrase(comments, "doc", "c", phrases).collect()), key=repr)
+    assert got == sorted([(1, ["Delivery"]), (1, []), (2, ["Delivery", "People"]), (3, []), (4, []), (5, []), (6, ["German"]), (7, ["Delivery"])], key=repr)
+    assert tag_by_phrase(comments, "doc", "c", phrases.limit(0)).filter("size(themes) > 0").count() == 0

@@ -1,9 +1,11 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rejoinder.plans.stand_in import stand_in
+from rejoinder.testing.stand_in import stand_in
+from rejoinder.functions.model import Permanent
 from rejoinder.operators import rollup
 
 RESPONSE = "session_id string, pos bigint, feedback_id bigint, Default string, Sentiment string, Positive_Themes array<string>, Negative_Themes array<string>"
@@ -135,3 +137,48 @@ def test_overview_tells_of_a_failed_summary(spark):
     summary = spark.createDataFrame([("a", "", True), ("b", "fine", False)], "session_id string, summary string, failed boolean")
     got = {r.session_id: (r.Summary, r.failed) for r in rollup.overview(replies, summary).collect()}
     assert got == {"a": (None, True), "b": ("fine", False)}
+
+
+@pytest.mark.parametrize("most", [1, 7, 30, 1000])
+def test_split_text_loses_nothing_and_keeps_to_the_size(most):
+    rng = random.Random(most)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "long-word", ". ", "\n", "!", "é", "  ", "x" * 40]) for _ in range(rng.randrange(40)))
+        pieces = rollup.split_text(text, most)
+        assert "".join(pieces) == text and all(len(p) <= most for p in pieces) and (all(pieces) or pieces == [""])
+
+
+def test_split_text_cuts_at_sentences_then_words():
+    assert rollup.split_text("One two. Three four. Five", 12) == ["One two. ", "Three four. ", "Five"]
+    assert rollup.split_text("one two three", 9) == ["one two ", "three"] and rollup.split_text("abcdefgh", 3) == ["abc", "def", "gh"]
+
+
+class Measuring:
+    """Fails on a prompt whose texts together exceed the budget."""
+
+    def generate(self, prompts):
+        for p in prompts:
+            texts = json.loads(p.partition("<texts>")[2].partition("</texts>")[0])
+            if sum(map(len, texts)) > 100:
+                raise Permanent(f"{sum(map(len, texts))} characters")
+        return [f"{len(p) % 97} short" for p in prompts]
+
+
+@pytest.mark.parametrize("block_rows", [3, 1000])
+def test_no_prompt_holds_more_than_the_budget(spark, block_rows):
+    rng = random.Random(5)
+    data = [(f"s{i % 3}", i // 3, " ".join("w" * rng.randrange(1, 12) for _ in range(rng.choice([1, 5, 400])))) for i in range(60)] + [("one", 0, "x" * 5_000), ("none", 0, None)]
+    df = spark.createDataFrame(data, "session_id string, pos bigint, t string")
+    got = rollup.consolidated_summary(df, "t", Measuring, budget=100, block_rows=block_rows, whole_texts=False).collect()
+    assert {r.session_id: (r.reviews, r.failed) for r in got} == {"s0": (20, False), "s1": (20, False), "s2": (20, False), "one": (1, False), "none": (1, False)}
+
+
+def test_summaries_that_do_not_get_shorter_are_an_error(spark, monkeypatch):
+    class Wordy:
+        def generate(self, prompts):
+            return ["x" * 300 for _ in prompts]
+
+    monkeypatch.setattr(rollup, "LEVELS", 3)
+    df = spark.createDataFrame([("s", i, "y" * 40) for i in range(9)], "session_id string, pos bigint, t string")
+    with pytest.raises(RuntimeError, match="do not get shorter"):
+        rollup.consolidated_summary(df, "t", Wordy, budget=100, whole_texts=False)

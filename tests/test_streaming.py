@@ -3,6 +3,7 @@ import json
 import os
 import random
 import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from rejoinder.operators import dashboard, deltas
 from rejoinder.schemas import DELTA_EVENT
 from rejoinder.sources.deltas import read_deltas, stream_deltas
 from rejoinder.streaming import log as live_log
-from rejoinder.streaming import memory, runner
+from rejoinder.streaming import memory, runner, tables
 from rejoinder.streaming.deltas import live_assemble
 
 TEXTS = {m: [f"p{m}.{i} " for i in range(n)] for m, n in ((1, 1), (2, 40), (3, 7), (4, 200), (5, 0))}
@@ -141,7 +142,7 @@ def test_live_query_renews_itself(spark, tmp_path, rows):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert rows(runner.latest_batch(spark, path, figures.schema)) == rows(dashboard.kpi_overall(log))
+    assert rows(tables.read_result(spark, path, figures.schema)) == rows(dashboard.kpi_overall(log))
 
 
 @pytest.mark.parametrize("files", [1, 4])
@@ -210,3 +211,84 @@ def test_a_message_that_comes_again_takes_one_place(spark, tmp_path):
     stream = memory.live_history(spark.readStream.schema("session_id string, ord int, role string, text string").parquet(path))
     kept = runner.run_update(stream, ["session_id"], "again").first()
     assert kept.last_ord == 4 and [m.text for m in kept.history][:2] == ["m2", "m3"] and len(kept.history) == 3
+
+
+def test_events_behind_the_stop_lose_no_message(spark, tmp_path, rows):
+    behind = [(m, len(TEXTS[m]) + 4 + i, json.dumps({"type": "content_block_delta", "delta": {"text": "late"}})) for m in TEXTS for i in range(3)]
+    for files, data in ((1, events() + behind), (2, events()[:150] + behind + events()[150:])):
+        path = write_files(tmp_path / f"in{files}", data, files)
+        done = runner.run_append(live_assemble(stream_deltas(spark, path, files_per_trigger=1)), "t")
+        assert rows(done) == sorted((m, t, True) for m, t in WANT.items())
+
+
+def test_events_after_a_message_was_given_out_are_ignored(spark, tmp_path, rows):
+    path = tmp_path / "in"
+    path.mkdir()
+    for i, data in enumerate([events(), [(2, 60, json.dumps({"type": "content_block_delta", "delta": {"text": "late"}})), (2, 3, None)], events()[:40]]):
+        lines = [json.dumps(dict(zip(("message_id", "seq", "payload"), e, strict=True))) for e in data]
+        (path / f"{i}.json").write_text("\n".join(lines))
+        os.utime(path / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)
+    done = runner.run_append(live_assemble(stream_deltas(spark, str(path), files_per_trigger=1)), "t")
+    assert rows(done) == sorted((m, t, True) for m, t in WANT.items())
+
+
+def test_overlapping_runs(spark, tmp_path, rows):
+    """Files that hold the same stretch of events more than once, cut at different places."""
+    message = [e for e in events() if e[0] == 4]
+    path = tmp_path / "in"
+    path.mkdir()
+    for i, (a, b) in enumerate([(50, 120), (0, 70), (100, 180), (40, 60), (150, 999)]):
+        lines = [json.dumps(dict(zip(("message_id", "seq", "payload"), e, strict=True))) for e in message[a:b]]
+        (path / f"{i}.json").write_text("\n".join(lines))
+    done = runner.run_append(live_assemble(stream_deltas(spark, str(path), files_per_trigger=1)), "t")
+    assert rows(done) == [(4, WANT[4], True)]
+
+
+def test_changes_are_put_together_by_key(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string"
+    want = {}
+    for number in range(11):
+        changed = [(k, f"{number}") for k in (number % 3, 100 + number)]
+        want.update(changed)
+        tables.write_changes(spark.createDataFrame(changed, schema), path, number, ["k"], every=4)
+        newest = tables.read_newest(spark, path, spark.createDataFrame([], schema).schema, ["k"])
+        assert {r.k: r.v for r in newest.collect()} == want
+        # one snapshot and at most four folders of changes
+        assert len({f.rpartition("/")[0] for f in newest.inputFiles()}) <= 5
+    # a batch that is run again replaces itself, compaction and all
+    tables.write_changes(spark.createDataFrame([(10 % 3, "10"), (110, "10")], schema), path, 10, ["k"], every=4)
+    newest = tables.read_newest(spark, path, spark.createDataFrame([], schema).schema, ["k"])
+    assert {r.k: r.v for r in newest.collect()} == want
+    assert len(os.listdir(path)) <= 4 + 4 + 2
+    (tmp_path / "t" / "batch=11").mkdir()  # a writer that was killed has left no mark
+    assert {r.k: r.v for r in tables.read_newest(spark, path, newest.schema, ["k"]).collect()} == want
+
+
+def test_whole_results_do_not_pile_up(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for number in range(5):
+        tables.write_result(spark.createDataFrame([(number,)], "n int"), path, number)
+        read = tables.read_result(spark, path, spark.createDataFrame([], "n int").schema)
+        assert [r.n for r in read.collect()] == [number] and len({f.rpartition("/")[0] for f in read.inputFiles()}) == 1
+    assert len([n for n in os.listdir(path) if n.startswith("batch=")]) == 2
+    assert tables.read_result(spark, str(tmp_path / "none"), read.schema).count() == 0
+
+
+def test_requests_meet_their_replies(spark, tmp_path):
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    starts = [("a", 0, "q0", at(0)), ("a", 1, "q1", at(10)), ("b", 0, "q2", at(20)), ("c", 0, "q3", at(30)), ("z", 0, "last", at(5_000))]
+    replies = [("a", 0, "r0", at(4)), ("b", 0, "r2", at(2_000)), ("x", 0, "r?", at(40)), ("c", 0, "r3", at(30)), ("z", 0, "last", at(5_000))]
+    paths = []
+    for name, rows_, schema in (("starts", starts, "s string, o int, text string, started_at timestamp"), ("replies", replies, "s string, o int, raw string, finished_at timestamp")):
+        df = spark.createDataFrame(rows_, schema)
+        paths.append((str(tmp_path / name), df.schema))
+        for i, part in enumerate((df.filter("s <> 'z'"), df.filter("s = 'z'"))):
+            part.coalesce(1).write.mode("append").parquet(paths[-1][0])
+            time.sleep(0.02)
+    streams = [spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path) for path, schema in paths]
+    done = runner.run_append(live_log.finished_requests(*streams, ["s", "o"], wait="10 minutes", late="1 minute"), "f").collect()
+    got = {(r.s, r.o, r.status): (r.text, r.raw, r.latency_s) for r in done}
+    assert len(got) == len(done) and got == {
+        ("a", 0, "answered"): ("q0", "r0", 4.0), ("a", 1, "missing"): ("q1", None, None), ("b", 0, "missing"): ("q2", None, None), ("b", 0, "unasked"): (None, "r2", None),
+        ("c", 0, "answered"): ("q3", "r3", 0.0), ("x", 0, "unasked"): (None, "r?", None), ("z", 0, "answered"): ("last", "last", 0.0),
+    }
