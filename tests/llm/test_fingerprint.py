@@ -1,5 +1,6 @@
 import hashlib
 import random
+from os.path import commonprefix
 
 import numpy as np
 import pytest
@@ -68,7 +69,7 @@ def plain(rows):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
         a, b = show(text), show(edited)
-        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, fp.likeness(a, b), fp.likeness(a, show(after))))
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, fp.likeness(a, b), fp.likeness(a, show(after)), len(commonprefix([text, edited])), len(commonprefix([text, after]))))
     return sorted(out, key=repr)
 
 
@@ -83,5 +84,16 @@ def test_fingerprints_of_a_table(spark, count):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000, 5000])
+def test_common_prefix(size, monkeypatch):
+    monkeypatch.setattr(fp, "PIECE", 300)
+    powers = [fp.Powers(b, 400) for b in fp.BASES]
+    text = "".join(random.Random(size).choice("abé") for _ in range(size))
+    for other in (text, text + "x", text[:-1], text[: size // 2] + "X" + text[size // 2 + 1 :], "X" + text, ""):
+        for begin in (0, min(10, len(other), size)):
+            want = len(commonprefix([text[begin:], other[begin:]]))
+            assert fp.common_prefix(fp.code_points(text), fp.code_points(other), powers, begin) == want
+
+
 def test_no_documents(spark):
     assert fp.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -30,6 +30,37 @@ def test_pages(body, want):
     assert html.main_text(page(body)) == want
 
 
+CHINESE = "这是一个关于村庄的故事。很久以前,人们在河边建造了房屋,种植水稻,养牛和鸡。孩子们每天早晨去学校。"
+CZECH = "Byl jednou jeden král, který měl tři syny a velkou zahradu. Každý večer chodil po zahradě a počítal jablka na stromech."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><h1>Title</h1><div class='ad'>Buy now</div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+        (f"<article><p>{LONG}</p><p><a href=x>other article</a></p><p>See also</p><p><a href=y>more</a></p><p>Last short.</p></article>", f"{LONG}\nSee also\nLast short."),
+        (f"<div id=page><div>Home</div><p>{CHINESE}</p><p>{CHINESE}</p></div>", None),
+        (f"<div><p>{CZECH}</p><p>{CZECH}</p></div><footer>(c)</footer>", f"{CZECH}\n{CZECH}"),
+        ("<nav>Menu</nav><p>Two short.</p><p>Paragraphs only.</p>", "Two short.\nParagraphs only."),
+        (f"<div class='content-with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='layout sidebar-right'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='comments-open'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p></article><section id='comments'><article><p>{LONG}</p></article></section>", LONG),
+        (f"<article><p>{LONG}</p><div class='related-posts'><article><p>{LONG}</p></article></div><p>End.</p></article>", f"{LONG}\nEnd."),
+        (f"<aside><article><p>{LONG}</p></article></aside><main><p>Short.</p></main>", "Short."),
+    ],
+)
+def test_articles_keep_their_short_blocks(body, want):
+    got = html.main_text(page(body))
+    assert got == want if want is not None else CHINESE in got
+
+
+def test_column_of_the_same_name_is_replaced(spark):
+    pages = spark.createDataFrame([(1, "own", page(f"<article>{LONG}</article>"), 2)], "page_id bigint, Text string, html string, n_chars int")
+    out = html.extract(pages, "text")
+    assert out.columns == ["page_id", "html", "n_chars", "text"] and out.select("text").first()[0] == LONG
+
+
 @pytest.mark.parametrize("broken", ["<", "<a", "<a href='x", "</", "<!--", "<script>", "<p class=\"a>b</p>", "a < b > c", "<" * 50_000, "<a '" * 3_000])
 def test_broken_markup_ends(broken):
     html.main_text(broken)
