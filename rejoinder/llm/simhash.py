@@ -11,6 +11,7 @@ bucket a fingerprint looks for its possible partners in a sorted array; pairs ar
 and a bucket hands on one row for each linked fingerprint instead of all its pairs.
 
 Cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other.
+A text of any length is read whole, its shingles a block at a time.
 Rows with the same ``doc_id`` are rows of their own. A null ``doc_id`` is a value of its own, larger than all others.
 Other columns are not read.
 """
@@ -36,6 +37,8 @@ HALF = 32
 LOW = (1 << HALF) - 1
 # shingles hashed at a time
 BLOCK = 1 << 16
+# index rows that a task holds at a time: their number decides how many tasks there are
+TASK_ROWS = 4_000_000
 # rows of bits that can be summed in one byte
 LANE = 255
 
@@ -173,8 +176,10 @@ def links(distinct: DataFrame) -> DataFrame:
         a, b = lookups(rows.column("side").to_numpy(), number("key"), number("fp"), rows.column("probe").to_numpy().astype(bool))
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    rows = index_rows(distinct)
-    return rows.repartition(partitions(rows.sparkSession), "side", "key").mapInArrow(run, "a bigint, b bigint")
+    rows, spark = index_rows(distinct), distinct.sparkSession
+    # a fingerprint gives two entries, and a probe for each bit of its upper segment, half of which are set as a rule
+    tasks = max(partitions(spark), -(-distinct.count() * (2 + HALF // 2) // TASK_ROWS))
+    return rows.repartition(tasks, "side", "key").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
