@@ -32,6 +32,8 @@ PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_000_003_357, 1_903_147_021)
 SPAN = 12
 SKETCH = 64
+# code points compared at first when two texts are held against each other
+FIRST_STEP = 64
 # code points worked on at a time
 PIECE = 1 << 18
 
@@ -172,6 +174,21 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(2 * jaccard / (1 + jaccard))
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray, powers: list[Powers], begin: int = 0) -> int:
+    """How many code points two texts share from ``begin`` on, by their prefix hashes: in steps of growing length as
+    long as these are equal, then by binary search within the first that is not."""
+    at, step, most = begin, FIRST_STEP, min(len(a), len(b))
+    while at < most:
+        to = min(at + step, most)
+        one, other = Prefixes(a[at:to], powers), Prefixes(b[at:to], powers)
+        shared = to - at if one.equal(0, other, 0, to - at) else one.common_extension(0, other, 0)
+        at += shared
+        if shared < to - (at - shared):
+            break
+        step = min(2 * step, PIECE)
+    return at - begin
+
+
 def edited_text(text: str, following: str) -> str:
     """The last third of the text replaced by as much of the beginning of the following one."""
     cut = len(text) // 3
@@ -193,11 +210,15 @@ class Document:
         edited_print = self.print if edited == self.text else self.hasher.carry_on(code_points(edited), self.kept, self.state)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         near = likeness(self.print, edited_print), likeness(self.print, next_print)
-        return self.doc_id, len(self.text), digest, self.print, edited_print, *near
+        # the edited text is the same up to its last third
+        edited_prefix = self.kept + common_prefix(self.codes, code_points(edited), self.hasher.powers, self.kept)
+        next_prefix = common_prefix(self.codes, code_points(following), self.hasher.powers)
+        return self.doc_id, len(self.text), digest, self.print, edited_print, *near, edited_prefix, next_prefix
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next, head, tail): one row a document.
+    """(part, doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next, edited_prefix, next_prefix, head, head_fp,
+    tail): one row a document. The two prefixes are the lengths that the text shares with the edited and the next one.
 
     Parts hold descending ranges of ``doc_id``. The last document of a part waits for the first of the next: it comes
     with its text in ``tail`` and without what needs its neighbour. The first one's text is in ``head``, its fingerprint in
@@ -219,7 +240,7 @@ def described(docs: DataFrame) -> DataFrame:
                 waiting = now
             yield as_batch(rows, id_type)
         if waiting is not None:
-            yield as_batch([(part, waiting.doc_id, len(waiting.text), None, waiting.print, None, None, None, *first, waiting.text)], id_type)
+            yield as_batch([(part, waiting.doc_id, len(waiting.text), None, waiting.print, *[None] * 5, *first, waiting.text)], id_type)
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
@@ -227,15 +248,15 @@ def described(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, f"part int, doc_id {kind}, {RESULT}, head string, head_fp binary, tail string")
 
 
-RESULT = "n_chars bigint, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
-COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
+RESULT = "n_chars bigint, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double, edited_prefix bigint, next_prefix bigint"
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next", "edited_prefix", "next_prefix"]
 
 
 def as_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     fields = [
         ("part", pa.int32()), ("doc_id", id_type), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.binary()),
-        ("edited_fp", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("head", pa.string()),
-        ("head_fp", pa.binary()), ("tail", pa.string()),
+        ("edited_fp", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+        ("edited_prefix", pa.int64()), ("next_prefix", pa.int64()), ("head", pa.string()), ("head_fp", pa.binary()), ("tail", pa.string()),
     ]
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))

@@ -37,6 +37,8 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text("edited_fp").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "edited_prefix",
+        "next_prefix",
     )
 
 
