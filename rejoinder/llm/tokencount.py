@@ -8,8 +8,8 @@ pre-token ends stores its number of tokens. A document's count is the sum over i
 Documents are never shuffled: each task has a trie of its own, begun anew beyond ``MOST_NODES`` nodes, which changes no count.
 
 Cases: null and empty texts have no pre-tokens and no tokens. Of segmentations with equal scores the one with fewer tokens counts.
-A byte that no piece covers is a token with the score ``UNKNOWN``. Repeated rows are rows of their own. Other columns pass
-through.
+A byte that no piece covers is a token with the score ``UNKNOWN``. Repeated rows are rows of their own. A text of any
+length is read whole. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rejoinder.llm.common import Pieces, extended, slices, texts_of, with_fields
+from rejoinder.llm.common import Pieces, replaced, slices, texts_of
 
 UNKNOWN = -25.0
 MOST_NODES = 1_000_000
@@ -93,8 +93,11 @@ class Counter:
         return sizes, np.array([self.tokens[n].sum() for n in numbered]), np.array([self.score[n].sum() for n in numbered])
 
 
+COLUMNS = ("n_pretokens", "n_tokens", "token_score")
+
+
 def counted(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> DataFrame:
-    """All rows and columns of ``docs``, then n_pretokens, n_tokens and token_score of the whole text."""
+    """All rows and columns of ``docs``, then ``COLUMNS`` of the whole text, which take the place of columns of their names."""
     shipped = docs.sparkSession.sparkContext.broadcast((scores, pattern))  # a vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +105,11 @@ def counted(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> DataFr
         for batch in slices(batches):
             counter = counter or Counter(*shipped.value)
             sizes, tokens, score = counter.count(texts_of(batch))
-            yield extended(
-                batch,
-                n_pretokens=pa.array(sizes, pa.int64()),
-                n_tokens=pa.array(tokens, pa.int64()),
-                token_score=pa.array(score, pa.float64()),
-            )
-
-    whole = with_fields(docs, ("n_pretokens", T.LongType()), ("n_tokens", T.LongType()), ("token_score", T.DoubleType()))
-    return docs.mapInArrow(run, whole)
+            for name, values, kind in zip(COLUMNS, (sizes, tokens, score), (pa.int64(), pa.int64(), pa.float64())):
+                batch = replaced(batch, name, pa.array(values, kind))
+            yield batch
+
+    taken = {c.lower() for c in COLUMNS}
+    kinds = (T.LongType(), T.LongType(), T.DoubleType())
+    own = [f for f in docs.schema.fields if f.name.lower() not in taken]
+    return docs.mapInArrow(run, T.StructType([*own, *map(T.StructField, COLUMNS, kinds)]))
