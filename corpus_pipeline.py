@@ -2,6 +2,11 @@
 
 Every stage is written as Parquet to the shared folder and read again as the next one's documents, so a lost
 executor never repeats an earlier stage. All stages but the last return the columns of ``documents``.
+
+Cases: an empty table goes through all stages and gives no rows; a stage that has nothing to reject keeps all. Null and empty texts
+are clean and near-duplicates of each other (fingerprint zero), so one of them stays. Null ids are kept and come first in the token
+files. Repeated rows are near-duplicates of each other. Texts of any length go through whole. Further columns are carried to the
+token files, which read ``doc_id`` and ``text`` alone.
 """
 
 from __future__ import annotations

@@ -27,10 +27,14 @@ Write the answer to this customer."""
 
 REPLY_WITHOUT_RATING = REPLY.replace("<rating>{rating}</rating>\n", "")
 
-POLICY = """{context_last} {context_first}
-Keep to these policies:
+POLICY = """<rules>
 {core}
-The customer is called {username}.
+</rules>
+<setting>
+{context_first}
+{context_last}
+</setting>
+<addressee>{username}</addressee>
 """
 
 ANALYSIS = """Task: analyse one review.
