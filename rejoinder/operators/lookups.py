@@ -12,9 +12,11 @@ from rejoinder.plans.skew import first_per_key
 def survey_lookup(requests: DataFrame, master: DataFrame) -> DataFrame:
     """Contact, review and rating of each request's survey; null when the survey is unknown.
 
-    The first master row of a survey wins. ``comment_with_review`` is what gets answered.
+    The first master row of a survey wins; ``pos`` numbers the master's rows. ``comment_with_review`` is what gets answered.
     """
-    first = first_per_key(master.filter(F.col("survey_id").isNotNull()), ["survey_id"], ["pos"]).select(
+    # two numbers tell which rows are first; whole rows are only read by the join
+    places = master.filter(F.col("survey_id").isNotNull()).groupBy(F.col("survey_id").alias("_id")).agg(F.min("pos").alias("_pos"))
+    first = master.join(places, (F.col("survey_id") == F.col("_id")) & (F.col("pos") == F.col("_pos")), "left_semi").select(
         F.col("survey_id").alias("_survey"), "contact", "review_text", "review_rating"
     )
     asked = requests.withColumn("survey_key", to_survey_id(F.col("survey_id")))
