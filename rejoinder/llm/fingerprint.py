@@ -176,8 +176,12 @@ def likeness(a: bytes, b: bytes) -> float:
 
 def common_prefix(a: np.ndarray, b: np.ndarray, powers: list[Powers], begin: int = 0) -> int:
     """How many code points two texts share from ``begin`` on, by their prefix hashes: in steps of growing length as
-    long as these are equal, then by binary search within the first that is not."""
-    at, step, most = begin, FIRST_STEP, min(len(a), len(b))
+    long as these are equal, then by binary search within the first that is not. The first few are just compared."""
+    most = min(len(a), len(b))
+    at, step = min(begin + FIRST_STEP, most), 4 * FIRST_STEP
+    other = np.flatnonzero(a[begin:at] != b[begin:at])
+    if len(other):
+        return int(other[0])
     while at < most:
         to = min(at + step, most)
         one, other = Prefixes(a[at:to], powers), Prefixes(b[at:to], powers)
@@ -204,15 +208,16 @@ class Document:
         self.state = hasher.begin(self.codes[: self.kept])
         self.print = hasher.carry_on(self.codes, self.kept, self.state)
 
-    def row(self, following: str, next_print: bytes) -> tuple:
+    def row(self, following: str, next_print: bytes, next_codes: np.ndarray | None = None) -> tuple:
         """What is said of the document once the text behind it is known."""
         edited = edited_text(self.text, following)
-        edited_print = self.print if edited == self.text else self.hasher.carry_on(code_points(edited), self.kept, self.state)
+        codes = self.codes if edited == self.text else code_points(edited)
+        edited_print = self.print if edited == self.text else self.hasher.carry_on(codes, self.kept, self.state)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         near = likeness(self.print, edited_print), likeness(self.print, next_print)
         # the edited text is the same up to its last third
-        edited_prefix = self.kept + common_prefix(self.codes, code_points(edited), self.hasher.powers, self.kept)
-        next_prefix = common_prefix(self.codes, code_points(following), self.hasher.powers)
+        edited_prefix = self.kept + common_prefix(self.codes, codes, self.hasher.powers, self.kept)
+        next_prefix = common_prefix(self.codes, code_points(following) if next_codes is None else next_codes, self.hasher.powers)
         return self.doc_id, len(self.text), digest, self.print, edited_print, *near, edited_prefix, next_prefix
 
 
@@ -236,7 +241,7 @@ def described(docs: DataFrame) -> DataFrame:
                 if waiting is None:
                     first = (text, now.print)
                 else:
-                    rows.append((part, *waiting.row(text, now.print), None, None, None))
+                    rows.append((part, *waiting.row(text, now.print, now.codes), None, None, None))
                 waiting = now
             yield as_batch(rows, id_type)
         if waiting is not None:
