@@ -57,7 +57,22 @@ select conv_id, count(*) as n_turns,
 from turns group by conv_id
 """
 
+TOP_K = """
+with vectors as (
+    select distinct vec_id, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+    from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": DECONTAMINATE,
     "op10_reply_trees": REPLY_TREES,
+    "op12_pivot_top_k": TOP_K,
 }
