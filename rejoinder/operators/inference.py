@@ -108,16 +108,20 @@ def _hashed(df: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
     return hashed, distinct.withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
+# a task's file goes into the table when the task is done, not when the whole job is
+COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 ANSWER_TABLE = f"prompt_hash string, {_ANSWER}, permanent boolean"
 
 
 def answers_in(spark: SparkSession, path: str) -> DataFrame:
-    """The answers of a durable table, one for each prompt: a reply, or else the error that stays, or else the last one."""
-    runs = [f"{path}/{run}/{batch}" for run in store.names(spark, path) for batch in store.names(spark, f"{path}/{run}") if batch.startswith("batch=")]
-    done = [folder for folder in runs if "_SUCCESS" in store.names(spark, folder)]
-    if not done:
+    """The answers of a durable table, one for each prompt: a reply, or else the error that stays, or else the last one.
+
+    A file comes into a batch's folder whole, when its task is done, so folders of jobs that were killed count as well.
+    """
+    batches = [f"{path}/{run}/{batch}" for run in store.names(spark, path) for batch in store.names(spark, f"{path}/{run}") if batch.startswith("batch=")]
+    if not batches:
         return spark.createDataFrame([], ANSWER_TABLE)
-    answers = spark.read.schema(ANSWER_TABLE).parquet(*done)
+    answers = spark.read.schema(ANSWER_TABLE).parquet(*batches)
     best = F.struct(F.col("raw").isNotNull(), "permanent", "raw", "error", "attempts", "latency_s")
     return answers.groupBy("prompt_hash").agg(F.max(best).alias("_a")).select("prompt_hash", *[f"_a.{c}" for c in (*_ANSWERS, "permanent")])
 
@@ -135,10 +139,11 @@ def durable_inference(
 ) -> DataFrame:
     """As :func:`batch_inference`, with the answers kept in a table at ``path``.
 
-    Only prompts without an answer there are sent, each distinct one once, about ``commit_prompts`` at a time; every such
-    micro-batch is committed before the next one begins. So a job that was killed, run again, asks
+    Only prompts without an answer there are sent, each distinct one once, about ``commit_prompts`` at a time: a task has its share
+    of them and commits its answers when it is done, whatever the others do. So a job that was killed, run again, asks
     only for what had not been committed, and a later job asks nothing that an earlier one has asked. Errors that stay are
-    answers too; prompts that ran out of attempts are asked again.
+    answers too; prompts that ran out of attempts are asked again. It is one Spark job, however many prompts there are; only
+    with ``max_concurrency`` the tasks go in micro-batches of so many, each committed before the next one begins.
     """
     spark = df.sparkSession
     hashed, distinct = _hashed(df, prompt)
@@ -147,25 +152,29 @@ def durable_inference(
     count = missing.count()
     if count:
         tasks = max_concurrency or spark.sparkContext.defaultParallelism
-        # one file for each task of a micro-batch
+        # a task's share, and the number of tasks that gives
         files = -(-count // -(-min(count, commit_prompts) // min(count, tasks)))
-        source = new_path(spark, "prompt-files")
-        missing.repartition(files).write.parquet(source)
         run = f"{path}/run-{uuid.uuid4().hex}"
 
         def commit(some: DataFrame, number: int) -> None:
-            call_model(some, make_client, retry, batch_size).write.mode("overwrite").parquet(f"{run}/batch={number}")
-
-        (
-            spark.readStream.schema(missing.schema)
-            .option("maxFilesPerTrigger", min(count, tasks))
-            .parquet(source)
-            .writeStream.foreachBatch(commit)
-            .option("checkpointLocation", new_path(spark, "prompt-checkpoint"))
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+            answers = call_model(some, make_client, retry, batch_size)
+            answers.write.mode("overwrite").options(**COMMIT_BY_TASK).parquet(f"{run}/batch={number}")
+
+        if max_concurrency is None:
+            commit(missing.repartition(files), 0)
+        else:
+            source = new_path(spark, "prompt-files")
+            missing.repartition(files).write.parquet(source)
+            (
+                spark.readStream.schema(missing.schema)
+                .option("maxFilesPerTrigger", min(count, tasks))
+                .parquet(source)
+                .writeStream.foreachBatch(commit)
+                .option("checkpointLocation", new_path(spark, "prompt-checkpoint"))
+                .trigger(availableNow=True)
+                .start()
+                .awaitTermination()
+            )
     answers = answers_in(spark, path).drop("permanent")
     if not keep_prompt:
         hashed = hashed.drop(prompt)

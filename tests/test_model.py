@@ -251,6 +251,22 @@ def test_killed_job_asks_only_for_what_is_missing(spark, tmp_path, retry):
     assert len(os.listdir(asked)) == before + 40 - committed
 
 
+def test_killed_job_of_many_tasks_keeps_what_they_committed(spark, tmp_path, retry):
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "answers")
+    os.mkdir(asked)
+    df = spark.range(60).selectExpr("id", "concat('p', id) as prompt")
+    calls = {"retry": retry, "batch_size": 1, "commit_prompts": 8}
+    with pytest.raises(Exception):
+        durable_inference(df, lambda: Logged(asked, most=40), path, **calls)
+    committed, before = answers_in(spark, path).count(), len(os.listdir(asked))
+    assert 24 <= committed <= before < 60
+    got = durable_inference(df, lambda: Logged(asked), path, **calls).collect()
+    assert {r.id: r.raw for r in got} == {i: f"P{i}" for i in range(60)}
+    assert len(os.listdir(asked)) == before + 60 - committed
+    # one Spark job each, not one for every few prompts
+    assert [os.listdir(run) for run in glob.glob(f"{path}/*")] == [["batch=0"]] * 2
+
+
 def test_errors_in_the_durable_table(spark, tmp_path, retry):
     asked, path = str(tmp_path / "asked"), str(tmp_path / "answers")
     os.mkdir(asked)
