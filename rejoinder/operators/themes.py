@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rejoinder.operators.inference import MakeClient, batch_inference
 from rejoinder.operators.parse import parse_replies
 from rejoinder.operators.prompts import prompt_themes
+from rejoinder.plans.session import saved
 from rejoinder.schemas import THEME_REPLY
 
 
@@ -76,6 +77,8 @@ def tag_by_keyword(comments: DataFrame, key: str, comment: str, keywords: DataFr
 
 # A word is a run of letters and digits; everything else only parts words.
 WORD = r"[\p{L}\p{N}]+"
+# Up to so many first words of phrases are held against each word in place; with more, all runs go to the join.
+MOST_FIRST_WORDS = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -87,23 +90,30 @@ def tag_by_phrase(comments: DataFrame, key: str, comment: str, phrases: DataFram
 
     ``phrases`` has ``theme`` and ``phrase``, of one or more words. Case and the marks between words do not matter, so
     "late delivery" is found in "Late  delivery," and "late-delivery". A comment gives its distinct runs of words, of the lengths that
-    phrases have, to a join by the whole run: only runs that are phrases go on. Rows need no key of their own.
+    phrases have and that begin as one of them does, to a join by the whole run: only runs that are phrases go on. The phrases
+    are saved first, so that Spark knows their size and few of them never make it shuffle the runs. Rows need no key of their own.
     """
-    known = (
+    known = saved(
         phrases.select("theme", words_of(F.col("phrase")).alias("_words"))
         .filter(F.size("_words") > 0)
-        .select("theme", F.array_join("_words", " ").alias("_run"), F.size("_words").alias("_size"))
-        .distinct()
+        .select("theme", F.array_join("_words", " ").alias("_run"), F.get("_words", F.lit(0)).alias("_first"), F.size("_words").alias("_size"))
+        .distinct(),
+        "phrases",
     )
     lengths = sorted(r[0] for r in known.select("_size").distinct().collect())  # a few small numbers
+    firsts = known.select("_size", "_first").distinct().limit(MOST_FIRST_WORDS + 1).collect()
     rows = comments.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.coalesce(words_of(F.col(comment)), F.array().cast("array<string>")).alias("_words"))
 
     def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_words") - n + 1)
-        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " "))
+        starts = F.sequence(F.lit(0), F.size("_words") - n)
+        if len(firsts) <= MOST_FIRST_WORDS:
+            own = [r["_first"] for r in firsts if r["_size"] == n]
+            starts = F.filter(starts, lambda i: F.get("_words", i).isin(own))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("_words", i + k) for k in range(n)]))
 
     none = F.array().cast("array<string>")
-    found = F.array_distinct(F.concat(none, *[F.when(F.size("_words") >= n, runs_of(n)).otherwise(none) for n in lengths]))
-    each = rows.select("_row", F.col(key), F.explode_outer(found).alias("_run"))
-    tagged = each.join(known.select("theme", "_run").distinct(), "_run", "left")
+    # the null stands for the comment itself, which stays without any phrase
+    found = F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), *[F.when(F.size("_words") >= n, runs_of(n)).otherwise(none) for n in lengths]))
+    each = rows.select("_row", F.col(key), F.explode(found).alias("_run"))
+    tagged = each.join(known.select("theme", "_run").distinct(), "_run", "left").filter("theme is not null or _run is null")
     return tagged.groupBy("_row").agg(F.first(key, ignorenulls=True).alias(key), F.sort_array(F.collect_set("theme")).alias("themes")).drop("_row")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rejoinder.functions.model import Permanent, Retry, ask
 from rejoinder.operators.themes import classify, tag_by_phrase
 from rejoinder.testing.stand_in import StandIn, stand_in
-from rejoinder.operators import parse
+from rejoinder.operators import parse, themes
 from rejoinder.operators.inference import answers_in, batch_inference, durable_inference, run_chain
 from rejoinder.schemas import ANALYSIS_REPLY, THEME_REPLY
 
@@ -291,3 +291,15 @@ def test_phrases(spark, rows):
     got = sorted(((r.doc, r.themes) for r in tag_by_phrase(comments, "doc", "c", phrases).collect()), key=repr)
     assert got == sorted([(1, ["Delivery"]), (1, []), (2, ["Delivery", "People"]), (3, []), (4, []), (5, []), (6, ["German"]), (7, ["Delivery"])], key=repr)
     assert tag_by_phrase(comments, "doc", "c", phrases.limit(0)).filter("size(themes) > 0").count() == 0
+
+
+def test_few_phrases_do_not_make_the_runs_of_words_shuffle(spark, monkeypatch):
+    comments = spark.range(50).selectExpr("id", "repeat('late delivery of the goods ', 40) as c")
+    phrases = spark.createDataFrame([("Delivery", "late delivery"), ("Goods", "The goods"), ("Never", "late goods")], "theme string, phrase string")
+    tagged = tag_by_phrase(comments, "id", "c", phrases)
+    assert [tuple(r.themes) for r in tagged.collect()] == [("Delivery", "Goods")] * 50
+    # as planned, before any stage has run
+    plan = tag_by_phrase(comments, "id", "c", phrases)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(themes, "MOST_FIRST_WORDS", 1)  # now all runs go to the join
+    assert [tuple(r.themes) for r in tag_by_phrase(comments, "id", "c", phrases).collect()] == [("Delivery", "Goods")] * 50
