@@ -18,6 +18,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even when the split costs one more shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a worker holds a batch several times (Arrow, strings, prompts, replies), so long texts come a few at a time
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
