@@ -1,9 +1,11 @@
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 
 from rejoinder.testing.stand_in import StandIn, stand_in
 from rejoinder.operators import chat, prompts
+from rejoinder.plans.session import tune
 
 MESSAGES = [
     ("1", 0, "user", "first question"),
@@ -92,3 +94,15 @@ def test_log_rows(spark, inputs, retry):
     whole = {(r.session_id, r.ord): r for r in chat.chat_log_rows(replies, prices, F.lit("m"), price_whole_prompt=True).collect()}
     assert whole["1", 0].cost > first.cost
     assert {r.cost for r in chat.chat_log_rows(replies, prices, F.lit("x")).collect()} == {None}
+
+
+def test_long_texts_come_to_a_worker_a_few_at_a_time(spark):
+    # 24 MB of text in one partition
+    texts = tune(spark).range(0, 240, 1, 1).selectExpr("id", "repeat('x', 100000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    got = [r.rows for r in texts.mapInPandas(sizes, "rows long").collect()]
+    assert sum(got) == 240 and max(got) <= 60
