@@ -265,16 +265,14 @@ def delta_events(documents: DataFrame) -> DataFrame:
 
     In between come a start event, an event of a type to ignore and one without payload.
     """
-    def event(kind, text=None):
-        fields = [F.lit(kind).alias("type")]
-        if text is not None:
-            fields.append(F.struct(text.alias("text")).alias("delta"))
-        return F.to_json(F.struct(*fields))
-
+    # JSON escapes character by character and never a space, so a text is escaped whole and then cut
+    escaped = F.to_json(F.struct("text"))
+    inside = F.substring(escaped, F.lit(len('{"text":"') + 1), F.length(escaped) - len('{"text":""}'))
+    pieces = F.split(F.when(F.col("text").isNotNull(), inside), "(?<= )")
     payloads = F.concat(
-        F.array(event("message_start"), F.lit(None).cast("string"), event("ping")),
-        F.transform(F.split("text", "(?<= )"), lambda piece: event("content_block_delta", piece)),
-        F.array(event("message_stop")),
+        F.array(F.lit('{"type":"message_start"}'), F.lit(None).cast("string"), F.lit('{"type":"ping"}')),
+        F.transform(pieces, lambda piece: F.concat(F.lit('{"type":"content_block_delta","delta":{"text":"'), piece, F.lit('"}}'))),
+        F.array(F.lit('{"type":"message_stop"}')),
     )
     return documents.select(F.col("doc_id").alias("message_id"), F.posexplode(payloads).alias("seq", "payload")).select(
         "message_id", F.col("seq").cast("bigint").alias("seq"), "payload"

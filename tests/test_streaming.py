@@ -14,6 +14,7 @@ from rejoinder.sources.deltas import read_deltas, stream_deltas
 from rejoinder.streaming import log as live_log
 from rejoinder.streaming import memory, runner, tables
 from rejoinder.streaming.deltas import live_assemble
+from rejoinder.testing import fixtures
 
 TEXTS = {m: [f"p{m}.{i} " for i in range(n)] for m, n in ((1, 1), (2, 40), (3, 7), (4, 200), (5, 0))}
 
@@ -292,3 +293,21 @@ def test_requests_meet_their_replies(spark, tmp_path):
         ("a", 0, "answered"): ("q0", "r0", 4.0), ("a", 1, "missing"): ("q1", None, None), ("b", 0, "missing"): ("q2", None, None), ("b", 0, "unasked"): (None, "r2", None),
         ("c", 0, "answered"): ("q3", "r3", 0.0), ("x", 0, "unasked"): (None, "r?", None), ("z", 0, "answered"): ("last", "last", 0.0),
     }
+
+
+def test_delta_events_of_odd_texts(spark):
+    texts = ["a b", "", " ", "two  spaces ", 'q"u\\o/te" \n\t\r\x01 end', "Grüße 😀 \u2028 x", "</s> {\"text\":\"\"} ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = fixtures.delta_events(docs)
+    # built in the plan as literals, not piece by piece as structs
+    assert "to_json" in made._jdf.queryExecution().analyzed().toString() and "named_struct(type" not in made._jdf.queryExecution().analyzed().toString()
+    got = {}
+    for r in sorted(made.collect(), key=lambda r: (r.message_id, r.seq)):
+        got.setdefault(r.message_id, []).append(r.payload)
+    one = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct("text").alias("delta"))).alias("payload")
+    for i, text in enumerate(texts[:-1]):
+        pieces = [p + " " for p in text.split(" ")[:-1]] + [text.split(" ")[-1]]
+        want = [r.payload for r in spark.createDataFrame([(p,) for p in pieces], "text string").coalesce(1).select(one).collect()]
+        assert got[i] == ['{"type":"message_start"}', None, '{"type":"ping"}', *want, '{"type":"message_stop"}']
+        assert "".join(json.loads(p)["delta"]["text"] for p in got[i][3:-1]) == text
+    assert len(texts) - 1 not in got  # a null text has no events
