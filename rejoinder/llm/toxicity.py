@@ -210,7 +210,8 @@ class Landmarks(Weights):
 
 
 class Segments:
-    """Decisions of one or more machines on the segments of texts; each distinct word of a task is decided once."""
+    """Decisions of one or more machines on the segments of texts; each distinct word of a task is decided once, and words
+    that differ in the marks around their letters only are decided together."""
 
     def __init__(self, machines: dict):
         self.weights = Weights(machines["letters"], machines["known"], machines["weights"])
@@ -221,6 +222,7 @@ class Segments:
     def forget(self) -> None:
         self.known = Pieces()
         self.values = np.zeros((0, len(self.bias)))
+        self.runs, self.run_values = Pieces(), np.zeros((0, len(self.bias)))
         self.single = np.zeros(0, dtype=bool)
         self.lettered = np.zeros(0, dtype=bool)
         self.strings: list[str | list[str]] = []  # what was decided; of windows the strongest for each machine
@@ -254,7 +256,9 @@ class Segments:
         runs = [[r for r in NOT_LETTERS.split(w) if r] if not w.isalpha() else [w] for w in words]
         plain = [i for i, r in enumerate(runs) if len(r) == 1 and len(r[0]) <= PIECE]
         values = np.tile(self.bias, (len(words), 1))
-        values[plain] = self.decide([runs[i][0] for i in plain])
+        at = [self.runs[runs[i][0]] for i in plain]
+        self.run_values = np.concatenate([self.run_values, self.decide(self.runs.take_new())])
+        values[plain] = self.run_values[at]
         strings: list[str | list[str]] = [r[0] if len(r) == 1 else "" for r in runs]
         for i, r in enumerate(runs):
             if len(r) > 1 or r and len(r[0]) > PIECE:

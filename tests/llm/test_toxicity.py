@@ -151,3 +151,17 @@ def test_scores_of_obfuscated_and_glued_insults(spark, made):
     texts = [f"the river {w} stone" for w in bad] + ["the river stone", "music " * 400, "green-paper, table/window", "ab" * 30 + "cd" * 30]
     got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()
     assert {r["doc_id"]: r["toxicity"] >= 0.5 for r in got} == {i: i < len(bad) for i in range(len(texts))}
+
+
+def test_words_with_the_same_letters_are_decided_once():
+    marks = toxicity.Landmarks(["idiot", "stupid"])
+    segments = toxicity.Segments(marks.machines(np.array([[1.0], [0.5]]), np.array([-0.5]), [5, 6, 7]))
+    asked, decide = [], segments.decide
+    segments.decide = lambda strings: (asked.extend(strings), decide(strings))[1]
+    texts = ["You idiot, you IDIOT! (idiot)", "an idiot. 'stupid' stupid;", "", "... 12"]
+    for _ in range(2):
+        facts = list(segments.facts(texts))
+    assert sorted(asked) == ["an", "idiot", "stupid", "you"]
+    plain = toxicity.Segments(marks.machines(np.array([[1.0], [0.5]]), np.array([-0.5]), [5, 6, 7]))
+    want = plain.decide(["idiot", "stupid"])
+    assert np.allclose(facts[0][0], want[0]) and np.allclose(facts[1][0], want.max(axis=0))
