@@ -43,14 +43,16 @@ HEADER = "<4sBIQI"  # magic, bits per plane, ids per block, ids, blocks
 # the mark behind documents; a text that has it is encoded whole
 END = "\x1f"
 # bytes hashed at a time, and the base of the hash
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 LETTERS = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
-# white space of ASCII but for the space and the line end
+# white space of ASCII but for the space and the line end, and that beyond ASCII
 RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE = "".join(chr(c) for c in range(128, 0x3001) if chr(c).isspace())
+BLANKS = frozenset(map(ord, " \n" + RARE))
 # words encoded in one go
-RUN = 2_000
-# pieces of text remembered with their ids; beyond it a task starts anew
+RUN = 100
+# pieces of text remembered with their ids; beyond it a worker starts anew
 REMEMBERED = 1_000_000
 
 
@@ -89,7 +91,7 @@ class Encoder:
         self.flat, self.sizes = np.array([self.end_id], dtype=np.uint32), np.array([1], dtype=np.int64)
 
     def is_plain(self, text: str) -> bool:
-        if text.isascii() and not any(c in text for c in RARE):
+        if not any(c in text for c in RARE) and (text.isascii() or not any(c in text for c in WIDE)):
             # the only white space is spaces and line ends
             return not any(c in text for c in ("  ", " \n", "\n ", "\n\n", *self.special))
         return not self.odd.search(text)
@@ -118,34 +120,37 @@ class Encoder:
         """A polynomial in the bytes of each piece, modulo 2**64; the pieces lie within one segment."""
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+            values = data.astype(np.uint64)
+            values += np.uint64(1)
+            values *= self.up[: len(data)]
+            np.cumsum(values, out=sums[1:])
             found = (sums[starts + lengths] - sums[starts]) * self.down[starts]
             return found ^ (found >> np.uint64(29)) ^ (lengths.astype(np.uint64) << np.uint64(48))
 
     def learn(self, pieces: list[bytes], hashes: np.ndarray) -> None:
-        """Encode new pieces, words behind a space many at a time: the one token with the space starts each."""
-        new = [p.decode("utf-8") for p in pieces]
-        joined = np.array([p[:1] == " " and len(p) > 1 and not p[-1].isspace() for p in new], dtype=bool)
-        words = [p for p, j in zip(new, joined.tolist()) if j]
-        runs = ["".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+        """Encode new pieces, in ascending order of their hashes, words behind a space many at a time: the one token with the
+        space starts each."""
+        ends_blank = (p[-1] in BLANKS if p[-1] < 128 else p.decode("utf-8")[-1].isspace() for p in pieces)
+        joined = np.array([p[0] == 32 and len(p) > 1 and not b for p, b in zip(pieces, ends_blank)], dtype=bool)
+        words = [p for p, j in zip(pieces, joined.tolist()) if j]
+        runs = [b"".join(words[i : i + RUN]).decode("utf-8") for i in range(0, len(words), RUN)]
         run_ids, _ = self.each(runs)
         starts = np.flatnonzero(self.begins[run_ids])
-        other_ids, other_sizes = self.each([p for p, j in zip(new, joined.tolist()) if not j])
-        sizes = np.zeros(len(new), dtype=np.int64)
+        other_ids, other_sizes = self.each([p.decode("utf-8") for p, j in zip(pieces, joined.tolist()) if not j])
+        sizes = np.zeros(len(pieces), dtype=np.int64)
         sizes[joined] = np.diff(np.append(starts, len(run_ids)))
         sizes[~joined] = other_sizes
         from_run = np.repeat(joined, sizes)
         flat = np.empty(len(from_run), dtype=np.uint32)
         flat[from_run], flat[~from_run] = run_ids, other_ids
-        numbers = len(self.sizes) + np.arange(len(new))
+        numbers = len(self.sizes) + np.arange(len(pieces))
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.places = np.concatenate([self.places, len(self.letters) + np.cumsum(lengths) - lengths])
         self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(pieces), dtype=np.uint8)])
         self.lengths = np.concatenate([self.lengths, lengths])
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.numbers = every[order], np.concatenate([self.numbers, numbers])[order]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.numbers = np.insert(self.hashes, at, hashes), np.insert(self.numbers, at, numbers)
 
     def numbered(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray | None:
         """The number of each piece; None if two pieces share a hash."""
@@ -161,7 +166,9 @@ class Encoder:
         numbers = self.numbers[at][place]
         if not np.array_equal(self.lengths[numbers], lengths):
             return None
-        known = self.letters[np.repeat(self.places[numbers] - starts, lengths) + np.arange(len(data))]
+        places = np.repeat(self.places[numbers] - starts, lengths)
+        places += np.arange(len(data))
+        known = self.letters[places]
         return numbers if np.array_equal(known, data) else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +210,14 @@ class Encoder:
         return np.concatenate(docs), np.array(list(map(len, docs)), dtype=np.int64)
 
 
+def kept_encoder(shipped: dict, end_id: int) -> Encoder:
+    """The encoder of a worker, with the pieces its earlier tasks have learned: a worker unpacks a broadcast once, so what is put
+    into it stays for the next task."""
+    if "encoder" not in shipped:
+        shipped["encoder"] = Encoder(shipped["tokenizer"], end_id)
+    return shipped["encoder"]
+
+
 def pack(ids: np.ndarray, plane_bits: int = 8, block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
     """A chunk: header, a table of block sizes and plane sizes, the compressed planes."""
     compress = zstandard.ZstdCompressor(level=level).compress
@@ -256,7 +271,7 @@ def chunks(
     """The rows of the file format. One shuffle: texts into ranges of ``doc_id``."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shipped = spark.sparkContext.broadcast(tokenizer_json)  # the tokenizer's file, of fixed size
+    shipped = spark.sparkContext.broadcast({"tokenizer": tokenizer_json})  # the tokenizer's file, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder = TaskContext.get().partitionId(), None
@@ -273,7 +288,7 @@ def chunks(
 
         form = None
         for batch in slices(batches, most=4 << 20):
-            encoder = encoder or Encoder(shipped.value, end_id)
+            encoder = encoder or kept_encoder(shipped.value, end_id)
             form = form or pa.schema([
                 ("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                 ("payload", pa.binary()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("counts", pa.list_(pa.int64())),

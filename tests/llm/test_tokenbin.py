@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,6 +33,28 @@ def test_encoder_equals_library(library):
         assert ids.tolist() == sum(want, [])
 
 
+def test_every_white_space_and_marks_behind_words(library):
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [t for b in blanks for t in (f"one{b}two three", f" é{b}{b}ü o", f"ß ñ.{b}", f"{b}", f"日本{b} a")]
+    encoder = tokenbin.Encoder(tokenizer_json())
+    assert [encoder.is_plain(t) for t in texts] == [not encoder.odd.search(t) for t in texts]
+    ids, _ = encoder.encode(texts)
+    assert ids.tolist() == sum((plain(library, t) for t in texts), [])
+
+
+def test_text_of_several_segments_and_pieces_known_from_a_task_before(library):
+    text = " ".join(f"wörd{i % 7919} {i}" for i in range(120_000)) + "."
+    assert len(text) > tokenbin.SEGMENT
+    shipped = {"tokenizer": tokenizer_json()}
+    for _ in range(2):  # two tasks of a worker
+        encoder = tokenbin.kept_encoder(shipped, 0)
+        before = len(encoder.sizes)
+        ids, sizes = encoder.encode([text, "", text])
+        want = plain(library, text)
+        assert sizes.tolist() == [len(want), 1, len(want)] and ids.tolist() == [*want, 0, *want]
+    assert before > 7919 and len(encoder.sizes) == before
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 @pytest.mark.parametrize("ids", [[], [0], [0, 0, 0], list(range(70_000)), [2**32 - 1, 0, 7]])
 def test_round_trip_of_planes(bits, ids):
@@ -77,3 +100,18 @@ def test_segments_and_starting_anew_change_nothing(library, monkeypatch, segment
         ids, sizes = encoder.encode(texts)
         assert ids.tolist() == sum((plain(library, t) for t in texts), [])
         assert sizes.tolist() == [len(plain(library, t)) for t in texts]
+
+
+def test_tasks_of_a_worker_share_the_encoder(spark):
+    shipped = spark.sparkContext.broadcast({"tokenizer": tokenizer_json()})
+
+    def run(batches):
+        for _ in batches:
+            pass
+        known = "encoder" in shipped.value
+        tokenbin.kept_encoder(shipped.value, 0)
+        yield pa.RecordBatch.from_pydict({"known": [known]})
+
+    # far more tasks than workers
+    got = [r.known for r in spark.range(0, 40, 1, 40).mapInArrow(run, "known boolean").collect()]
+    assert len(got) == 40 and sum(got) >= 20
