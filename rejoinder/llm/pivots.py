@@ -10,6 +10,11 @@ takes in ``GROWTH`` times as many, so the number of rounds grows with the logari
 first annulus whose bound lies below its k-th best score so far; equal bounds are still visited, as ties go
 to the smaller id. Queries go by in blocks, and a block meets only the chunks that one of its queries has to see.
 
+Memory doesn't grow with the table. The plan of a round has one row for each block, with a bit for each query and annulus; from it
+a block's queries are sent once to each part of a cell, which is ``CELL`` neighbouring annuli, whatever annuli they visit there. A
+chunk or block holds at most ``ROW_BYTES`` of vectors, a part at most ``MOST_CHUNKS`` chunks, and saved tables of them have small
+row groups and pages, as Spark reads a row group at once.
+
 Pivots and ring edges are fitted to at most ``SAMPLE_ROWS`` vectors chosen by a hash; any pivots and edges give the
 same result. The directory of annuli has at most ``PIVOTS * RINGS`` rows; nothing else is sent to all tasks.
 
@@ -37,12 +42,18 @@ PIVOTS, RINGS, SAMPLE_ROWS = 256, 8, 8_192
 # vectors for each pivot, until there are PIVOTS of them
 PIVOT_ROWS = 4_096
 CHUNK_ROWS, QUERY_ROWS = 1_024, 256
-# chunks of an annulus that stay together; a large annulus is spread over many tasks
-PART_CHUNKS = 8
+# bytes of vectors in one row, so that long vectors come fewer at a time
+ROW_BYTES = 256 << 10
+# annuli that a query is sent to once, at most as many as a long has bits
+CELL = 16
+# chunks of a cell that stay together, about a share of 1 / PARTS of all; a large cell is spread over many tasks
+PARTS, PART_CHUNKS, MOST_CHUNKS = 64, 8, 256
+# for tables whose rows have hundreds of kilobytes: a reader holds a row group, a codec holds a page
+WIDE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 16, "parquet.enable.dictionary": False}
 FIRST_ROWS, GROWTH = 2_048, 8
 LARGEST_NORM = float(1 << 62)
-# inner products below this are exact in doubles
-EXACT = float(1 << 53)
+# inner products below these are exact in singles and doubles
+EXACT_SINGLE, EXACT = float(1 << 24), float(1 << 53)
 ROUNDING = 1e-6
 
 
@@ -102,6 +113,7 @@ class Directory:
     """What the annuli hold: at most ``PIVOTS * RINGS`` of them."""
 
     def __init__(self, annuli: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray, norm: np.ndarray, rows: np.ndarray, parts: np.ndarray):
+        # parts are those of the annulus' cell
         self.annuli, self.pivot, self.low, self.high, self.norm, self.rows, self.parts = annuli, pivot, low, high, norm, rows, parts
 
     def bounds(self, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -131,6 +143,7 @@ def keyed(rows: DataFrame, fit: tuple[np.ndarray, np.ndarray], dimensions: int)
 
 def packed(rows: DataFrame, dimensions: int, kind: str, most: int, total: int, by_annulus: bool) -> DataFrame:
     """Vectors sorted by annulus and distance, at most ``most`` in a row as the bytes of their ids and of their matrix."""
+    most = max(1, min(most, ROW_BYTES // (np.dtype(kind).itemsize * dimensions)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, kept = TaskContext.get().partitionId() << 32, 0, []
@@ -175,42 +188,44 @@ class Index:
         self.spark, self.rows, self.n, self.dimensions = rows.sparkSession, rows, facts["n"], facts["d"] or 0
         if not self.n:
             return
-        self.kind = "<i4" if facts["most"] < 1 << 31 else "<i8"
+        self.kind = next((t for t, bits in (("<i2", 15), ("<i4", 31)) if facts["most"] < 1 << bits), "<i8")
         sample = rows.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(sample_rows).select("x").toArrow().column("x").combine_chunks()
         fit = Fit(matrix(sample, self.dimensions), max(1, min(pivots, self.n // PIVOT_ROWS)))
         self.fit = fit.pivots, fit.edges
         self.keyed = saved(keyed(rows, self.fit, self.dimensions), "vectors-keyed")
-        chunks = saved(packed(self.keyed, self.dimensions, self.kind, CHUNK_ROWS, self.n, True), "pivot-index")
+        chunks = saved(packed(self.keyed, self.dimensions, self.kind, CHUNK_ROWS, self.n, True), "pivot-index", **WIDE_ROWS)
         # a row for each annulus
         found = chunks.groupBy("annulus").agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("chunks")
         ).orderBy("annulus").collect()
         column = lambda c: np.array([r[c] for r in found])
-        parts = -(-column("chunks") // PART_CHUNKS)
-        rings = fit.edges.shape[1] + 1
-        self.directory = (column("annulus"), column("annulus") // rings, *map(column, ("low", "high", "norm", "rows")), parts)
-        listed = self.spark.createDataFrame([(int(a), int(p)) for a, p in zip(column("annulus"), parts)], "annulus int, parts int")
-        # one row for each annulus
-        self.chunks = chunks.join(F.broadcast(listed), "annulus").withColumn("part", F.pmod(F.xxhash64("number"), "parts").cast("int"))
+        cell, rings = column("annulus") // CELL, fit.edges.shape[1] + 1
+        chunks_of = np.bincount(cell, weights=column("chunks")).astype(np.int64)
+        parts = -(-chunks_of // min(max(PART_CHUNKS, chunks_of.sum() // PARTS), MOST_CHUNKS))
+        self.directory = (column("annulus"), column("annulus") // rings, *map(column, ("low", "high", "norm", "rows")), parts[cell])
+        listed = self.spark.createDataFrame([(c, n) for c, n in enumerate(parts.tolist()) if n], "cell int, parts int")
+        near = chunks.withColumns({"cell": F.expr(f"cast(annulus div {CELL} as int)"), "bit": F.col("annulus") % CELL})
+        # one row for each cell
+        self.chunks = near.join(F.broadcast(listed), "cell").withColumn("part", F.pmod("number", "parts").cast("int"))
 
     def query_blocks(self, which: Column) -> DataFrame:
         asked = self.keyed.filter(which)
         blocks = packed(asked, self.dimensions, self.kind, QUERY_ROWS, asked.count(), False)
-        return saved(blocks.select(F.col("number").alias("block"), F.col("ids").alias("query_ids"), F.col("x").alias("queries")), "query-blocks")
+        return saved(blocks.select(F.col("number").alias("block"), F.col("ids").alias("query_ids"), F.col("x").alias("queries")), "query-blocks", **WIDE_ROWS)
 
 
 def visits(blocks: DataFrame, best: DataFrame | None, index: Index, k: int, start: int, target: int) -> DataFrame:
-    """(annulus, part, block, at, ids, asked, floors): the annuli that queries of a block visit in this round.
+    """(block, query_ids, queries, floors, needs): for each block, a bit for each query and annulus that it visits in this round.
 
     In falling order of bounds, a query's annuli behind those that hold its first ``start`` vectors, up to those
     that hold ``target``, as far as their bounds reach its k-th best score.
     """
     shipped = index.spark.sparkContext.broadcast((index.fit[0], index.directory))  # pivots and directory
     kind, dimensions = index.kind, index.dimensions
-    schema = "annulus int, part int, block bigint, at binary, asked_ids binary, asked binary, floors binary"
-    names = ["annulus", "part", "block", "at", "asked_ids", "asked", "floors"]
+    schema = "block bigint, query_ids binary, queries binary, floors binary, needs binary"
+    names = ["block", "query_ids", "queries", "floors", "needs"]
 
-    def plan(block: int, ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def plan(block: int, ids: bytes, queries: bytes, x: np.ndarray, floor: np.ndarray) -> list[pa.RecordBatch]:
         pivots, columns = shipped.value
         directory = Directory(*columns)
         bounds = directory.bounds(x, pivots)
@@ -221,17 +236,10 @@ def visits(blocks: DataFrame, best: DataFrame | None, index: Index, k: int, star
         wanted = (before >= start) & (before < target) & (sorted_bounds >= floor[:, None])
         needs = np.zeros_like(wanted)
         np.put_along_axis(needs, order, wanted, axis=1)
-        for a in np.flatnonzero(needs.any(axis=0)).tolist():
-            own = np.flatnonzero(needs[:, a])
-            parts = int(directory.parts[a])
-            one = [own.astype(np.int32).tobytes(), ids[own].tobytes(), x[own].astype(kind).tobytes(), floor[own].tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(directory.annuli[a])] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array([block] * parts, pa.int64()),
-                    *[pa.array([v] * parts, pa.binary()) for v in one],
-                ],
-                names=names,
-            )
+        if not needs.any():
+            return []
+        row = [block, ids, queries, floor.tobytes(), np.packbits(needs, axis=1).tobytes()]
+        return [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64(), *[pa.binary()] * 4])], names=names)]
 
     def vectors(payload: bytes) -> np.ndarray:
         return np.frombuffer(payload, dtype=kind).reshape(-1, dimensions).astype(np.int64)
@@ -243,62 +251,102 @@ def visits(blocks: DataFrame, best: DataFrame | None, index: Index, k: int, star
             for batch in batches:
                 for row in batch.to_pylist():
                     x = vectors(row["queries"])
-                    yield from plan(row["block"], np.frombuffer(row["query_ids"], dtype=np.int64), x, np.full(len(x), lowest))
+                    yield from plan(row["block"], row["query_ids"], row["queries"], x, np.full(len(x), lowest))
 
         return blocks.mapInArrow(run, schema)
 
     def again(own: pa.Table, found: pa.Table) -> pa.Table:
         """A block, and at most k scores for each of its queries."""
-        x = vectors(own.column("queries")[0].as_py())
+        queries = own.column("queries")[0].as_py()
+        x = vectors(queries)
         floor = np.full(len(x), lowest)
         at = found.column("at").to_numpy()
         full = np.bincount(at, minlength=len(x)) >= k
         least = np.full(len(x), np.iinfo(np.int64).max)
         np.minimum.at(least, at, found.column("score").to_numpy())
         floor[full] = least[full]
-        planned = list(plan(own.column("block")[0].as_py(), np.frombuffer(own.column("query_ids")[0].as_py(), dtype=np.int64), x, floor))
+        planned = plan(own.column("block")[0].as_py(), own.column("query_ids")[0].as_py(), queries, x, floor)
         if planned:
             return pa.Table.from_batches(planned)
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)], names=names)
+        return pa.table([pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 4)], names=names)
 
     return blocks.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(again, schema)
 
 
+def sent(planned: DataFrame, index: Index) -> DataFrame:
+    """(cell, part, bits, block, at, asked_ids, asked, floors, needs): the queries of a block that visit a cell, once for each part of its chunks.
+
+    ``needs`` has the annuli of the cell that each query visits, one bit each, and ``bits`` all of them.
+    """
+    shipped = index.spark.sparkContext.broadcast(index.directory)
+    kind, dimensions, size = index.kind, index.dimensions, CELL
+    names = ["cell", "part", "bits", "block", "at", "asked_ids", "asked", "floors", "needs"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(*shipped.value)
+        bit = np.int64(1) << (directory.annuli % size).astype(np.int64)
+        near = [(c, np.flatnonzero(directory.annuli // size == c)) for c in np.unique(directory.annuli // size).tolist()]
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, floor = np.frombuffer(row["query_ids"], dtype=np.int64), np.frombuffer(row["floors"], dtype=np.int64)
+                x = np.frombuffer(row["queries"], dtype=kind).reshape(-1, dimensions)
+                needs = np.unpackbits(np.frombuffer(row["needs"], dtype=np.uint8).reshape(len(ids), -1), axis=1, count=len(bit))
+                for cell, annuli in near:
+                    bits = needs[:, annuli] @ bit[annuli]
+                    at = np.flatnonzero(bits).astype(np.int32)
+                    if not len(at):
+                        continue
+                    one = [int(np.bitwise_or.reduce(bits)), row["block"], *[a.tobytes() for a in (at, ids[at], x[at], floor[at], bits[at])]]
+                    for part in range(int(directory.parts[annuli[0]])):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([cell, part, *one], types)], names=names)
+
+    return planned.mapInArrow(
+        run, "cell int, part int, bits bigint, block bigint, at binary, asked_ids binary, asked binary, floors binary, needs binary"
+    )
+
+
 def scores(asked: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products."""
     largest = np.sqrt((asked.astype(np.float64) ** 2).sum(axis=1).max() * (x.astype(np.float64) ** 2).sum(axis=1).max())
-    if largest * max(1, x.shape[1]) ** 0.5 < EXACT:
-        return (asked.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    for kind, exact in ((np.float32, EXACT_SINGLE), (np.float64, EXACT)):
+        if largest * max(1, x.shape[1]) ** 0.5 < exact:
+            return (asked.astype(kind) @ x.astype(kind).T).astype(np.int64)
     return asked.astype(np.int64) @ x.astype(np.int64).T
 
 
 def visited(planned: DataFrame, index: Index, k: int) -> DataFrame:
     """(block, at, score, vec_id): at most k candidates of each chunk for each query that visits it."""
     kind, dimensions = index.kind, index.dimensions
-    met = planned.join(index.chunks.select("annulus", "part", "ids", "x"), ["annulus", "part"]).drop("annulus", "part")
+    asked, chunks = sent(planned, index), index.chunks.select("cell", "part", "bit", "ids", "x")
+    # only chunks of an annulus that one of the queries visits
+    meets = (asked["cell"] == chunks["cell"]) & (asked["part"] == chunks["part"]) & F.expr("(bits & shiftleft(1L, bit)) != 0")
+    met = asked.join(chunks, meets).select("block", "at", "asked_ids", "asked", "floors", "needs", "bit", "ids", "x")
+    lowest = np.iinfo(np.int64).min  # no score is that low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                at = np.frombuffer(row["at"], dtype=np.int32)
-                asked = np.frombuffer(row["asked"], dtype=kind).reshape(-1, dimensions)
-                own = np.frombuffer(row["asked_ids"], dtype=np.int64)
-                ids = np.frombuffer(row["ids"], dtype=np.int64)
-                found = scores(asked, np.frombuffer(row["x"], dtype=kind).reshape(-1, dimensions))
-                found[own[:, None] == ids] = np.iinfo(np.int64).min  # no score is that low
-                floor = np.frombuffer(row["floors"], dtype=np.int64)
-                if len(ids) > k:
-                    floor = np.maximum(floor, np.partition(found, len(ids) - k, axis=1)[:, len(ids) - k])
-                q, c = np.nonzero((found >= floor[:, None]) & (found > np.iinfo(np.int64).min))
+            for i in range(batch.num_rows):
+                of = lambda name, dtype: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=dtype)  # noqa: B023, E731
+                here = np.flatnonzero(of("needs", np.int64) >> batch.column("bit")[i].as_py() & 1)
+                ids, at = of("ids", np.int64), of("at", np.int32)[here]
+                found = scores(of("asked", kind).reshape(-1, dimensions)[here], of("x", kind).reshape(-1, dimensions))
+                found[of("asked_ids", np.int64)[here][:, None] == ids] = lowest
+                good = found >= np.maximum(of("floors", np.int64)[here], lowest + 1)[:, None]
+                many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+                if len(many):
+                    least = np.partition(found[many], len(ids) - k, axis=1)[:, len(ids) - k]
+                    good[many] = found[many] >= least[:, None]
+                q, c = np.divmod(np.flatnonzero(good), len(ids))
                 value = found[q, c]
                 order = np.lexsort((ids[c], -value, q))
                 q, c, value = q[order], c[order], value[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                kept = rank < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(kept.sum(), row["block"])), pa.array(at[q[kept]]), pa.array(value[kept]), pa.array(ids[c[kept]])],
-                    names=["block", "at", "score", "vec_id"],
-                )
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                if kept.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(kept.sum(), batch.column("block")[i].as_py())), pa.array(at[q[kept]]), pa.array(value[kept]), pa.array(ids[c[kept]])],
+                        names=["block", "at", "score", "vec_id"],
+                    )
 
     return met.mapInArrow(run, "block bigint, at int, score bigint, vec_id bigint")
 
@@ -317,7 +365,7 @@ def top_k(vectors: DataFrame, which: Column, k: int = 5, **options: int) -> Data
     blocks = index.query_blocks(which)
     best, start, target = None, 0, FIRST_ROWS
     while start < index.n:
-        planned = saved(visits(blocks, best, index, k, start, target), "visits")
+        planned = saved(visits(blocks, best, index, k, start, target), "visits", **WIDE_ROWS)
         found = visited(planned, index, k)
         best = saved(best_of(found if best is None else best.drop("rank").union(found), k), "best")
         start, target = target, target * GROWTH

@@ -51,15 +51,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def saved(df: DataFrame, label: str, partition_by: list[str] | None = None, **options: int | str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the writer, and read it back.
 
     Cuts the lineage and pins the result: what comes after never runs the model again,
     and survives the loss of the executors that produced it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write
+    writer = df.write.options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

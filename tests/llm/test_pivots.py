@@ -1,6 +1,8 @@
 import random
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,43 @@ def test_bounds_hold():
     bounds = directory.bounds(x, fit.pivots)
     for j, a in enumerate(names):
         assert (bounds[:, j] >= (x @ x[annulus == a].T).max(axis=1)).all()
+
+
+def test_plans_and_rows_stay_small(spark, small, monkeypatch):
+    kept, saved = {}, pivots.saved
+
+    def noted(df, label, *args, **options):
+        kept.setdefault(label, []).append(saved(df, label, *args, **options))
+        return kept[label][-1]
+
+    monkeypatch.setattr(pivots, "saved", noted)
+    monkeypatch.setattr(pivots, "ROW_BYTES", 4 * 600 * 2)
+    monkeypatch.setattr(pivots, "WIDE_ROWS", pivots.WIDE_ROWS | {"parquet.block.size": 32 << 10})
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.random.default_rng(5).normal(size=(240, 600)))]
+    assert found(spark, rows) == plain(rows, 3, 5)
+    blocks, chunks = kept["query-blocks"][0].count(), kept["pivot-index"][0]
+    assert chunks.select("annulus").distinct().count() > 20 and len(kept["visits"]) > 2
+    # a plan has a row for each block and its queries once, however many annuli they visit
+    for planned in kept["visits"]:
+        assert planned.count() <= blocks
+        assert planned.agg(F.sum(F.octet_length("queries"))).first()[0] <= 80 * 600 * 2
+    assert chunks.agg(F.max("n")).first()[0] == 4
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in chunks.inputFiles()]
+    assert all(m.row_group(g).total_byte_size < 64 << 10 for m in files for g in range(m.num_row_groups)) and max(m.num_row_groups for m in files) > 1
+
+
+def test_cells_have_many_parts(spark, small, monkeypatch):
+    for name, value in {"CELL": 3, "CHUNK_ROWS": 4, "MOST_CHUNKS": 2}.items():
+        monkeypatch.setattr(pivots, name, value)
+    x = np.random.default_rng(6).normal(size=(300, 6))
+    x[:150] = x[0]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    assert found(spark, rows) == plain(rows, 3, 5)
+
+
+@pytest.mark.parametrize("largest", [1 << 7, 1 << 9, 1 << 14, 1 << 26])
+def test_scores_are_exact(largest):
+    pick = np.random.default_rng(4)
+    a, b = pick.integers(-largest, largest, size=(9, 64)), pick.integers(-largest, largest, size=(30, 64))
+    a[0] = b[0] = largest - 1
+    assert pivots.scores(a, b).tolist() == [[sum(x * y for x, y in zip(p, q)) for q in b.tolist()] for p in a.tolist()]
